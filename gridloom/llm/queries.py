@@ -17,6 +17,7 @@ from .pii import BASE, KINDS, find_pii
 from .records import round_trip
 from .token_counts import count_tokens
 from .url_rules import Rule, judge_urls
+from .vector_topk import top_k
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_pii": op7_pii,
+    "op8_vector_topk": op8_vector_topk,
     "op10_license_scan": op10_license_scan,
 }
 
