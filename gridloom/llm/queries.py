@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .language import fit, held_out, identify
 from .license_scan import scan_licenses
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .pii import BASE, KINDS, find_pii
 from .records import round_trip
@@ -80,6 +81,10 @@ def op8_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_pii": op7_pii,
     "op8_vector_topk": op8_vector_topk,
+    "op9_ngram_join": op9_ngram_join,
     "op10_license_scan": op10_license_scan,
 }
 
