@@ -45,9 +45,9 @@ SP = r"[\s\x{00A0}\x{3000}]+"
 TEXT_NORMALIZE = rf"""
 WITH r AS (SELECT doc_id, text, source, '{{\A1;' || text || '\P（x）}}' AS raw FROM documents)
 SELECT doc_id, md5(regexp_replace(replace(replace(regexp_replace(regexp_replace(raw, '\\[Pp]', '', 'g'), '\\[A-Za-z][^;\\]{{0,16}};', '', 'g'), '{{', ''), '}}', ''), '{SP}', '', 'g')) AS drawing,
-  md5(upper(regexp_replace(translate(raw, '（）', '()'), '{SP}', '', 'g'))) AS library,
-  md5(regexp_replace(upper(text), '[^A-Z0-9]', '', 'g')) AS compact,
-  CAST(len(list_distinct(list_filter(regexp_split_to_array(upper(text), '[^A-Z0-9]+'), lambda t: t <> ''))) AS BIGINT) AS n_tokens,
+  md5(upper(regexp_replace(translate(replace(raw, 'ß', 'SS'), '（）', '()'), '{SP}', '', 'g'))) AS library,
+  md5(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]', '', 'g')) AS compact,
+  CAST(len(list_distinct(list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+'), lambda t: t <> ''))) AS BIGINT) AS n_tokens,
   upper(regexp_replace('a-wall_(' || source || ')/【1】', '[\s_\-()\[\]/\\【】（）]+', '', 'g')) AS layer,
   coalesce(nullif(regexp_replace(regexp_replace('-- ' || source || ' / 1 --', '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'item') AS name FROM r"""
 
