@@ -1,7 +1,8 @@
 """Byte-pair encoding of whole texts through the tokenizers library, with each distinct pre-token merged once per worker.
 
 A text is cut into pre-tokens by the vocabulary file's own rule, and each pre-token's ids come from the library's merge
-model and are kept. Texts with characters for which Python's classes may differ from the library's go to the library whole.
+model and are kept. Texts with characters for which Python's classes may differ from the library's go to the library whole;
+such a character lies in some pre-token, so only pre-tokens that aren't known yet are searched for one.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens kept by a worker; beyond it the table starts anew, which costs time and changes no result.
-KEPT = 1_000_000
+#: Distinct pre-tokens kept by a worker. A full table stays as it is, as the frequent ones come early; once it has missed
+#: RENEWED times more, it starts anew. Neither changes a result.
+KEPT, RENEWED = 400_000, 2_000_000
 #: Longer pre-tokens are merged each time.
 KEPT_LENGTH = 64
 
@@ -31,11 +33,10 @@ WORD_RULE = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
 @lru_cache(1)
 def odd() -> re.Pattern[str]:
-    """Characters that send a text to the library: numbers that aren't decimal digits, unassigned ones, and four separators
-    that only Python calls white space; capital sigma, whose lower case depends on its place, is added by the word rule."""
+    """Characters that send a text to the library: numbers that aren't decimal digits, and unassigned ones."""
     ranges, start = [], None
     for c in range(0x110001):
-        hit = c < 0x110000 and (unicodedata.category(chr(c)) in ("No", "Nl", "Cn", "Cs") or 0x1C <= c <= 0x1F)
+        hit = c < 0x110000 and unicodedata.category(chr(c)) in ("No", "Nl", "Cn", "Cs")
         if hit and start is None:
             start = c
         elif not hit and start is not None:
@@ -52,7 +53,31 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in plain else next(rest) for b in range(256)}
 
 
-class Encoder(dict):
+class OddText(Exception):
+    """Only the library itself can encode this text."""
+
+
+class Kept(dict):
+    """A table of bounded size."""
+
+    missed = 0
+
+    def keep(self, key: str, value: object) -> None:
+        if len(key) > KEPT_LENGTH:
+            return
+        if len(self) >= KEPT:
+            self.missed += 1
+            if self.missed < RENEWED:
+                return
+            self.missed = 0
+            self.renew()
+        self[key] = value
+
+    def renew(self) -> None:
+        self.clear()
+
+
+class Encoder(Kept):
     """Pre-token to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, definition: str):
@@ -71,49 +96,53 @@ class Encoder(dict):
 
     def merged(self, token: str) -> list[int]:
         """The ids of one pre-token by the library's merge model."""
-        return [t.id for t in self.merge(token.encode().decode("latin-1").translate(byte_letters()))]
+        return [t.id for t in self.merge(self.spelled(token))]
+
+    def spelled(self, token: str) -> str:
+        """The pre-token in the byte-level alphabet; OddText if it has an odd character."""
+        if token.isascii():
+            if token.isprintable():
+                return token.replace(" ", "\u0120")
+        elif odd().search(token):
+            raise OddText
+        return token.encode().decode("latin-1").translate(byte_letters())
 
     def __missing__(self, token: str) -> bytes:
         ids = self.merged(token)
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(token) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[token] = out
+        self.keep(token, out)
         return out
 
-    def pre_tokens(self, text: str) -> list[str] | None:
-        """The pre-tokens of a text without special strings; None where only the library can tell."""
-        if not text.isascii():
-            if odd().search(text) or self.lowers and "Σ" in text:
-                return None
-            if self.lowers:
+    def pre_tokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings; OddText where Python would lose a separator or lower-case by
+        context."""
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            raise OddText
+        if self.lowers:
+            if not text.isascii():
+                if "Σ" in text:
+                    raise OddText
                 text = unicodedata.normalize("NFC", text)
-        elif re.search("[\x1c-\x1f]", text):
-            return None
-        return self.rule.findall(text.lower() if self.lowers else text)
+            text = text.lower()
+        return self.rule.findall(text)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def segments(self, text: str) -> list[str]:
-        """The text between special strings, which stand at the odd places."""
-        return self.cut.split(text) if self.cut and "<" in text else [text]
-
     def ids(self, text: str | None) -> bytes:
         """The text's ids, as encode(text, add_special_tokens=False) gives them; null has none."""
         if not text:
             return b""
-        out = []
-        for i, part in enumerate(self.segments(text)):
-            if i % 2:
-                out.append(self.special[part])
-            elif (found := self.pre_tokens(part)) is None:
-                return self.whole(text)
-            else:
-                out += map(self.__getitem__, found)
-        return b"".join(out)
+        try:
+            if self.cut is None or "<" not in text:
+                return b"".join(map(self.__getitem__, self.pre_tokens(text)))
+            out = []
+            for i, part in enumerate(self.cut.split(text)):  # special strings stand at the odd places
+                out += [self.special[part]] if i % 2 else map(self.__getitem__, self.pre_tokens(part))
+            return b"".join(out)
+        except OddText:
+            return self.whole(text)
 
 
 _kept: dict[str, object] = {}

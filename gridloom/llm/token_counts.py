@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import KEPT, KEPT_LENGTH, Encoder, byte_letters, kept, shipped
+from .bpe import Encoder, Kept, OddText, byte_letters, kept, shipped
 from .common import replaced
 
 
-class Counter(dict):
+class Counter(Kept):
     """Pre-token to its number of tokens; the proven strings stand at 1 from the start."""
 
     def __init__(self, definition: str):
@@ -28,26 +28,24 @@ class Counter(dict):
         self.update(self.proven)
 
     def __missing__(self, token: str) -> int:
-        n = len(self.encoder.merged(token))
-        if len(token) <= KEPT_LENGTH:
-            if len(self) >= KEPT + len(self.proven):
-                self.clear()
-                self.update(self.proven)
-            self[token] = n
+        n = len(self.encoder.merge(self.encoder.spelled(token)))
+        self.keep(token, n)
         return n
 
+    def renew(self) -> None:
+        self.clear()
+        self.update(self.proven)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        n = 0
-        for i, part in enumerate(self.encoder.segments(text)):
-            if i % 2:
-                n += 1
-            elif (found := self.encoder.pre_tokens(part)) is None:
-                return len(self.encoder.whole(text)) // 4
-            else:
-                n += sum(map(self.__getitem__, found))
-        return n
+        try:
+            cut = self.encoder.cut
+            if cut is None or "<" not in text:
+                return sum(map(self.__getitem__, self.encoder.pre_tokens(text)))
+            return sum(1 if i % 2 else sum(map(self.__getitem__, self.encoder.pre_tokens(part))) for i, part in enumerate(cut.split(text)))
+        except OddText:
+            return len(self.encoder.whole(text)) // 4
 
 
 def proven_whole_tokens(definition: str) -> list[str]:
@@ -58,10 +56,10 @@ def proven_whole_tokens(definition: str) -> list[str]:
     for letters, n in json.loads(definition)["model"]["vocab"].items():
         try:
             text = b"".join(back[c] for c in letters).decode()
-        except (KeyError, UnicodeDecodeError):
-            continue  # part of a character, or a mark such as a word end
-        if text and text not in special and encoder.pre_tokens(text) == [text] and encoder.merged(text) == [n]:
-            found.append(text)
+            if text and text not in special and encoder.pre_tokens(text) == [text] and encoder.merged(text) == [n]:
+                found.append(text)
+        except (KeyError, UnicodeDecodeError, OddText):
+            continue  # a mark such as a word end, part of a character, or one that the rule can't prove
     return found
 
 
