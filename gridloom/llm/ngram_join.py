@@ -31,8 +31,8 @@ RECALL = 0.9995
 ROWS = 5
 #: A piece of work: classes in a block, and n-grams in it.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
-#: Words whose hashes a worker keeps, and their length.
-KEPT, KEPT_LENGTH = 1_000_000, 64
+#: Words whose hashes a worker keeps; a full table starts anew.
+KEPT, KEPT_LENGTH = 300_000, 64
 #: Bits of the largest bitmap of wanted keys.
 FILTER = 1 << 28
 #: Columns of one dense step in counting common n-grams.
