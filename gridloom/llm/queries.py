@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .decontaminate import decontaminate
 from .language import fit, held_out, identify
@@ -103,4 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": oracles.url_filter(URL_RULES),
+    "op5_decontaminate": oracles.DECONTAMINATE,
+    "op8_vector_topk": oracles.VECTOR_TOPK,
+    "op9_ngram_join": oracles.NGRAM_JOIN,
+    "op10_license_scan": oracles.license_scan(),
+}
