@@ -200,14 +200,16 @@ def roots(links: np.ndarray) -> np.ndarray:
         label = least
 
 
-def verified(rows: list[dict], band: int, bands: int, similar: Fraction) -> list[tuple[bytes, int, bytes]]:
+def verified(rows: list[dict], similar: Fraction) -> list[tuple[bytes, int, bytes]]:
     """(key, weight of linked classes, key of its root) of the classes of one piece of work that have a link in it: all pairs
     of one block, or all pairs between two."""
+    band, one = rows[0]["band"], rows[0]["i"] == rows[0]["j"]
     side = np.array([r["side"] for r in rows])
     rows = [rows[i] for i in np.argsort(side, kind="stable")]
     side = np.sort(side)
     cut = int(np.searchsorted(side, 1))
-    one = cut in (0, len(rows))
+    if len(rows) < 2 or not one and cut in (0, len(rows)):
+        return []
     left, right = (slice(0, len(rows)),) * 2 if one else (slice(0, cut), slice(cut, len(rows)))
     sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets], np.int64)
@@ -228,7 +230,7 @@ def verified(rows: list[dict], band: int, bands: int, similar: Fraction) -> list
     return [(rows[i]["key"], int(weight[i]), rows[root[i]]["key"]) for i in np.flatnonzero(links.any(axis=1))]
 
 
-def _work(bands: int, similar: Fraction):
+def _work(similar: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, [], []
 
@@ -240,13 +242,13 @@ def _work(bands: int, similar: Fraction):
                 for r in batch.slice(k, 256).to_pylist():
                     here = (r["band"], r["h"], r["i"], r["j"])
                     if here != at:
-                        out += verified(rows, at[0], bands, similar) if len(rows) > 1 else []
+                        out += verified(rows, similar) if rows else []
                         at, rows = here, []
                     rows.append(r)
                 if len(out) > 5000:
                     yield batch_of(out)
                     out = []
-        out += verified(rows, at[0], bands, similar) if len(rows) > 1 else []
+        out += verified(rows, similar) if rows else []
         if out:
             yield batch_of(out)
 
@@ -282,7 +284,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j"), (o < F.col("b")).cast("int").alias("side")))
     work = dealt.select("band", "h", "key", F.explode(each).alias("w")).select("band", "h", "key", "w.*")
     work = work.join(sets, "key").repartition(parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j", "key")
-    found = written(work.mapInArrow(_work(bands, exact), "key binary, weight long, root binary"), "links")
+    found = written(work.mapInArrow(_work(exact), "key binary, weight long, root binary"), "links")
     joined = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
     weights = found.groupBy("key").agg(F.sum("weight").alias("links"))
     groups = known.select("key", "copies", "first").join(joined, "key", "left").join(weights, "key", "left")
