@@ -1,0 +1,166 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter as Bag
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import language, license_scan, pii
+from gridloom.llm.decontaminate import decontaminate
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(t):
+    return WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def contaminated(t, items, n=10):
+    w, hit, found = words(t), set(), set()
+    for key, text in items:
+        iw = words(text)
+        for k in range(max(1, len(iw) - n + 1) if iw else 0):
+            window = iw[k : k + n]
+            for a in range(len(w) - len(window) + 1):
+                if w[a : a + len(window)] == window:
+                    hit |= set(range(a, a + len(window)))
+                    if key is not None:
+                        found.add(str(key))
+    return len(w), len(hit), sorted(found)
+
+
+ITEMS = [(10, "one two three four five six seven eight nine ten eleven twelve"), (9, "Short ITEM, here"), (9, "short item here again"), (3, ""), (4, None), (None, "nobody knows me"), (5, "é è"), (2, "a a a a a a a a a a a")]
+TEXTS = [
+    "x One two three-four five six seven eight nine ten, eleven twelve thirteen", "two three four five six seven eight nine ten eleven", "short item here short item here again", "short  item", "é è é è", "nobody knows me",
+    " ".join("a" * 30), None, "", "...", "one two three four five six seven eight nine", "a a a a a a a a a",
+]
+
+
+@pytest.mark.parametrize("block", [48 << 20, 60])
+def test_decontamination(spark, block):
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, N_Hit string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = decontaminate(docs, items, block_bytes=block).collect()
+    assert len(rows) == 2 * len(TEXTS)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r["items"]) == contaminated(r.text, ITEMS), r.text
+        assert r.contaminated == (r.n_hit > 0)
+        spans = r.hit_spans
+        covered = [x for a, b in zip(spans[::2], spans[1::2], strict=True) for x in words(r.text[a:b])]
+        assert len(covered) == r.n_hit
+
+
+def test_decontamination_of_nothing(spark, docs, no_docs, corpus):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate(docs, none).where("contaminated or n_hit > 0").count() == 0
+    assert decontaminate(no_docs, none).count() == 0
+    assert Bag(r.n_words for r in decontaminate(docs, none).collect()) == Bag(len(words(t)) for _, t, *_ in corpus)
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(t):
+    out = []
+    for k, (name, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, t or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            total = sum((x := int(c) * (1 + i % 2)) // 10 + x % 10 for i, c in enumerate(reversed(digits)))
+            if name == "email" or name == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or name == "card" and 12 <= len(digits) <= 19 and total % 10 == 0 or name == "phone" and 9 <= len(digits) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_equals_plain_expressions():
+    rng = random.Random(5)
+    parts = ["a@b.co", "a@b", "@", "x.y+z@q-r.s.t", "1.2.3.4", "1.2.3.456", "01.002.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+41 (0)44 123-45-67", "+1", "7", " ", ".", "-", "é", "DE89370400440532013000", "@@", "a.b@c.d@e.f", "+", "00"]
+    for _ in range(5000):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 7)))
+        assert [s for s in pii.spans_of(t) if s[1] < pii.BASE] == base_spans(t), t
+
+
+def test_pii_method_and_scores(spark, docs, no_docs, corpus):
+    text = "é my IBAN: DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE89370400440532013001"
+    found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.spans_of(text)]
+    assert [x for x in found if x[0] == "iban"] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
+    assert pii.score("call +41 44 123 45 67", "phone", 5, 21) > pii.score("see +41 44 123 45 67", "phone", 4, 20)
+    rows = pii.find_pii(docs.withColumn("PII", F.lit(1)), redact=True).collect()
+    assert Bag((r.text, tuple((s.start, pii.KINDS.index(s.kind), s.end) for s in r.pii)) for r in rows) == Bag((t, tuple(pii.spans_of(t))) for _, t, *_ in corpus)
+    for r in rows:
+        assert all(0 <= s.score <= 1 for s in r.pii)
+        assert not base_spans(r.pii_redacted) if r.text and len(r.text) < 1000 else True
+    assert pii.find_pii(no_docs).collect() == []
+
+
+def test_pii_redaction_of_overlaps():
+    t = "x +4111 1111 1111 1111 y"
+    assert pii.redacted(t, [(2, 3, 12), (3, 2, 22)]) == "x <PHONE> y"
+
+
+def test_pii_takes_linear_time():
+    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + " " * 200_000, "1 " * 100_000, "A1B2 " * 40_000):
+        pii.spans_of(t)
+
+
+def brute_license(t):
+    w, starts, labels, base, best = words(t), [], set(), set(), 0
+    for phrase, label, keys, of_base in license_scan.all_templates():
+        found = [k for k in range(len(w)) if w[k : k + len(phrase)] == phrase]
+        ok = bool(found) and all(any(w[k : k + len(q)] == q for k in range(len(w))) for q in keys)
+        starts += found if of_base else []
+        if ok:
+            labels.add(label)
+            best = max(best, len(phrase))
+            base |= {label} if of_base else set()
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best / (best + 1)
+
+
+def test_license_scan(spark, docs, no_docs, corpus):
+    texts = [
+        "x_CC_by; MIT-License é cc BY-nc mıt license Apache\x00license version 2.0 GNU General Public License v3", "mit license" * 3, "MIT LICENSE mit license", "cc by cc by", "écc by", "ccé by", "apache license",
+        "Redistribution and use in source and binary forms, this list of conditions", "redistribution and use in source and binary forms", None, "", " ",
+    ]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(t, "clash") for t in texts] * 2, "text string, LABELS string")).collect()
+    assert len(rows) == 2 * len(texts)
+    rows += license_scan.scan_licenses(docs).collect()
+    assert len(rows) == 2 * len(texts) + len(corpus)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute_license(r.text), r.text
+    assert license_scan.scan_licenses(no_docs).collect() == []
+
+
+def test_language_accuracy(spark):
+    rng = random.Random(11)
+    syllables = {"en": "the ing er on an re th sh wh ly".split(), "fr": "é eau ou le oi tre ai que la è".split(), "de": "ung sch ß ch ei ver der keit ü z".split()}
+    rows = []
+    for i in range(400):
+        lang = rng.choice(list(syllables))
+        rows.append((i, " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(5, 60))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where(~language.held_out(F.col("doc_id"))))
+    assert model.languages == ["de", "en", "fr"]
+    out = language.identify(df, model).where(language.held_out(F.col("doc_id"))).collect()
+    assert len(out) > 50
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
+    assert all(0 <= r.score <= 1 for r in out)
+    assert hashlib.sha256(model.table.tobytes()).digest() == hashlib.sha256(language.fit(df.where(~language.held_out(F.col("doc_id"))).repartition(5)).table.tobytes()).digest()
+
+
+def test_language_edges(spark, docs, no_docs, corpus):
+    model = language.fit(docs)
+    rows = language.identify(docs.withColumn("Score", F.lit("clash")), model).collect()
+    assert len(rows) == len(corpus)
+    for r in rows:
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    assert language.fit(no_docs).languages == []
+    assert {r.lang_pred for r in language.identify(docs, language.fit(no_docs)).collect()} == {"und"}
+    assert language.identify(no_docs, model).collect() == []
+
+
+def test_more_languages_than_a_word_of_bits(spark):
+    rows = [(i, chr(0x4E00 + i * 30) * 5 + " " + chr(0x4E01 + i * 30) * 4, f"l{i:03d}") for i in range(70)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.predict(t)[0] for _, t, _ in rows] == [lang for *_, lang in rows]
