@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregate_queries, area_queries, graph_queries, join_queries, scalar_queries
+from . import aggregate_queries, area_queries, graph_queries, join_queries, planning_queries, scalar_queries
 
-MODULES = [scalar_queries, join_queries, aggregate_queries, graph_queries, area_queries]
+MODULES = [scalar_queries, join_queries, aggregate_queries, graph_queries, area_queries, planning_queries]
 FLAGSHIP = "signature_catalog"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -123,3 +123,46 @@ def test_sources_round_trip(spark, tmp_path):
     assert out[0].id == 1 and out[0].ring[2] == [2.0, 1.0]
     with pytest.raises(Exception, match="unknown obstacle type"):
         artifacts.checked_types(points.withColumn("kind", F.lit(None).cast("string")), "kind", ["column"]).collect()
+
+
+def grid(n):
+    """Edges of an n by n grid of nodes 0 to n * n - 1."""
+    return [(0, a, b, 1.0) for a in range(n * n) for b in (a + 1, a + n) if b < n * n and (b != a + 1 or b % n)]
+
+
+def test_relay_tree_and_paths(spark):
+    from gridloom.operators import planning
+
+    edges = spark.createDataFrame(grid(5), "floor int, a long, b long, w double")
+    targets = spark.createDataFrame([(0, 0, 0.0), (0, 4, 0.0), (0, 24, 0.0), (0, 99, 0.0)], "floor int, target long, value double")
+    tree = planning.relay_tree(edges, targets).collect()
+    nodes = {r.a for r in tree} | {r.b for r in tree}
+    assert {0, 4, 24} <= nodes and len(tree) == len(nodes) - 1 == 8
+    legs = spark.createDataFrame([(0, 1, 0, 24), (0, 2, 24, 4), (0, 3, 4, 99)], "floor int, place int, src long, dst long")
+    paths = planning.shortest_paths(edges, legs)
+    assert {(r.src, r.dst): (len(r.nodes), r.length) for r in paths.collect()} == {(0, 24): (9, 8.0), (24, 4): (5, 4.0)}
+    events = planning.visit_events(legs, paths).orderBy("event").collect()
+    assert [r.event for r in events] == list(range(1, 14))
+    assert events[0].node == 0 and events[8].node == 24 and events[-1].node == 4
+
+
+def test_grown_regions(spark):
+    from gridloom.operators import planning
+
+    seeds = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 10.0, 0.0)], "floor int, seed long, x double, y double")
+    items = spark.createDataFrame([(0, float(x), float(y)) for x, y in ((1, 0), (2, 0), (2, 1), (9, 0), (5.6, 9), (30, 30))], "floor int, x double, y double")
+    out = {r.seed: (r.x0, r.y0, r.x1, r.y1, r.rounds) for r in planning.grown_regions(seeds, items, 1.5).collect()}
+    assert out == {1: (0, 0, 2, 1, 2), 2: (9, 0, 10, 0, 1)}
+
+
+def test_locked_plans_and_rules(spark):
+    from gridloom.operators import pools
+
+    plan = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "route int, place int, target string")
+    assert pools.locked_plan(plan, plan).count() == 2
+    with pytest.raises(Exception, match="differs at 1 2"):
+        pools.locked_plan(plan, plan.where("place = 1")).collect()
+    assert pools.checked_rules([{"type": "quota_total", "classes": ["a"], "quota": "3"}]) == [{"rule_id": "rule_0", "type": "quota_total", "classes": ["a"], "quota": 3}]
+    for bad in ({"type": "x", "classes": ["a"]}, {"type": "quota_total"}, {"type": "quota_total", "classes": ["a"], "quota": 0}):
+        with pytest.raises(ValueError):
+            pools.checked_rules([bad])
