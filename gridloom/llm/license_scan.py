@@ -32,7 +32,8 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("redistribution and use in source and binary forms", "bsd", ("this list of conditions",)),
     ("permission is hereby granted free of charge", "mit", ("the software is provided as is",)),
 ]
-#: Fixed value: what stands between words.
+#: What words are made of, and what stands between them.
+LETTERS = r"0-9A-Za-z\x{80}-\x{10ffff}"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -49,10 +50,10 @@ def word_array(text: Column) -> Column:
 
 def document_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """Over all documents, how many hold each word of the vocabulary; at most one row a word comes to the driver."""
-    any_word = rf"(?i)(?<![0-9A-Za-z])(?:{'|'.join(vocabulary)})(?![0-9A-Za-z])"
-    held = docs.select(F.col(f"`{text}`").alias("t")).where(F.col("t").rlike(any_word))
-    counts = [F.count(F.when(F.col("t").rlike(rf"(?i)(?<![0-9A-Za-z\x80-\x{{10ffff}}]){w}(?![0-9A-Za-z\x80-\x{{10ffff}}])"), 1)).alias(w) for w in vocabulary]
-    return held.agg(*counts).first().asDict()
+    alone = rf"(?i)(?<![{LETTERS}])(?:{'|'.join(vocabulary)})(?![{LETTERS}])"
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(alone), F.lit(0)), F.lower))
+    held = docs.select(found.alias("w")).where(F.size("w") > 0)
+    return held.agg(*[F.count(F.when(F.array_contains("w", w), 1)).alias(w) for w in vocabulary]).first().asDict()
 
 
 def anchor(words: list[str], frequency: dict[str, int]) -> int:
