@@ -15,7 +15,6 @@ seek, in any order.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -199,5 +198,5 @@ def shard_sequences(store: fs.FileSystem, path: str, order: Callable[[int], list
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Writes docs to a new folder in the shared one, and what reading it back gives."""
-    folder = f"{shared_dir(docs.sparkSession)}/{os.path.join('records-' + uuid.uuid4().hex)}"
+    folder = f"{shared_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
     return read_records(docs.sparkSession, folder, write_records(docs, folder, vocabulary, end_id))
