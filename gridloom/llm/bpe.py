@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 #: Distinct pre-tokens kept by a worker. A full table stays as it is, as the frequent ones come early; once it has missed
 #: RENEWED times more, it starts anew. Neither changes a result.
-KEPT, RENEWED = 400_000, 2_000_000
+KEPT, RENEWED = 200_000, 2_000_000
 #: Longer pre-tokens are merged each time.
 KEPT_LENGTH = 64
 

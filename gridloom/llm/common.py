@@ -44,8 +44,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text in a batch for a Python worker, in place of Spark's defaults: both sides hold some batches at once.
+BATCH = {"maxRecordsPerBatch": ("10000", "1000"), "maxBytesPerBatch": ("67108864", "8m")}
+
+
+#: Settings of the Python workers' allocators: what a batch has used goes back to the system and isn't kept for later ones.
+FREED = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers on this machine find the package where the driver found it; clusters ship it with --py-files."""
+    """Python workers on this machine find the package where the driver found it; clusters ship it with --py-files. Batches
+    are made small unless the session has chosen a size, and workers keep no freed memory."""
+    for name, value in FREED.items():
+        spark.sparkContext.environment.setdefault(name, value)
+    for name, (default, small) in BATCH.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", small)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,7 @@ def slots_of(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages, the filter's slots (a row of 64-bit words a slot), false positive rates, and the share of n-grams that a
+    """languages, the filter's slots (a row of words of 8 or 64 bits a slot), false positive rates, and the share of n-grams that a
     text of the language itself reaches."""
 
     languages: list[str]
@@ -130,7 +129,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (h := gram_hashes(text.as_py())) is not None:
                 waiting.setdefault(lang.as_py(), []).append(h)
                 size += len(h)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from emit()
                     waiting, size = {}, 0
     yield from emit()
@@ -162,13 +161,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         shares[k, where[start : start + len(c)]] = c
         start += len(c)
     member = shares >= PART * shares.max(axis=0)
-    width = -(-len(languages) // 64)
-    table = np.zeros((SLOTS, width), np.uint64)
+    word = np.uint8 if len(languages) <= 8 else np.uint64
+    table = np.zeros((SLOTS, -(-len(languages) // 64)), word)
     places = slots_of(every.view(np.uint64))
     for k in range(len(languages)):
         for s in places:
-            table[s[member[k]], k // 64] |= np.uint64(1 << k % 64)
-    filled = np.array([np.count_nonzero(table[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(languages))]) / SLOTS
+            table[s[member[k]], k // 64] |= word(1 << k % 64)
+    filled = np.array([np.count_nonzero(table[:, k // 64] & word(1 << k % 64)) for k in range(len(languages))]) / SLOTS
     reach = np.array([(shares[k] * member[k]).sum() for k in range(len(languages))])
     return Model(languages, table, filled**HASHES, np.maximum(reach, 1e-9))
 
@@ -180,13 +179,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+            said = [model.predict(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["lang_pred", "score"])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    predict = F.pandas_udf(run, "lang_pred string, score double")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    predict = F.arrow_udf(run, "lang_pred string, score double")
     base = replaced(docs, ["lang_pred", "score", "_said"])
     said = base.withColumn("_said", predict(F.col(f"`{text}`")))
     return said.select(*[F.col(f"`{c}`") for c in base.columns], "_said.lang_pred", "_said.score")

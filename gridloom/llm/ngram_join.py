@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, words_of, written
+from .common import words_of, written
 from .components import components
 
 #: Words of an n-gram and the least Jaccard index of a link.
@@ -31,12 +31,12 @@ RECALL = 0.9995
 ROWS = 5
 #: A piece of work: classes in a block, and n-grams in it.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
-#: Words whose hashes a worker keeps; a full table starts anew.
-KEPT, KEPT_LENGTH = 300_000, 64
+#: Words whose hashes a task keeps; a full table starts anew.
+KEPT, KEPT_LENGTH = 100_000, 64
 #: Bits of the largest bitmap of wanted keys.
 FILTER = 1 << 28
 #: Columns of one dense step in counting common n-grams.
-STEP = 8192
+STEP = 4096
 
 #: Multipliers of a word's hash by its place in the n-gram.
 PLACES = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(16)], np.uint64)
@@ -60,15 +60,12 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
-def gram_set(text: str | None, n: int) -> np.ndarray:
+def gram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's word n-grams; a text of fewer words, but not none, has one n-gram."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     m = max(1, len(h) - n + 1)
     out = np.zeros(m, np.uint64)
     for j in range(min(n, len(h))):
@@ -93,8 +90,8 @@ def permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
 def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     a, b = permutations(bands * rows)
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(grams), 2048):
-        part = grams[start : start + 2048, None] * a
+    for start in range(0, len(grams), 1024):
+        part = grams[start : start + 1024, None] * a
         part += b
         part ^= part >> np.uint64(32)
         part *= PLACES[3]
@@ -107,14 +104,15 @@ def signed(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: in
     """doc_id, key binary (null without n-grams), grams int, bands binary; one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            keys, counts, hashes = [], [], []
+            keys, counts, marks = [], [], []
             for t in batch.column(1):
-                grams = gram_set(t.as_py(), n)
+                grams = gram_set(t.as_py(), n, known)
                 keys.append(set_key(grams))
                 counts.append(len(grams))
-                hashes.append(band_hashes(grams, bands, rows).tobytes() if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(hashes, pa.binary())], ["doc_id", "key", "grams", "bands"])
+                marks.append(band_hashes(grams, bands, rows).tobytes() if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(marks, pa.binary())], ["doc_id", "key", "grams", "bands"])
 
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, key binary, grams int, bands binary")
@@ -123,10 +121,12 @@ def signed(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: in
 def keyed(docs: DataFrame, text: str, n: int, name: str) -> DataFrame:
     """docs with the key of its n-gram set."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([set_key(gram_set(t.as_py(), n)) for t in texts], pa.binary())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = WordHashes()
+        for texts in batches:
+            yield pa.array([set_key(gram_set(t.as_py(), n, known)) for t in texts], pa.binary())
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(name, F.arrow_udf(run, "binary")(F.col(f"`{text}`")))
 
 
@@ -145,11 +145,11 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame, count: int) -
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, known = shared.value, WordHashes()
         for batch in batches:
             keys, sets = [], []
             for t in batch.column(0):
-                grams = gram_set(t.as_py(), n)
+                grams = gram_set(t.as_py(), n, known)
                 key = set_key(grams)
                 if key is not None:
                     p = int.from_bytes(key[:4], "big") % bits
@@ -313,7 +313,17 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     _, groups = classes(docs, doc_id, text, n=n, **how)
     groups = written(groups, "groups")
     best = groups.groupBy("component").agg(F.min_by(F.struct("key", "first"), F.struct(F.col("first").isNull(), F.col("first"), F.col("key"))).alias("best"))
-    best = best.select(F.col("best.key").alias("_best"), F.col("best.first").alias("_first"))
-    rows = keyed(replaced(docs, ["_key", "_best", "_first"]), text, n, "_key")
-    kept = rows.join(best, (F.col("_key") == F.col("_best")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
-    return kept.unionByName(rows.where("_key is null"), allowMissingColumns=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, best_key, first = (fresh(docs, name) for name in ("key", "best_key", "first"))
+    best = best.select(F.col("best.key").alias(best_key), F.col("best.first").alias(first))
+    worded = F.coalesce(F.col(f"`{text}`").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"), F.lit(False))
+    rows = keyed(docs.where(worded), text, n, key)
+    kept = rows.join(best, (F.col(key) == F.col(best_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(first))).dropDuplicates([key])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
