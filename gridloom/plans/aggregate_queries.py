@@ -11,7 +11,7 @@ from ..operators import aggregates as A
 from ..operators import selection as C
 from ..operators import spatial as J
 from ..sources import tables as T
-from .join_queries import PARALLEL_SQL, regions, segments
+from .join_queries import PARALLEL_SQL, segments
 from .scalar_queries import ENTITIES_SQL, entities
 
 
@@ -287,8 +287,9 @@ SELECT o.floor, left_id, right_id FROM o JOIN f ON o.floor = f.floor WHERE list_
 
 
 def row_bands(spark: SparkSession, d: str) -> DataFrame:
-    b = regions(spark, d)
-    return C.row_bands(b.select("floor", F.col("region_id").alias("id"), F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1")), "floor")
+    """Every target's box, grown like a region's."""
+    b = T.target_boxes(spark, d).withColumn("b", B.inflate(F.col("b"), 0.1))
+    return C.row_bands(b.select("floor", F.col("target_id").alias("id"), F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1")), "floor")
 
 
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
