@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-EXACT = 12
+#: Floors of up to so many targets are ordered exactly; up to so many others are improved by reversals until none helps.
+EXACT, FULL = 16, 80
+#: Passes over larger floors, each of which takes the best reversal; what counts as shorter.
+PASSES, EPS = 8, 1e-9
 
 
 def held_karp(d: np.ndarray) -> list[int]:
@@ -61,6 +64,76 @@ def two_opt(d: np.ndarray, path: list[int], rounds: int = 4, span: int = 24) ->
     return path
 
 
+def starts_of(n: int) -> list[int]:
+    """Starts of nearest neighbour orders: all up to 32 targets, else some at equal steps, the first and the last."""
+    if n <= 32:
+        return list(range(n))
+    some = 4 if n > 64 else 8
+    return list(dict.fromkeys([*list(range(0, n, max(1, (n - 1) // (some - 1))))[:some], 0, n - 1]))
+
+
+def nearest_order(xy: np.ndarray, start: int) -> list[int]:
+    """From start always to the nearest target left, ties to the first."""
+    path, left = [start], np.ones(len(xy), bool)
+    left[start] = False
+    for _ in range(len(xy) - 1):
+        far = np.hypot(*(xy - xy[path[-1]]).T)
+        path.append(int(np.where(left, far, np.inf).argmin()))
+        left[path[-1]] = False
+    return path
+
+
+def reversed_fully(d: np.ndarray, path: list[int]) -> list[int]:
+    """Reverses stretches of three targets and more, each as soon as it shortens the open path, until none does."""
+    path, n, changed = path[:], len(path), True
+    while changed:
+        changed = False
+        for i in range(n - 2):
+            for j in range(i + 2, n):
+                before = (d[path[i - 1], path[i]] if i else 0) + (d[path[j], path[j + 1]] if j + 1 < n else 0)
+                after = (d[path[i - 1], path[j]] if i else 0) + (d[path[i], path[j + 1]] if j + 1 < n else 0)
+                if after < before - EPS:
+                    path[i : j + 1] = path[i : j + 1][::-1]
+                    changed = True
+    return path
+
+
+def reversed_best(xy: np.ndarray, path: list[int], passes: int = PASSES) -> list[int]:
+    """In each pass reverses the stretch of three targets and more that shortens the open path most; ties to the first."""
+    order, n = np.array(path), len(path)
+    for _ in range(passes):
+        p = xy[order]
+        legs = np.append(np.hypot(*(p[1:] - p[:-1]).T), 0.0)  # the last has no leg behind it
+        best = (-EPS, 0, 0)
+        for i in range(n - 2):
+            gain = -legs[i + 2 :]
+            gain[:-1] += np.hypot(*(p[i + 3 :] - p[i]).T)
+            if i:
+                gain += np.hypot(*(p[i + 2 :] - p[i - 1]).T) - legs[i - 1]
+            k = int(gain.argmin())
+            if gain[k] < best[0]:
+                best = (float(gain[k]), i, i + 2 + k)
+        _, i, j = best
+        if not j:
+            break
+        order[i : j + 1] = order[i : j + 1][::-1].copy()
+    return order.tolist()
+
+
+def legs_of(xy: np.ndarray, path: list[int]) -> np.ndarray:
+    return np.hypot(*np.diff(xy[path], axis=0).T)
+
+
+def heuristic(xy: np.ndarray) -> list[int]:
+    """The shortest improved nearest neighbour order over all starts, ties to the smaller order."""
+    if len(xy) <= FULL:
+        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+        paths = [reversed_fully(d, nearest_order(xy, s)) for s in starts_of(len(xy))]
+    else:
+        paths = [reversed_best(xy, nearest_order(xy, s)) for s in starts_of(len(xy))]
+    return min(paths, key=lambda p: (float(legs_of(xy, p).sum()), p))
+
+
 def open_walk(parents: dict[int, int | None]) -> list[int]:
     """A walk over a tree from its root by depth first, children by id, that ends at the deepest leaf: that leaf's branch is
     walked last and isn't walked back."""
@@ -94,15 +167,17 @@ def open_walk(parents: dict[int, int | None]) -> list[int]:
 
 
 def plan_routes(targets: DataFrame, exact: int = EXACT) -> DataFrame:
-    """Per floor (route) an order over its targets (floor, target_id, x, y): exact up to `exact` targets, else the nearest
-    neighbour order from the smallest target improved by reversals. One task holds one floor."""
+    """Per floor (route) an order over its targets (floor, target_id, x, y): exact up to `exact` targets, else the best of
+    nearest neighbour orders from several starts, improved by reversals. One task holds one floor."""
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("target_id").reset_index(drop=True)
         xy = t[["x", "y"]].to_numpy()
-        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-        path = held_karp(d) if len(t) <= exact else two_opt(d, greedy(d, 0))
-        legs = [0.0, *(d[a, b] for a, b in zip(path, path[1:], strict=False))]
+        if len(t) <= exact:
+            path = held_karp(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]))
+        else:
+            path = heuristic(xy)
+        legs = [0.0, *legs_of(xy, path)]
         return pd.DataFrame({"floor": key[0], "target_id": t["target_id"].to_numpy()[path], "place": range(1, len(t) + 1), "leg": np.round(legs, 6), "method": "exact" if len(t) <= exact else "heuristic"})
 
     return targets.groupBy("floor").applyInPandas(run, "floor int, target_id long, place int, leg double, method string")

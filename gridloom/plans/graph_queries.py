@@ -99,9 +99,8 @@ r AS (SELECT p_partkey AS block FROM part WHERE p_size = 50 UNION SELECT c.block
 
 
 def route_plans(spark: SparkSession, d: str) -> DataFrame:
-    """Every floor's route, in halls of up to about ten targets exactly, else by heuristics."""
-    t = T.targets(spark, d).withColumn("floor", F.when(F.col("target_id") % 4 == 0, F.col("floor")).otherwise(F.col("floor") + 100 * (F.col("target_id") % 7 + 1)).cast("int"))
-    return R.plan_routes(t)
+    """Every whole floor's route, exactly up to 16 targets, else by heuristics."""
+    return R.plan_routes(T.targets(spark, d))
 
 
 def area_tree(spark: SparkSession, d: str) -> DataFrame:

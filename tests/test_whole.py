@@ -97,3 +97,83 @@ def test_visits_walk_between_all_targets(spark, floors):
 def test_row_bands_hold_all_boxes(spark, floors):
     rows = catalog.QUERIES["row_bands"](spark, SMALL).collect()
     assert sorted(r.id for r in rows) == sorted(p[0] for points in floors.values() for p in points)
+
+
+def test_routes_take_whole_floors(spark, floors):
+    rows = catalog.QUERIES["route_plans"](spark, SMALL).collect()
+    for f, points in floors.items():
+        route = sorted((r.place, r.target_id) for r in rows if r.floor == f)
+        assert [p for p, _ in route] == list(range(1, len(points) + 1))
+        assert sorted(i for _, i in route) == [p[0] for p in points]
+    assert {r.floor for r in rows} == set(floors)
+
+
+def shortest_open_path(d):
+    """Its length, by sets of visited points."""
+    n = len(d)
+    layer = {(1 << i, i): 0.0 for i in range(n)}
+    for _ in range(n - 1):
+        new = {}
+        for (seen, a), length in layer.items():
+            for b in range(n):
+                if not seen >> b & 1:
+                    key = seen | 1 << b, b
+                    new[key] = min(new.get(key, np.inf), length + d[a][b])
+        layer = new
+    return min(layer.values())
+
+
+def test_routes_are_exact_up_to_16(spark):
+    from gridloom.operators import routes
+
+    xy = {n: np.random.default_rng(n).random((n, 2)) for n in (13, 16, 17)}
+    df = spark.createDataFrame([(n, i, float(x), float(y)) for n, p in xy.items() for i, (x, y) in enumerate(p)], "floor int, target_id long, x double, y double")
+    rows = routes.plan_routes(df).collect()
+    assert {r.floor: r.method for r in rows} == {13: "exact", 16: "exact", 17: "heuristic"}
+    for n in (13, 16):
+        d = np.hypot(*(xy[n][:, None] - xy[n][None]).transpose(2, 0, 1)).tolist()
+        assert sum(r.leg for r in rows if r.floor == n) == pytest.approx(shortest_open_path(d), abs=1e-4)
+
+
+def plain_greedy_order(d):
+    """As the reference states it: whole lengths are compared, orders are built anew."""
+    n = len(d)
+    length = lambda p: sum(d[a][b] for a, b in zip(p, p[1:], strict=False))
+    starts = list(range(n))
+    if n > 32:
+        count = 4 if n > 64 else 8
+        starts = list(dict.fromkeys([*list(range(0, n, max(1, (n - 1) // (count - 1))))[:count], 0, n - 1]))
+    best = None
+    for s in starts:
+        order, left = [s], set(range(n)) - {s}
+        while left:
+            order.append(min(left, key=lambda k: (d[order[-1]][k], k)))  # noqa: B023
+            left.remove(order[-1])
+        moves = lambda p: ((i, j, p[:i] + p[i : j + 1][::-1] + p[j + 1 :]) for i in range(n - 2) for j in range(i + 2, n))
+        if n <= 80:
+            improved = True
+            while improved:
+                improved = False
+                for i in range(n - 2):
+                    for j in range(i + 2, n):
+                        new = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                        if length(new) < length(order) - 1e-9:
+                            order, improved = new, True
+        else:
+            for _ in range(8):
+                new = min((m[2] for m in moves(order)), key=length)
+                if length(new) >= length(order) - 1e-9:
+                    break
+                order = new
+        if best is None or (length(order), order) < best:
+            best = length(order), order
+    return best[1]
+
+
+@pytest.mark.parametrize("n", [17, 32, 33, 50, 85])
+def test_heuristic_routes_equal_plain_ones(n):
+    from gridloom.operators import routes
+
+    xy = np.random.default_rng(n).random((n, 2))
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)).tolist()
+    assert routes.heuristic(xy) == plain_greedy_order(d)
