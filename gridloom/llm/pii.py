@@ -100,7 +100,10 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
+    """The search goes on behind a confirmed number, or just behind the start of a candidate that fails."""
+    m = IBAN.search(text)
+    while m:
+        at = m.start() + 1
         if n := IBAN_LENGTHS.get(m[0][:2]):
             seen = 0
             for i, c in enumerate(m[0]):
@@ -109,7 +112,9 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
                     end = m.start() + i + 1
                     if not text[end : end + 1].isalnum() and mod97(m[0][: i + 1].replace(" ", "")):
                         yield m.start(), end
+                        at = end
                     break
+        m = IBAN.search(text, at)
 
 
 FINDERS = (emails, ips, cards, phones, ibans)
