@@ -19,6 +19,9 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
+from . import common
+from .common import T
+
 #: Distinct pre-tokens kept by a worker. A full table stays as it is, as the frequent ones come early; once it has missed
 #: RENEWED times more, it starts anew. Neither changes a result.
 KEPT, RENEWED = 400_000, 2_000_000
@@ -53,6 +56,30 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in plain else next(rest) for b in range(256)}
 
 
+#: The steps of the two kinds of vocabulary files whose rules stand above.
+BYTE_STEPS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_STEPS = [
+    {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+]
+WORD_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def rule_of(spec: dict) -> str | None:
+    """byte or word if the file's normalizer, pre-tokenizer and model are exactly of that kind, else None."""
+    model, normal = spec["model"], spec["normalizer"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        return None
+    bare = lambda step: {k: v for k, v in (step or {}).items() if k != "trim_offsets"}
+    steps = spec["pre_tokenizer"] or {}
+    if normal is None and bare(steps) == BYTE_STEPS:
+        return "byte"
+    if (normal or {}).get("normalizers") == WORD_NORMAL and [*map(bare, steps.get("pretokenizers", []))] == WORD_STEPS:
+        return "word"
+    return None
+
+
 class OddText(Exception):
     """Only the library itself can encode this text."""
 
@@ -84,15 +111,18 @@ class Encoder(Kept):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
         self.merge = self.tokenizer.model.tokenize
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         spec = json.loads(definition)
         added = [t["content"] for t in spec["added_tokens"]]
-        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens that depend on their surroundings aren't supported")
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
         self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
-        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-        self.lowers = spec["normalizer"] is not None
-        self.rule = re.compile(WORD_RULE if steps[0]["type"] == "Split" else BYTE_RULE)
+        self.first = {t[0] for t in added}
+        shape = rule_of(spec)
+        plain = shape and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.lowers = shape == "word"
+        #: None: another kind of vocabulary, which the library encodes whole.
+        self.rule = re.compile(WORD_RULE if self.lowers else BYTE_RULE) if plain else None
 
     def merged(self, token: str) -> list[int]:
         """The ids of one pre-token by the library's merge model."""
@@ -115,8 +145,8 @@ class Encoder(Kept):
 
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings; OddText where Python would lose a separator or lower-case by
-        context."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        context, and for vocabularies of another kind."""
+        if self.rule is None or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             raise OddText
         if self.lowers:
             if not text.isascii():
@@ -126,6 +156,10 @@ class Encoder(Kept):
             text = text.lower()
         return self.rule.findall(text)
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut at special strings, which stand at the odd places."""
+        return self.cut.split(text) if any(c in text for c in self.first) else [text]
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -135,25 +169,17 @@ class Encoder(Kept):
         if not text:
             return b""
         try:
-            if self.cut is None or "<" not in text:
-                return b"".join(map(self.__getitem__, self.pre_tokens(text)))
-            out = []
-            for i, part in enumerate(self.cut.split(text)):  # special strings stand at the odd places
+            out: list[bytes] = []
+            for i, part in enumerate(self.parts(text)):
                 out += [self.special[part]] if i % 2 else map(self.__getitem__, self.pre_tokens(part))
             return b"".join(out)
         except OddText:
             return self.whole(text)
 
 
-_kept: dict[str, object] = {}
-
-
-def kept(definition: bytes, make: Callable[[str], object], kind: str) -> object:
+def kept(definition: bytes, make: Callable[[str], T], kind: str) -> T:
     """One object of a kind for each vocabulary and worker."""
-    key = f"{kind}:{hashlib.sha256(definition).hexdigest()}"
-    if key not in _kept:
-        _kept[key] = make(definition.decode())
-    return _kept[key]
+    return common.kept(kind, hashlib.sha256(definition).hexdigest(), lambda: make(definition.decode()))
 
 
 def shipped(spark: SparkSession, path: str) -> Broadcast[bytes]:

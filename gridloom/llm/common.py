@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of UTF-8 text to words: A-Z become a-z, other ASCII that is neither letter nor digit becomes a space.
@@ -29,17 +33,45 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a folder of
+    its own, as in tests; on a cluster that would scatter the rows over the executors' disks, so it raises there."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: What this process has written to the shared folder and not removed yet.
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; release() removes it."""
+    _written.append(path := f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes what was written to the shared folder after the first `since` paths (see marked), but for `keep`. Frames that
+    operators returned before can't be read any more, so call it once their rows are written or no longer needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _written[since:] if p != keep]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _written.remove(path)
+
+
+def marked() -> int:
+    """How many paths are written by now."""
+    return len(_written)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later failures recompute from there."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,6 +104,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that a worker keeps between batches, of one operator at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(kind: str, key: str, make: Callable[[], T]) -> T:
+    """The worker's table of this kind and key, made at first use. A worker serves several operators in turn; the tables of
+    another kind give way, so that their memory doesn't add up."""
+    name = f"{kind}:{key}"
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def replaced(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to add (names compare without case, as Spark's do)."""
     taken = {n.lower() for n in names}

@@ -40,17 +40,17 @@ class Counter(Kept):
         if not text:
             return 0
         try:
-            cut = self.encoder.cut
-            if cut is None or "<" not in text:
-                return sum(map(self.__getitem__, self.encoder.pre_tokens(text)))
-            return sum(1 if i % 2 else sum(map(self.__getitem__, self.encoder.pre_tokens(part))) for i, part in enumerate(cut.split(text)))
+            return sum(1 if i % 2 else sum(map(self.__getitem__, self.encoder.pre_tokens(part))) for i, part in enumerate(self.encoder.parts(text)))
         except OddText:
             return len(self.encoder.whole(text)) // 4
 
 
 def proven_whole_tokens(definition: str) -> list[str]:
-    """The vocabulary's strings that are one pre-token and encode alone as their own single id."""
+    """The vocabulary's strings that are one pre-token and encode alone as their own single id; none of a vocabulary of a kind
+    that isn't known."""
     encoder = Encoder(definition)
+    if encoder.rule is None:
+        return []
     back = {chr(to): bytes([b]) for b, to in byte_letters().items()}
     special, found = set(encoder.special), []
     for letters, n in json.loads(definition)["model"]["vocab"].items():
@@ -66,8 +66,10 @@ def proven_whole_tokens(definition: str) -> list[str]:
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 512) -> DataFrame:
     """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of its text column.
 
-    The text column stays; columns of the three names are replaced. Null and empty texts have 0 bytes and 0 tokens. Every row
-    keeps its place in the plan: no shuffle, no state between rows but the worker's table. Repeated rows count alike.
+    The text column stays, as do extra columns; columns of the three names are replaced, whatever their case. Null and empty
+    texts have 0 bytes and 0 tokens. Very long texts are counted whole, in time linear in their length. Every row keeps its
+    place in the plan: no shuffle, no state between rows but the worker's table. Repeated rows count alike; an empty table
+    gives an empty one with the three columns.
     """
     data = shipped(df.sparkSession, vocabulary)
     base = replaced(df, ["n_bytes", "n_tokens", "over_limit"])
