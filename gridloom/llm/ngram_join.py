@@ -33,13 +33,23 @@ ROWS = 5
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
 #: Words whose hashes a task keeps; a full table starts anew.
 KEPT, KEPT_LENGTH = 100_000, 64
-#: Bits of the largest bitmap of wanted keys.
-FILTER = 1 << 28
+#: Bits of the largest bitmap of wanted keys, 16 MB.
+FILTER = 1 << 27
+#: Keys that a task remembers to send each set once; a full memory starts anew.
+SENT = 200_000
 #: Columns of one dense step in counting common n-grams.
 STEP = 4096
 
-#: Multipliers of a word's hash by its place in the n-gram.
-PLACES = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(16)], np.uint64)
+
+
+@lru_cache(8)
+def multipliers(n: int) -> np.ndarray:
+    """n odd multipliers, for a word's hash by its place in the n-gram and for a row's by its place in the band."""
+    return np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(n)], np.uint64)
+
+
+#: Odd multipliers that mix a hash.
+MIX = (multipliers(8)[7], multipliers(8)[3])
 
 
 def bands_for(similar: float, rows: int, recall: float) -> int:
@@ -66,12 +76,12 @@ def gram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    m = max(1, len(h) - n + 1)
+    m, places = max(1, len(h) - n + 1), multipliers(n)
     out = np.zeros(m, np.uint64)
     for j in range(min(n, len(h))):
-        out += h[j : j + m] * PLACES[j]
+        out += h[j : j + m] * places[j]
     out ^= out >> np.uint64(31)
-    out *= PLACES[7]
+    out *= MIX[0]
     out ^= out >> np.uint64(29)
     return np.unique(out)
 
@@ -94,9 +104,9 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
         part = grams[start : start + 1024, None] * a
         part += b
         part ^= part >> np.uint64(32)
-        part *= PLACES[3]
+        part *= MIX[1]
         np.minimum(least, part.min(axis=0), out=least)
-    mixed = (least.reshape(bands, rows) >> np.uint64(8)) * PLACES[:rows]
+    mixed = (least.reshape(bands, rows) >> np.uint64(8)) * multipliers(rows)
     return np.bitwise_xor.reduce(mixed ^ mixed >> np.uint64(27), axis=1)
 
 
@@ -134,33 +144,37 @@ def sets_of(docs: DataFrame, text: str, n: int, wanted: DataFrame, count: int) -
     """(key, set binary) of the wanted keys; sets that nobody wants aren't shuffled.
 
     A bitmap over the keys' first 32 bits, made by a distributed bitwise OR, lets sets pass; it is bounded by FILTER bits, and
-    what it lets pass wrongly falls to the exact join.
+    what it lets pass wrongly falls to the exact join. A task sends each set once, so that many copies of a text bring one set
+    a task; the join keeps the small side, the keys, in memory and doesn't sort the sets.
     """
     prefix = wanted.select(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").alias("p"))
     bits = min(FILTER, max(1 << 10, 1 << (32 * max(1, count)).bit_length()))
-    cells = prefix.select((F.col("p") % bits).alias("p")).select((F.col("p") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("b"))
+    cells = prefix.select((F.col("p") % bits).alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
     words = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(bits // 32, np.int64)
-    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value, WordHashes()
+        table, known, sent = shared.value, WordHashes(), set()
         for batch in batches:
             keys, sets = [], []
             for t in batch.column(0):
                 grams = gram_set(t.as_py(), n, known)
                 key = set_key(grams)
-                if key is not None:
+                if key is not None and key not in sent:
                     p = int.from_bytes(key[:4], "big") % bits
-                    if table[p // 32] >> p % 32 & 1:
+                    if int(table[p // 64]) >> p % 64 & 1:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(key)
                         keys.append(key)
                         sets.append(grams.tobytes())
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["key", "set"])
 
     found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key binary, set binary")
-    return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return found.join(wanted.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def common_grams(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -259,7 +273,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """(members: doc_id, key; groups: key, copies, first, component, links): a row a document, and a row for each key, an
     n-gram set, with its component's smallest key and the number of documents of other sets that it links to."""
     bands = bands_for(similar, rows, recall)
-    exact = Fraction(similar).limit_denominator(1000)
+    exact = Fraction(str(similar))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = written(signed(docs, doc_id, text, n, bands, rows), "signatures")
@@ -297,8 +311,9 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
 
     Copies count as links, each once. Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters; a
     text of fewer than n words is one n-gram; null texts and texts without words link to nothing, not even one another.
-    Documents without id count, and get the class of the others; rows with equal ids are documents of their own. Banding
-    finds a pair at the threshold with probability `recall`; what is found is verified on whole sets.
+    Documents without id count, and get the class of the others; rows with equal ids are documents of their own. Extra columns
+    aren't carried; an empty table gives an empty one. `similar` is taken as the decimal that it is written as. Banding finds
+    a pair at the threshold with probability `recall`; what is found is verified on whole sets.
     """
     members, groups = classes(docs, doc_id, text, **how)
     groups = written(groups, "groups")
@@ -309,16 +324,27 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, **how) -> DataFrame:
-    """docs with one document of each class of ngram_join, the one of the smallest id; documents without words all stay."""
-    _, groups = classes(docs, doc_id, text, n=n, **how)
+    """docs with one document of each class of ngram_join, the one of the smallest id (null ids come last); documents without
+    words, null and empty texts among them, all stay. Extra columns stay. Rows are kept by their ids; only rows whose id is
+    null or comes more than once are told apart by their n-gram sets, and of equal ones any stays."""
+    members, groups = classes(docs, doc_id, text, n=n, **how)
     groups = written(groups, "groups")
     best = groups.groupBy("component").agg(F.min_by(F.struct("key", "first"), F.struct(F.col("first").isNull(), F.col("first"), F.col("key"))).alias("best"))
-    key, best_key, first = (fresh(docs, name) for name in ("key", "best_key", "first"))
+    best_key, first, repeated = (fresh(docs, name) for name in ("best_key", "first", "repeated"))
     best = best.select(F.col("best.key").alias(best_key), F.col("best.first").alias(first))
+    several = members.where("key is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(repeated))
+    several = written(several, "repeated-ids")
+    best = written(best.join(several, F.col(first).eqNullSafe(F.col(repeated)), "left").withColumn(repeated, F.col(repeated).isNotNull() | F.col(first).isNull()), "kept")
     worded = F.coalesce(F.col(f"`{text}`").rlike(r"[0-9A-Za-z\x{80}-\x{10ffff}]"), F.lit(False))
-    rows = keyed(docs.where(worded), text, n, key)
-    kept = rows.join(best, (F.col(key) == F.col(best_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(first))).dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
+    own, columns = F.col(f"`{doc_id}`").cast("long"), [F.col(f"`{c}`") for c in docs.columns]
+    single = best.where(~F.col(repeated)).select(first)
+    kept = docs.where(worded).join(single.hint("shuffle_hash"), own == F.col(first), "left_semi").unionByName(docs.where(~worded))
+    if several.isEmpty():
+        return kept
+    key = fresh(docs, "key")
+    among = docs.where(worded).join(several.hint("shuffle_hash"), own.eqNullSafe(F.col(repeated)), "left_semi")
+    rows = keyed(among, text, n, key).join(best.where(repeated), (F.col(key) == F.col(best_key)) & own.eqNullSafe(F.col(first)))
+    return kept.unionByName(rows.dropDuplicates([key]).select(*columns))
 
 
 def fresh(df: DataFrame, name: str) -> str:
