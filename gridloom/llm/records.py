@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, kept, shipped
-from .common import shared_dir, written
+from .common import new_path, written
 
 HEAD, FOOT, BODY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqB")
 #: Fixed value: the constant of the checksum mask.
@@ -60,21 +60,34 @@ def parsed(data: bytes) -> tuple[int | None, bytes]:
     return doc_id if has_id else None, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids
 
 
-def read_record(f: pa.NativeFile) -> bytes:
-    """The record at the file's place; a checksum that doesn't fit raises."""
-    head = f.read(HEAD.size)
-    size, check = HEAD.unpack(head)
-    if masked(head[:8]) != check:
+def record_data(record: bytes) -> bytes:
+    """The data of a whole record; lengths or checksums that don't fit raise."""
+    if len(record) < HEAD.size + FOOT.size:
+        raise ValueError("a record is cut short")
+    size, check = HEAD.unpack_from(record)
+    if masked(record[:8]) != check:
         raise ValueError("a record's length is damaged")
-    data = f.read(size)
-    if len(data) != size or masked(data) != FOOT.unpack(f.read(FOOT.size))[0]:
+    data = record[HEAD.size : -FOOT.size]
+    if len(data) != size or masked(data) != FOOT.unpack(record[-FOOT.size :])[0]:
         raise ValueError("a record's data is damaged")
     return data
 
 
+#: Schemes of Hadoop's file systems by the store's own scheme.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "gs": "gs", "hdfs": "hdfs", "s3": "s3", "file": "file"}
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path by its scheme; a plain path is a shared folder."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The store of a path by its scheme; a plain path is a shared folder, and dbfs: the folder that its nodes mount. A scheme
+    that no store is known for raises."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"{path}: records can be written to {', '.join([*SCHEMES, 'dbfs'])} and plain paths")
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
 
 
 class ShardWriter:
@@ -110,7 +123,8 @@ def write_records(
 
     Returns the manifest (shard int, name string, n_records long, n_ids long), a written table that names the shards of the
     attempts that count, in order. Null ids come first; equal ids lie side by side, ordered by their text. Texts travel to
-    their range of ids once; ids aren't shuffled. An empty table gives an empty manifest.
+    their range of ids once; ids aren't shuffled. A text of any length is one record; extra columns aren't written, whatever
+    their names. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     data = shipped(spark, vocabulary)
@@ -153,7 +167,7 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
     """doc_id long, start long (ids before the document's), n_tokens long, ids_crc32 long of every record of the manifest.
 
     The running start needs one number for each shard, over the manifest alone (a row for each 128 MB). Each shard is then
-    read by its index in a task of its own.
+    read by its index, a task holding whole shards.
     """
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
@@ -181,22 +195,35 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 yield batch(rows)
 
 
+#: Bytes that are read at once where records lie side by side.
+READ_BYTES = 1 << 20
+
+
 def shard_sequences(store: fs.FileSystem, path: str, order: Callable[[int], list[int]] | None = None) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) of a shard through its index, in file order or in that of order(number of records)."""
+    """(doc_id, ids) of a shard through its index, in file order or in that of order(number of records). Offsets give each
+    record's place and end; records that are asked for one after another and lie side by side are read together."""
     with store.open_input_file(f"{path}.idx") as f:
-        offsets = np.frombuffer(f.read(), "<u8")
+        offsets = np.frombuffer(f.read(), "<u8").astype(np.int64)
     with store.open_input_file(f"{path}.rec") as f:
-        if order is None:
-            with store.open_input_stream(f"{path}.rec", buffer_size=1 << 20) as s:
-                for _ in offsets:
-                    yield parsed(read_record(s))
-        else:
-            for k in order(len(offsets)):
-                f.seek(int(offsets[k]))
-                yield parsed(read_record(f))
+        ends = np.append(offsets[1:], f.size())
+        wanted = range(len(offsets)) if order is None else order(len(offsets))
+        at = 0
+        while at < len(wanted):
+            first = last = wanted[at]
+            at += 1
+            while at < len(wanted) and wanted[at] == last + 1 and ends[last + 1] - offsets[first] <= READ_BYTES:
+                last += 1
+                at += 1
+            start = int(offsets[first])
+            block = f.read_at(int(ends[last]) - start, start)
+            for k in range(first, last + 1):
+                yield parsed(record_data(block[offsets[k] - start : ends[k] - start]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Writes docs to a new folder in the shared one, and what reading it back gives."""
-    folder = f"{shared_dir(docs.sparkSession)}/records-{uuid.uuid4().hex}"
+    """Writes docs to a new folder in the shared one, and what reading it back through its offsets gives: doc_id, start (ids
+    before the document), n_tokens, ids_crc32. Null and empty texts are their end token alone; null ids come first and rows of
+    equal id are records of their own; very long texts are one record; extra columns aren't carried; an empty table gives an
+    empty one."""
+    folder = new_path(docs.sparkSession, "records")
     return read_records(docs.sparkSession, folder, write_records(docs, folder, vocabulary, end_id))
