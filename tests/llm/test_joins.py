@@ -164,3 +164,55 @@ def test_vector_topk(spark, block, monkeypatch):
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, rank int").repartition(3)
     assert Bag(tuple(r) for r in vector_topk.top_k(df, k=7).collect()) == brute_top([(a, None if b is None else [None if x is None else float(np.float32(x)) for x in b]) for a, b in rows], 7)
     assert vector_topk.top_k(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_vector_cells_of_any_width_give_equal_results(spark, bits, monkeypatch):
+    monkeypatch.setattr(vector_topk, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5) * 10.0 ** rng.integers(-1, 7)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert Bag(tuple(r) for r in vector_topk.top_k(df, k=7, bits=bits).collect()) == brute_top(rows, 7)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(9)
+    for scale in (3, 300, 10**7, 10**9):
+        q, m = rng.integers(-scale, scale, (20, 7)), rng.integers(-scale, scale, (50, 7))
+        for bits in (1, 4, 8):
+            lower, upper = vector_topk.bounds(q, *vector_topk._cells(m, bits))
+            exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in m] for x in q], dtype=object)
+            assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_recall_of_the_default_bands(spark):
+    """Pairs of Jaccard indices from 0.80 to 0.85: replaced words of long texts, each text with one partner."""
+    rng, rows, pairs = random.Random(12), [], 0
+    while pairs < 600:
+        base = ["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(rng.randint(150, 400))]
+        other = base[:]
+        for p in rng.sample(range(5, len(base) - 5), round(len(base) * rng.uniform(0.016, 0.023))):
+            other[p] = "changed" + str(rng.random())[2:8]
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.class_id == r.doc_id - 1 and r.n_links == 1 for r in got if r.doc_id % 2) >= 0.99 * pairs
+
+
+def test_threshold_is_the_decimal(spark):
+    a = [f"w{i}" for i in range(1000 + 4)]
+    b = [*a[:902], *(f"x{i}" for i in range(102))]
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    index = len(shingles(rows[0][1]) & shingles(rows[1][1])) / len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for similar, links in ((round(index - 0.0002, 5), 1), (round(index + 0.0002, 5), 0)):
+        assert [r.n_links for r in ngram_join.ngram_join(df, similar=similar, recall=0.9999).collect()] == [links, links], (index, similar)
+
+
+def test_long_grams_and_many_rows(spark):
+    rows = [(1, " ".join(map(str, range(100)))), (2, " ".join(map(str, range(1, 101)))), (3, "other words")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=20, rows=17, recall=0.9).collect()
+    assert len(got) == 3
+    assert ngram_join.gram_set(rows[0][1], 20, ngram_join.WordHashes()).shape == (81,)
