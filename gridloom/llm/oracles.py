@@ -23,14 +23,14 @@ def url_filter(rules: list[Rule]) -> str:
 
     def key(c: str) -> str:
         query = f"regexp_extract({c}, '(?s)^.*?://[^?#]*(\\?[^#]*)', 1)"
-        return f"CASE WHEN contains({c}, '://') THEN 'x://' || {lowered(host.format(c))} || {path.format(c)} || {query} END"
+        return f"CASE WHEN contains({c}, '://') THEN 'x://' || {lowered(host.format(c))} || coalesce(nullif({path.format(c)}, ''), '/') || {query} END"
 
     judged = lambda t, k: f"SELECT {k}, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM {t} JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1"
     return f"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES {values}),
 u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN {lowered(host.format('url'))} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN {path.format('url')} ELSE '' END AS path, {key('url')} AS k FROM pages),
 tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM u WHERE regexp_matches(html, '(?i)canonical|refresh')),
-links AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+links AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b') THEN regexp_extract(tag, '(?is)[\\s"'']href\\s*=\\s*["'']?([^"''\\s>]+)', 1)
   WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS t FROM tags),
 resolved AS (SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || t END AS t FROM links),
 e AS (SELECT {key('url')} AS a, {key('t')} AS b FROM resolved WHERE url IS NOT NULL AND t IS NOT NULL),
@@ -44,8 +44,8 @@ SELECT u.page_id, u.host, u.path, own.rule, coalesce(own.verdict, spread.verdict
 
 DECONTAMINATE = rf"""
 WITH d AS ({words('documents', 'doc_id')}), b AS ({words('benchmark', 'item_id')}),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[CAST(k + 1 AS INT):CAST(k + least(10, len(w)) AS INT)], ' ') AS s FROM b, range(100000) t(k) WHERE len(w) > 0 AND k <= greatest(0, len(w) - 10)),
-x AS (SELECT doc_id, n, k, array_to_string(w[CAST(k + 1 AS INT):CAST(k + n AS INT)], ' ') AS s FROM d, (SELECT DISTINCT n FROM i), range(100000) t(k) WHERE k + n <= len(w)),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[CAST(k + 1 AS INT):CAST(k + least(10, len(w)) AS INT)], ' ') AS s FROM (SELECT *, unnest(range(greatest(1, len(w) - 9))) AS k FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, n, k, array_to_string(w[CAST(k + 1 AS INT):CAST(k + n AS INT)], ' ') AS s FROM (SELECT *, unnest(range(len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE n <= len(w))),
 h AS (SELECT doc_id, k, x.n, item FROM x JOIN i ON x.n = i.n AND x.s = i.s),
 c AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM h, range(10) t(o) WHERE o < n GROUP BY 1),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
@@ -60,7 +60,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 NGRAM_JOIN = f"""
 WITH RECURSIVE d AS ({words('documents', 'doc_id')}),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(k + 1 AS INT):CAST(k + 5 AS INT)], ' ') AS s FROM d, range(100000) t(k) WHERE len(w) > 0 AND k <= greatest(0, len(w) - 5)),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(k + 1 AS INT):CAST(k + 5 AS INT)], ' ') AS s FROM (SELECT *, unnest(range(greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
@@ -70,17 +70,27 @@ SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(n_links,
 
 
 def license_scan() -> str:
+    """Base phrases by their places, other parts by their presence in the line of words."""
+    known = all_templates()
+    holds = lambda p: f"contains(line, ' {' '.join(p)} ')"
     columns, label, longest = [], [], []
-    for t, (phrase, name, keys, _) in enumerate(all_templates()):
-        at = " AND ".join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(phrase))
-        extra = " AND ".join([f"contains(' ' || array_to_string(w, ' ') || ' ', ' {' '.join(k)} ')" for k in keys]) or "true"
-        columns.append(f"CASE WHEN {extra} THEN list_filter(range(len(w)), lambda i: coalesce({at}, false)) ELSE [] END AS h{t}")
-        label.append(f"CASE WHEN len(h{t}) > 0 THEN ['{name}'] ELSE [] END")
-        longest.append(f"CASE WHEN len(h{t}) > 0 THEN {len(phrase)} ELSE 0 END")
+    for t, (name, parts, keys, least, of_base) in enumerate(known):
+        if of_base:
+            at = " AND ".join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(parts[0]))
+            columns.append(f"CASE WHEN {holds(parts[0])} THEN list_filter(range(len(w)), lambda i: coalesce({at}, false)) ELSE [] END AS h{t}")
+        found = " + ".join(f"CAST({holds(p)} AS INT)" for p in parts)
+        fits = " AND ".join([f"{found} >= {least}", *map(holds, keys)])
+        label.append(f"CASE WHEN {fits} THEN ['{name}'] ELSE [] END")
+        words = " + ".join(f"CASE WHEN {holds(p)} THEN {len(p)} ELSE 0 END" for p in parts)
+        longest.append(f"CASE WHEN {fits} THEN {words} ELSE 0 END")
     n = len(BASE)
     base = " || ".join(f"h{t}" for t in range(n))
     joined = lambda parts: f"array_to_string(list_sort(list_distinct({' || '.join(parts)})), ',')"
     return f"""
-WITH d AS ({words('documents', 'doc_id')}), h AS (SELECT doc_id, len(w) AS n_words, {', '.join(columns)} FROM d)
-SELECT doc_id, n_words, CAST(len({base}) AS BIGINT) AS n_base, list_min({base}) AS first_word, list_max({base}) AS last_word, {joined(label[:n])} AS base_labels, {joined(label)} AS labels,
-  greatest({', '.join(longest)}) / (greatest({', '.join(longest)}) + 1) AS score FROM h"""
+WITH d AS ({words_sql()}), l AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d), h AS (SELECT *, greatest({', '.join(longest)}) AS most, {', '.join(columns)} FROM l)
+SELECT doc_id, len(w) AS n_words, CAST(len({base}) AS BIGINT) AS n_base, list_min({base}) AS first_word, list_max({base}) AS last_word, {joined(label[:n])} AS base_labels, {joined(label)} AS labels,
+  most / (most + 1) AS score FROM h"""
+
+
+def words_sql() -> str:
+    return words("documents", "doc_id")
