@@ -3,7 +3,7 @@
 Pieces shorter than a sequence are dealt over partitions and packed by best-fit decreasing. Dual feasible functions bound
 each partition's number of sequences from below; a partition that meets its bound is certified and stays. Partitions with a
 gap exchange the documents of their unfilled sequences: whole sequences are dealt anew, repacked by best-fit decreasing, and
-the repacking is taken where it needs fewer. Only lengths travel; token ids never leave the task that made them.
+the repacking is taken where it needs fewer. Rounds go on while they save sequences. Only lengths travel; token ids never leave the task that made them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from .common import written
 
 #: Pieces in one partition of a round; a packing by best-fit decreasing loses little beyond some thousands.
 DEALT = 8192
-ROUNDS = 3
+#: Exchange goes on while a round saves at least this part of its sequences (any, if there are fewer than 1 / GAIN), and ends
+#: after so many rounds in a row that don't.
+GAIN, IDLE = 1e-4, 2
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,9 +37,13 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     f_e drops lengths under e and lifts those over size - e to size; u_k rounds (k + 1) * x / size down unless it is whole;
     either keeps any set of lengths that fits one sequence at size or less, so its sum over size is a bound.
     """
-    if not len(lengths):
+    return bound_of(np.bincount(lengths, minlength=size + 1).astype(np.int64), size)
+
+
+def bound_of(count: np.ndarray, size: int) -> int:
+    """lower_bound by the number of pieces of each length from 0 to size."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
     x = np.arange(size + 1, dtype=np.int64)
     best = -(-int(count @ x) // size)
     below, weight = np.cumsum(count), np.cumsum(count * x)
@@ -114,29 +120,36 @@ def _pack(size: int, tag: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024, doc_id: str = "doc_id", text: str = "text", dealt: int = DEALT, rounds: int = ROUNDS
+    docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024, doc_id: str = "doc_id", text: str = "text", dealt: int = DEALT, gain: float = GAIN
 ) -> DataFrame:
     """Per piece: doc_id, piece int, start, length, ids_crc32, sequence_id and offset (long).
 
     Every document, null and empty texts too, is its text's ids and end_id; only those longer than size are cut, the first
     piece taking what is left over. Pieces in a sequence lie gapless from offset 0 and fill at most size tokens. Rows with
-    equal or null doc_id are documents of their own. Extra columns aren't carried. An empty table gives no rows. The texts are
-    read once; what is shuffled is a few numbers a document, spread by hash over partitions of about `dealt` pieces.
+    equal or null doc_id are documents of their own. Extra columns, whatever their names, aren't carried. An empty table gives
+    no rows. The texts are read once; what is shuffled is a few numbers a document, spread by hash over partitions of about
+    `dealt` pieces. packing_gap() tells how far the result may be from the fewest sequences.
     """
     pieces = written(encoded_pieces(docs, vocabulary, end_id, size, doc_id, text).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     loose = pieces.where(F.col("length") < size).select("uid", "length", F.lit(0).cast("long").alias("bin"))
     state = "uid long, length long, bin long, free long, open boolean"
     n = loose.count()
-    done, todo = [], loose.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(-(-n // dealt) or 1)))
-    for r in range(rounds + 1):
+    done, before, idle = [], None, 0
+    todo = loose.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(-(-n // dealt) or 1)))
+    for r in range(255):  # a round's number has 8 bits of a sequence's
         packed = written(todo.groupBy("part").applyInPandas(_pack(size, r), state), "packed")
-        done.append(packed.where(~F.col("open")))
-        still = packed.where("open")
-        m = still.count() if r < rounds else 0
-        if not m:
-            done.append(still)
+        bins = packed.groupBy("bin").agg(F.first("open").alias("open")).agg(F.count("*").alias("all"), F.count_if("open").alias("open")).first()
+        idle = 0 if before is None or before - bins.all > gain * before else idle + 1
+        if not bins.open or idle >= IDLE:
+            done.append(packed)
             break
+        done.append(packed.where(~F.col("open")))
+        still, before = packed.where("open"), bins.open
+        # an open partition's full sequences are no part of the exchange; m rows are what is dealt anew
+        m = still.count()
         todo = still.withColumn("part", F.pmod(F.xxhash64("bin", F.lit(r)), F.lit(-(-m // dealt)))).select("uid", "length", "bin", "part")
+    else:
+        done.append(still)
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
@@ -144,3 +157,11 @@ def pack_documents(
     placed = placed.select("uid", F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(place), F.lit(0)).alias("offset"))
     full = pieces.where(F.col("length") == size).select(*PIECES, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return pieces.where(F.col("length") < size).join(placed, "uid").select(*PIECES, "sequence_id", "offset").unionByName(full)
+
+
+def packing_gap(packed: DataFrame, size: int = 1024) -> tuple[int, int]:
+    """(sequences used, lower bound on them) of a packing, by dual feasible functions of all lengths. The driver gets a count
+    for each length, size of them at most."""
+    counts = {r.length: r.n for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    used = packed.select("sequence_id").distinct().count()
+    return used, bound_of(np.array([counts.get(x, 0) for x in range(size + 1)], np.int64), size)

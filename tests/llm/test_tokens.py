@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import struct
 import zlib
@@ -171,3 +172,60 @@ def test_bounds_hold():
         assert np.bincount(bins, lengths).max() <= size
         met += packing.lower_bound(lengths, size) == least
     assert met > 100
+
+
+def vocabulary(tmp_path, special="<|x|>", **changes):
+    """A copy of the public vocabulary's definition with another special string or other steps."""
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    spec["added_tokens"] = [{"id": 50256, "content": special, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    spec |= changes
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(spec))
+    return str(path)
+
+
+@pytest.mark.parametrize("changes", [
+    {"special": "[SEP]"}, {"special": "EOS"},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}},
+    {"normalizer": {"type": "Lowercase"}},
+    {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+])
+def test_other_vocabularies_are_encoded_as_by_the_library(tmp_path, changes):
+    path = vocabulary(tmp_path, **changes)
+    library, definition = Tokenizer.from_file(path), open(path).read()
+    library.no_truncation()
+    encoder, counter = Encoder(definition), Counter(definition)
+    for t in ("a [SEP] b", "EOS", "xEOSy", "Hello 123 World  [SEP][SEP]", "", "é 12", "EO S <|endoftext|> <"):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert encoder.ids(t) == struct.pack(f"<{len(ids)}I", *ids), t
+        assert counter.count(t) == len(ids), t
+
+
+def test_records_carry_no_extra_columns(spark, docs, corpus):
+    odd = docs.selectExpr("doc_id", "text", "'x' AS part", "1 AS Start", "2 AS ids_crc32")
+    rows = records.round_trip(odd, public_tokenizers.path("word_bpe_49k.json"), 2).collect()
+    assert len(rows) == len(corpus)
+    assert set(rows[0].asDict()) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+    packed = packing.pack_documents(docs.selectExpr("doc_id", "text", "'x' AS piece", "1 AS Start", "2 AS length", "3 AS uid"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert packed.count() >= len(corpus)
+
+
+def test_packing_gap_and_rounds(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["a"] * rng.randint(1, 700))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), 2, dealt=10_000)
+    many = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), 2, dealt=25)
+    (used, bound), (used_parts, same) = packing.packing_gap(one), packing.packing_gap(many)
+    assert bound == same and bound <= used <= bound + 1
+    assert used <= used_parts <= used * 1.06  # nine sequences a partition, which is far fewer than by default
+
+
+def test_stores_by_scheme(tmp_path):
+    assert records.opened(str(tmp_path))[1] == str(tmp_path)
+    assert records.opened(f"file://{tmp_path}")[1] == str(tmp_path)
+    assert records.opened("dbfs:/x/y")[1] == "/dbfs/x/y"
+    assert records.opened("s3a://bucket/x?region=eu-west-1")[1] == "bucket/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        records.opened("viewfs://c/x")
