@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import stages
-from gridloom.llm.common import importable, shared_dir, table
+from gridloom.llm.common import importable, marked, new_path, release, table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = stages.STAGES
 
@@ -17,11 +16,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; the last stage's rows."""
+    """All stages over the documents table; the last stage's rows. What a stage has read and written on its way is removed from
+    the shared folder once its result is written."""
     importable(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), marked()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, start, keep=path)
     return docs
