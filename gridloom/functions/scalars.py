@@ -13,14 +13,14 @@ SPACE = r"[\s\x{00A0}\x{3000}]+"
 LAYER_MARKS = r"[\s\x{00A0}\x{3000}_\-()\[\]/\\\x{3010}\x{3011}\x{FF08}\x{FF09}]+"
 #: Entity types by coarse kind; types that aren't named are "other".
 KINDS = {
-    "text": ("TEXT", "MTEXT", "ATTRIB", "ATTDEF"),
+    "text": ("TEXT", "MTEXT", "ATTRIB"),
     "block_insert": ("INSERT",),
-    "line": ("LINE",),
+    "line": ("LINE", "XLINE", "RAY"),
     "curve": ("ARC", "CIRCLE", "ELLIPSE"),
     "spline_curve": ("SPLINE",),
     "hatch_area": ("HATCH",),
-    "area_entity": ("REGION", "SOLID"),
-    "annotation_dimension": ("DIMENSION", "LEADER"),
+    "area_entity": ("SOLID", "REGION", "WIPEOUT"),
+    "annotation_dimension": ("DIMENSION", "LEADER", "MLEADER"),
     "point": ("POINT",),
 }
 CLOSED_TYPES = ("HATCH", "CIRCLE", "ELLIPSE", "REGION")
@@ -86,33 +86,60 @@ def is_closed(kind: Column, closed: Column) -> Column:
 
 
 def numeral(c: Column) -> Column:
-    """A number written in digits or in Chinese numerals up to 99; null otherwise."""
-    plain = F.translate(c, "一二三四五六七八九两〇零", "123456789200")
-    tens = F.regexp_extract(plain, "^([1-9]?)十([0-9]?)$", 1), F.regexp_extract(plain, "^([1-9]?)十([0-9]?)$", 2)
-    value = F.when(tens[0] == "", 1).otherwise(tens[0].try_cast("int")) * 10 + F.when(tens[1] == "", 0).otherwise(tens[1].try_cast("int"))
-    return F.when(plain.rlike("^[0-9]+$"), plain.try_cast("int")).when(plain.rlike("^[1-9]?十[0-9]?$"), value)
+    """A number written in ASCII digits, as one Chinese digit, or with 十 for tens (a part that is no digit counts as 1 ten or 0
+    ones); null otherwise."""
+    digit = lambda x: F.when(F.length(x) == 1, F.translate(x, "一二两三四五六七八九〇零", "122345678900").try_cast("int"))
+    chinese = c.rlike("^[一二两三四五六七八九〇零]$")
+    left, right = F.substring_index(c, "十", 1), F.substr(c, F.length(F.substring_index(c, "十", 1)) + 2)
+    part = lambda x, other: F.when(x.rlike("^[一二两三四五六七八九〇零]$"), digit(x)).otherwise(other)
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int")).when(chinese, digit(c)).when(c.contains("十"), part(left, 1) * 10 + part(right, 0))
 
 
-def floor_mentions(c: Column) -> Column:
-    """Ids of the floors that a text names, in a fixed order, each once: EQUIPMENT, REFUGE, MEZZANINE, ROOF, STANDARD,
-    basements B1 to B8, floors F1 to F80."""
-    named = [F.when(c.rlike(p), F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for n, p in FLOOR_WORDS]
-    below = F.transform(F.regexp_extract_all(F.upper(c), F.lit("B([1-8])(?:F|层)?(?![0-9])"), F.lit(1)), lambda d: F.concat(F.lit("B"), d))
-    before = F.transform(F.regexp_extract_all(F.upper(c), F.lit("(?:^|[^A-Z0-9])F([1-9][0-9]?)(?![0-9])"), F.lit(1)), lambda d: d.try_cast("int"))
-    after = F.transform(F.regexp_extract_all(F.upper(c), F.lit("(?:^|[^B0-9A-Z])([1-9][0-9]?)(?:F|层)"), F.lit(1)), lambda d: d.try_cast("int"))
-    written = F.transform(F.regexp_extract_all(c, F.lit("([一二三四五六七八九两十]{1,3})层"), F.lit(1)), numeral)
-    above = F.transform(F.filter(F.concat(before, after, written), lambda n: (n >= 1) & (n <= 80)), lambda n: F.concat(F.lit("F"), n.cast("string")))
-    return F.array_distinct(F.concat(*named, below, above))
-
+#: A word character of any script before or after, which a floor code may not touch.
+NOT_AFTER, NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Words that name a floor without a number, in the order in which they are listed.
+FLOOR_WORDS = [("EQUIPMENT", "设备层"), ("REFUGE", "避难层"), ("MEZZANINE", "夹层"), ("ROOF", "屋顶|屋面|顶层"), ("STANDARD", "标准层"), ("F1", "首层")]
+NUMERALS = "一二两三四五六七八九十0-9"
 
-#: Words that name a floor without a number.
-FLOOR_WORDS = [("EQUIPMENT", "设备层"), ("REFUGE", "避难层"), ("MEZZANINE", "夹层"), ("ROOF", "屋顶|屋面"), ("STANDARD", "标准层")]
 
-
-def is_upper_floor(floor: Column) -> Column:
-    """True only for floors from the second up, roofs and equipment floors; false for basements, the first and unknown ones."""
-    number = F.regexp_extract(floor, "^F([0-9]+)$", 1).try_cast("int")
-    return floor.isin("ROOF", "EQUIPMENT") | F.coalesce(number >= 2, F.lit(False))
+def floor_mentions(c: Column) -> Column:
+    """Ids of the floors that a text names, each once: floors by name, basements by 地下 or 负, then by B, floors by 层, then by
+    F. A number before 层 that also stands behind 地下 or 负 is no upper floor. Basements are B1 to B8, floors F1 to F80."""
+    text = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, ""), "０１２３４５６７８９", "0123456789")
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    numbered = lambda kind, raw: F.transform(F.filter(F.transform(raw, numeral), lambda n: n > 0), lambda n: F.concat(F.lit(kind), n.cast("string")))
+    named = [F.when(text.rlike(p), F.array(F.lit(n))).otherwise(F.array().cast("array<string>")) for n, p in FLOOR_WORDS]
+    below = F.concat(found(f"地下([{NUMERALS}]+)层"), found(f"负([{NUMERALS}]+)层"))
+    above = F.filter(found(f"第?([{NUMERALS}]+)层"), lambda raw: ~F.array_contains(below, raw))
+    ids = F.concat(*named, numbered("B", below), numbered("B", found(f"(?i){NOT_AFTER}B([0-9]+)[F层]?{NOT_BEFORE}")), numbered("F", above), numbered("F", found(f"(?i){NOT_AFTER}([1-9][0-9]?)F{NOT_BEFORE}")))
+    return F.array_distinct(F.filter(ids, lambda i: i.rlike("^([A-Z]{4,}|B[1-8]|F([1-9]|[1-7][0-9]|80))$")))
+
+
+def floor_name(floor: Column) -> Column:
+    """What a floor id is called in titles; other ids stand for themselves."""
+    number = F.regexp_extract(floor, "^[BF]([0-9]+)$", 1)
+    words = {"ROOF": "屋顶层", "STANDARD": "标准层", "EQUIPMENT": "设备层", "MEZZANINE": "夹层", "REFUGE": "避难层", "F1": "首层"}
+    out = F.when(floor.rlike("^B[0-9]+$"), F.concat(F.lit("地下"), number, F.lit("层")))
+    out = reduce(lambda o, w: o.when(floor == w[0], w[1]), words.items(), out)
+    return out.when(floor.rlike("^F[0-9]+$"), F.concat(number, F.lit("层"))).otherwise(floor)
+
+
+def is_upper_floor(*values: Column) -> Column:
+    """True only where ids, names or titles say the second floor or higher, the roof or an equipment floor; false for basements,
+    the first floor and whatever doesn't say. The first value that says anything decides, but for roof and equipment."""
+    keys = [library_key(F.coalesce(v, F.lit(""))) for v in values]
+    named = reduce(lambda a, b: a | b, [k.rlike("ROOF|屋顶|屋面|EQUIPMENT|设备层") for k in keys])
+
+    def said(key: Column) -> Column:
+        number = lambda pattern: F.nullif(F.regexp_extract(key, pattern, 1), F.lit("")).try_cast("int")
+        leading = F.coalesce(number("^F([0-9]+)"), number("^([0-9]+)F(?:[^A-Z0-9]|$)"))
+        inner = F.coalesce(number("[^A-Z0-9]F([0-9]+)"), number("[^A-Z0-9]([0-9]+)F(?:[^A-Z0-9]|$)"), number("([0-9]+)[层楼]"))
+        written = F.regexp_extract(key, "([一二两三四五六七八九十]+)[层楼]", 1)
+        spelled = F.when(written.contains("十") | (F.length(written) == 1), numeral(written))
+        below = key.rlike("地下|负[0-9]|^B[0-9]+")
+        return F.when(leading.isNotNull(), leading >= 2).when(below, False).when(inner.isNotNull(), inner >= 2).when(spelled.isNotNull(), spelled >= 2)
+
+    return named | F.coalesce(*[said(k) for k in keys], F.lit(False))
 
 
 def floor_order(floor: Column) -> Column:

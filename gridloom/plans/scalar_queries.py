@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import scalars as S
 from ..operators import cascades
+from ..sources import drawing as D
 from ..sources import tables as T
 
 
@@ -68,13 +69,12 @@ ENTITIES_SQL = f"""entities AS (SELECT l_orderkey, l_linenumber, l_partkey, l_qu
 
 
 def geometry_kinds(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d).select("kind", S.geometry_kind(F.col("kind"), F.col("closed")).alias("coarse"), S.is_closed(F.col("kind"), F.col("closed")).alias("is_closed"))
-    return e.groupBy("kind", "coarse", "is_closed").agg(F.count("*").alias("n"))
+    """All entity types, open and closed."""
+    e = D.entities(spark, d).select("entity_type", "geometry_kind", "is_closed")
+    return e.groupBy("entity_type", "geometry_kind", "is_closed").agg(F.count("*").alias("n"))
 
 
-GEOMETRY_KINDS = f"""WITH {ENTITIES_SQL} SELECT kind, CASE kind WHEN 'LINE' THEN 'line' WHEN 'LWPOLYLINE' THEN CASE WHEN closed THEN 'polyline_closed' ELSE 'polyline_open' END
-  WHEN 'CIRCLE' THEN 'curve' WHEN 'TEXT' THEN 'text' WHEN 'INSERT' THEN 'block_insert' WHEN 'HATCH' THEN 'hatch_area' WHEN 'DIMENSION' THEN 'annotation_dimension' ELSE 'other' END AS coarse,
-  CAST((kind = 'LWPOLYLINE' AND closed) OR kind IN ('HATCH', 'CIRCLE') AS INT) AS is_closed, count(*) AS n FROM entities GROUP BY 1, 2, 3"""
+GEOMETRY_KINDS = f"WITH {D.ENTITIES_SQL} SELECT entity_type, geometry_kind, is_closed, count(*) AS n FROM entities GROUP BY 1, 2, 3"
 
 
 def polyline_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -138,18 +138,20 @@ WITH {T.BOXES_SQL} SELECT target_id, round((x0 + 1) * 500, 4) AS px, round(1000
 def floor_mentions(spark: SparkSession, d: str) -> DataFrame:
     t = T.floor_texts(spark, d).withColumn("floors", S.floor_mentions(F.col("title")))
     return t.select(
-        "p_partkey", "title", F.array_join("floors", ",").alias("floors"), F.exists("floors", S.is_upper_floor).alias("upper"),
+        "p_partkey", "title", F.array_join("floors", ",").alias("floors"), F.array_join(F.transform("floors", S.floor_name), ",").alias("names"), S.is_upper_floor(F.col("title")).alias("upper"),
         F.array_min(F.transform("floors", S.floor_order)).alias("lowest"), F.array_join(S.building_labels(F.col("title")), ",").alias("buildings"),
     )
 
 
+#: What each title says by the definitions, one case a title.
 FLOOR_MENTIONS = f"""
-WITH {T.FLOOR_TEXTS_SQL}, s AS (SELECT t.*, p_size AS n, p_size % 8 + 1 AS m, t.p_partkey % 8 AS k FROM titles t JOIN part USING (p_partkey)),
-f AS (SELECT p_partkey, title, k, n, m, CASE k WHEN 0 THEN ['F' || n] WHEN 1 THEN ['F' || n] WHEN 2 THEN ['B' || m] WHEN 3 THEN ['ROOF', 'F' || n] WHEN 4 THEN ['EQUIPMENT'] WHEN 5 THEN ['STANDARD'] || CASE WHEN m < 9 THEN [] ELSE [] END WHEN 6 THEN ['MEZZANINE', 'B' || m, 'F' || n] ELSE CAST([] AS VARCHAR[]) END AS floors FROM s)
-SELECT p_partkey, title, array_to_string(CASE WHEN k = 5 THEN ['STANDARD'] || ['F' || m] ELSE floors END, ',') AS floors,
-  CASE k WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true WHEN 7 THEN false WHEN 5 THEN m >= 2 ELSE n >= 2 END AS upper,
-  CASE k WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN -m WHEN 3 THEN least(n, 1000) WHEN 4 THEN 2000 WHEN 5 THEN least(m, 2000) WHEN 6 THEN -m END AS lowest,
-  CASE WHEN k = 7 THEN array_to_string(list_distinct([CAST(m AS VARCHAR)]) || CASE WHEN m = n THEN [] ELSE [CAST(n AS VARCHAR)] END, ',') ELSE '' END AS buildings FROM f"""
+WITH {T.FLOOR_TEXTS_SQL}, f AS (SELECT *, CASE k WHEN 0 THEN ['F' || n] WHEN 3 THEN ['B' || m, 'F' || n] WHEN 4 THEN ['ROOF', 'F' || n] WHEN 5 THEN ['EQUIPMENT'] WHEN 6 THEN ['STANDARD', 'F' || (10 + m)] WHEN 7 THEN ['B' || m]
+  WHEN 8 THEN ['F1', 'B' || m] WHEN 9 THEN ['REFUGE', 'MEZZANINE', 'ROOF'] WHEN 11 THEN ['F' || n] WHEN 12 THEN ['B2'] WHEN 15 THEN ['F' || n] ELSE CAST([] AS VARCHAR[]) END AS floors FROM titles)
+SELECT p_partkey, title, array_to_string(floors, ',') AS floors,
+  array_to_string(list_transform(floors, lambda x: CASE x WHEN 'ROOF' THEN '屋顶层' WHEN 'STANDARD' THEN '标准层' WHEN 'EQUIPMENT' THEN '设备层' WHEN 'MEZZANINE' THEN '夹层' WHEN 'REFUGE' THEN '避难层' WHEN 'F1' THEN '首层' ELSE CASE WHEN x[1] = 'B' THEN '地下' ELSE '' END || substr(x, 2) || '层' END), ',') AS names,
+  CASE WHEN k IN (0, 1, 11, 14, 15) THEN n >= 2 ELSE k IN (4, 5, 6, 13) END AS upper,
+  CASE k WHEN 0 THEN n WHEN 3 THEN -m WHEN 4 THEN n WHEN 5 THEN 2000 WHEN 6 THEN 10 + m WHEN 7 THEN -m WHEN 8 THEN -m WHEN 9 THEN 1000 WHEN 11 THEN n WHEN 12 THEN -2 WHEN 15 THEN n END AS lowest,
+  CASE WHEN k = 10 THEN array_to_string(list_distinct([CAST(m AS VARCHAR)]) || CASE WHEN m = n THEN [] ELSE [CAST(n AS VARCHAR)] END, ',') ELSE '' END AS buildings FROM f"""
 
 
 def json_cells(spark: SparkSession, d: str) -> DataFrame:

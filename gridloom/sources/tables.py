@@ -34,14 +34,19 @@ TARGETS_SQL = "targets AS (SELECT vec_id AS target_id, label AS floor, CAST(embe
 BOXES_SQL = """boxes AS (SELECT vec_id AS target_id, label AS floor, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS y0,
   CAST(embedding[1] AS DOUBLE) + abs(CAST(embedding[3] AS DOUBLE)) + 0.02 AS x1, CAST(embedding[2] AS DOUBLE) + abs(CAST(embedding[4] AS DOUBLE)) + 0.02 AS y1 FROM embeddings)"""
 
-FLOOR_TEXTS = ["{n}F 平面图", "F{n} plan", "地下室 B{m}F", "屋面 plan {n}F", "设备层", "十{m}层 标准层", "夹层 B{m} F{n}", "{m}#、{n}# building"]
+FLOOR_TEXTS = [
+    "{n}F", "F{n} plan", "地下室 B{m}F", "B{m}F-{n}F", "屋面 plan {n}层", "设备层", "十{c}层 标准层", "地下{c}层及{c}层平面图", "负{m}层 首层", "顶层、夹层、避难层", "{m}#、{n}# building", "第{n}层平面图", "地下二层",
+    "二楼", "F{n}__B0{m}", "{n}层 B{m}",
+]
+NUMERALS = "一二三四五六七八"
 
 
 def floor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, title: a drawing title for each part."""
-    n, m = F.col("p_size").cast("string"), (F.col("p_size") % 8 + 1).cast("string")
-    texts = [F.replace(F.replace(F.lit(t), F.lit("{n}"), n), F.lit("{m}"), m) for t in FLOOR_TEXTS]
-    return load(spark, sf_dir, "part").select("p_partkey", F.array(*texts)[(F.col("p_partkey") % 8).cast("int")].alias("title"))
+    k = F.col("p_size") % 8 + 1
+    n, m, c = F.col("p_size").cast("string"), k.cast("string"), F.substr(F.lit(NUMERALS), k.cast("int"), F.lit(1))
+    texts = [F.replace(F.replace(F.replace(F.lit(t), F.lit("{n}"), n), F.lit("{m}"), m), F.lit("{c}"), c) for t in FLOOR_TEXTS]
+    return load(spark, sf_dir, "part").select("p_partkey", F.array(*texts)[(F.col("p_partkey") % 16).cast("int")].alias("title"))
 
 
-FLOOR_TEXTS_SQL = "titles AS (SELECT p_partkey, replace(replace(list_extract([" + ", ".join(f"'{t}'" for t in FLOOR_TEXTS) + "], CAST(p_partkey % 8 AS INT) + 1), '{n}', CAST(p_size AS VARCHAR)), '{m}', CAST(p_size % 8 + 1 AS VARCHAR)) AS title FROM part)"
+FLOOR_TEXTS_SQL = "titles AS (SELECT p_partkey, p_size AS n, CAST(p_size % 8 + 1 AS INT) AS m, CAST(p_partkey % 16 AS INT) AS k, replace(replace(replace(list_extract([" + ", ".join(f"'{t}'" for t in FLOOR_TEXTS) + f"], CAST(p_partkey % 16 AS INT) + 1), '{{n}}', CAST(p_size AS VARCHAR)), '{{m}}', CAST(p_size % 8 + 1 AS VARCHAR)), '{{c}}', substr('{NUMERALS}', CAST(p_size % 8 + 1 AS INT), 1)) AS title FROM part)"

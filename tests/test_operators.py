@@ -32,8 +32,15 @@ def test_text_keys(spark):
 
 
 def test_floors(spark):
-    assert values(spark, S.floor_mentions, ["3F 平面图", "B2F", "屋面 F12", "十二层", "F81", "夹层", "", "AF3"]) == [["F3"], ["B2"], ["ROOF", "F12"], ["F12"], [], ["MEZZANINE"], [], []]
-    assert values(spark, S.is_upper_floor, ["F1", "F2", "B1", "ROOF", "x"]) == [False, True, False, True, False]
+    titles = {
+        "3F": ["F3"], "3F 平面图": [], "B2F": ["B2"], "屋面 F12": ["ROOF"], "十二层": ["F12"], "81层": [], "夹层": ["MEZZANINE"], "": [], "AF3": [], "地下一层": ["B1"], "地下2层": ["B2"], "负二层": ["B2"], "首层": ["F1"],
+        "顶层": ["ROOF"], "地下二层、二层": ["B2"], "地下二层、三层": ["B2", "F3"], "第二十三层平面": ["F23"], "B9": [], "b3-12f": ["B3", "F12"], "设备层 标准层 避难层": ["EQUIPMENT", "REFUGE", "STANDARD"], "二三层": [],
+    }
+    assert values(spark, S.floor_mentions, list(titles)) == list(titles.values())
+    upper = ["F2", "2F", "2层", "二楼", "F7__B01", "ROOF", "屋顶层", "EQUIPMENT", "十二层", "a F3", "x屋面"]
+    lower = ["F1", "1F", "首层", "B1", "地下二层", "UNKNOWN", "", "负2层", "B1 3层", "一层", "F1 F2"]
+    assert values(spark, S.is_upper_floor, upper + lower) == [True] * len(upper) + [False] * len(lower)
+    assert spark.range(1).select(S.is_upper_floor(F.lit("x"), F.lit(None).cast("string"), F.lit("3层")).alias("a"), S.is_upper_floor(F.lit("B1"), F.lit("3层")).alias("b")).first() == (True, False)
     assert values(spark, S.building_labels, ["1、2、3#", "A1号 b2号 A1号", "x"]) == [["1", "2", "3"], ["A1", "B2"], []]
 
 
