@@ -202,7 +202,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", predicted: str =
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    predict = F.arrow_udf(run, "lang_pred string, score double")
+    # not deterministic for the planner alone: a filter on the prediction would be computed beside it a second time
+    predict = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
     base = replaced(docs, [predicted, score, "_said"])
     said = base.withColumn("_said", predict(F.col(f"`{text}`")))
     return said.select(*[F.col(f"`{c}`") for c in base.columns], F.col("_said.lang_pred").alias(predicted), F.col("_said.score").alias(score))
