@@ -32,13 +32,6 @@ def checked_rules(rules: list[dict]) -> list[dict]:
     return out
 
 
-def locked_plan(plan: DataFrame, visits: DataFrame) -> DataFrame:
-    """The plan (route, place, target) as it is; a place whose visit differs or is missing raises when it is read."""
-    j = plan.join(visits.select("route", "place", F.col("target").alias("_seen")), ["route", "place"], "left")
-    same = F.when(F.col("target").eqNullSafe(F.col("_seen")), F.col("target")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("the locked plan differs at"), F.col("route").cast("string"), F.col("place").cast("string"))))
-    return j.select("route", "place", same.alias("target"))
-
-
 def top_successors(legs: DataFrame, most: int) -> DataFrame:
     """Per source its most frequent successors, ties by name; counted before anything meets."""
     n = legs.groupBy("source", "next").agg(F.count("*").alias("n"))

@@ -12,22 +12,27 @@ EXACT, FULL = 16, 80
 PASSES, EPS = 8, 1e-9
 
 
-def held_karp(d: np.ndarray) -> list[int]:
-    """A shortest open path through all points; of equal ones the lexicographically smallest found from its end."""
+def held_karp(d: np.ndarray) -> list[int] | None:
+    """A shortest open path through all points, None where infinite distances leave none; of equal ones the lexicographically
+    smallest found from its end. Sets of equal size are settled at once, as arrays."""
     n = len(d)
     if n < 2:
         return list(range(n))
+    masks = np.arange(1 << n)
     best = np.full((1 << n, n), np.inf)
-    last = np.zeros((1 << n, n), int)
-    for i in range(n):
-        best[1 << i, i] = 0
-    for mask in range(1, 1 << n):
+    last = np.zeros((1 << n, n), np.int8)
+    best[1 << np.arange(n), np.arange(n)] = 0
+    sizes = sum(masks >> j & 1 for j in range(n))
+    for size in range(2, n + 1):
+        own = masks[sizes == size]
         for j in range(n):
-            if mask >> j & 1 and mask != 1 << j:
-                options = best[mask ^ 1 << j] + d[:, j]
-                last[mask, j] = k = int(options.argmin())
-                best[mask, j] = options[k]
+            with_j = own[own >> j & 1 == 1]
+            options = best[with_j ^ 1 << j] + d[:, j]
+            k = options.argmin(axis=1)
+            last[with_j, j], best[with_j, j] = k, options[np.arange(len(with_j)), k]
     mask, j, path = (1 << n) - 1, int(best[-1].argmin()), []
+    if not np.isfinite(best[-1, j]):
+        return None
     while True:
         path.append(j)
         if mask == 1 << j:
@@ -35,35 +40,6 @@ def held_karp(d: np.ndarray) -> list[int]:
         mask, j = mask ^ 1 << j, int(last[mask, j])
 
 
-def greedy(d: np.ndarray, start: int) -> list[int]:
-    path, left = [start], set(range(len(d))) - {start}
-    while left:
-        path.append(min(left, key=lambda k: (d[path[-1], k], k)))
-        left.remove(path[-1])
-    return path
-
-
-def length(d: np.ndarray, path: list[int]) -> float:
-    return float(sum(d[a, b] for a, b in zip(path, path[1:], strict=False)))
-
-
-def two_opt(d: np.ndarray, path: list[int], rounds: int = 4, span: int = 24) -> list[int]:
-    """Reverses stretches of up to span targets while that shortens the open path, for some rounds."""
-    path, n = path[:], len(path)
-    for _ in range(rounds):
-        changed = False
-        for i in range(n - 1):
-            for j in range(i + 1, min(n, i + span)):
-                before = (d[path[i - 1], path[i]] if i else 0) + (d[path[j], path[j + 1]] if j + 1 < n else 0)
-                after = (d[path[i - 1], path[j]] if i else 0) + (d[path[i], path[j + 1]] if j + 1 < n else 0)
-                if after < before - 1e-12:
-                    path[i : j + 1] = path[i : j + 1][::-1]
-                    changed = True
-        if not changed:
-            break
-    return path
-
-
 def starts_of(n: int) -> list[int]:
     """Starts of nearest neighbour orders: all up to 32 targets, else some at equal steps, the first and the last."""
     if n <= 32:
@@ -134,38 +110,6 @@ def heuristic(xy: np.ndarray) -> list[int]:
     return min(paths, key=lambda p: (float(legs_of(xy, p).sum()), p))
 
 
-def open_walk(parents: dict[int, int | None]) -> list[int]:
-    """A walk over a tree from its root by depth first, children by id, that ends at the deepest leaf: that leaf's branch is
-    walked last and isn't walked back."""
-    children: dict[int, list[int]] = {}
-    root = next(k for k, p in parents.items() if p is None)
-    for k, p in sorted(parents.items()):
-        if p is not None:
-            children.setdefault(p, []).append(k)
-    deep: dict[int, tuple[int, int]] = {}
-    order, stack = [], [root]
-    while stack:
-        v = stack.pop()
-        order.append(v)
-        stack += children.get(v, [])
-    for v in reversed(order):
-        deep[v] = max(((deep[c][0] + 1, -c) for c in children.get(v, [])), default=(0, 0))
-    walk: list[int] = []
-    todo = [(root, False, True)]
-    while todo:
-        v, back, final = todo.pop()
-        walk.append(v)
-        if back:
-            continue
-        kids = children.get(v, [])
-        last = -deep[v][1] if kids and final else None
-        for c in sorted(kids, key=lambda c: (c == last, c), reverse=True):
-            if c != last:
-                todo.append((v, True, False))
-            todo.append((c, False, c == last))
-    return walk
-
-
 def plan_routes(targets: DataFrame, exact: int = EXACT) -> DataFrame:
     """Per floor (route) an order over its targets (floor, target_id, x, y): exact up to `exact` targets, else the best of
     nearest neighbour orders from several starts, improved by reversals. One task holds one floor."""

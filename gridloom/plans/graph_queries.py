@@ -65,11 +65,11 @@ def metric_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 METRIC_CLOSURE = f"""
-WITH RECURSIVE {near_sql(0.06)}, t AS (SELECT floor, target_id FROM targets WHERE target_id % 5 = 0),
+WITH RECURSIVE {near_sql(0.06)}, t AS (SELECT floor, target_id FROM targets),
 p(floor, src, node, distance) USING KEY (floor, src, node) AS (SELECT floor, target_id, target_id, CAST(0 AS DOUBLE) FROM t
   UNION SELECT q.floor, q.src, q.other_id, q.distance FROM (SELECT p.floor, p.src, n.other_id, min(p.distance + round(n.distance, 6)) AS distance FROM p JOIN near n ON p.floor = n.floor AND p.node = n.target_id GROUP BY 1, 2, 3) q
   LEFT JOIN recurring.p r ON r.floor = q.floor AND r.src = q.src AND r.node = q.other_id WHERE r.distance IS NULL OR q.distance < r.distance - 1e-9)
-SELECT p.floor, src, node AS dst, round(distance, 6) AS distance FROM p WHERE node % 5 = 0 AND (src = node AND p.floor IN (SELECT floor FROM near) OR src <> node)"""
+SELECT p.floor, src, node AS dst, round(distance, 6) AS distance FROM p WHERE src = node AND p.floor IN (SELECT floor FROM near) OR src <> node"""
 
 
 def message_passing(spark: SparkSession, d: str) -> DataFrame:
@@ -103,10 +103,6 @@ def route_plans(spark: SparkSession, d: str) -> DataFrame:
     return R.plan_routes(T.targets(spark, d))
 
 
-def area_tree(spark: SparkSession, d: str) -> DataFrame:
-    return G.area_tree(T.targets(spark, d).withColumn("value", F.col("target_id") % 7 + 1))
-
-
 def insertion_costs(spark: SparkSession, d: str) -> DataFrame:
     """The cheapest place at which each odd target enters the floor's route over even ones by id; ends cost one leg."""
     t = T.targets(spark, d)
@@ -289,6 +285,6 @@ EVENT_SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 
-_NAMES = "connected_components reachability_rates edge_min_dedupe metric_closure message_passing block_containment route_plans area_tree insertion_costs route_start edge_passes char_ngram_cosine tfidf_similarity fuzzy_class_match alias_best_match keyword_patterns box_clusters dense_clusters axis_clusters projection_gaps wall_bands event_windows event_sessions".split()
+_NAMES = "connected_components reachability_rates edge_min_dedupe metric_closure message_passing block_containment route_plans insertion_costs route_start edge_passes char_ngram_cosine tfidf_similarity fuzzy_class_match alias_best_match keyword_patterns box_clusters dense_clusters axis_clusters projection_gaps wall_bands event_windows event_sessions".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}

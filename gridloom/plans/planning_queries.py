@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
+from ..operators import context as C
+from ..operators import optimizer as O
+from ..operators import planner as N
 from ..operators import planning as P
 from ..operators import spatial as J
+from ..sources import drawing as D
 from ..sources import tables as T
+from .drawing_queries import KEY
 from .graph_queries import COMPONENTS_SQL, connected_components, near_sql
 
 
@@ -44,13 +48,185 @@ f AS (SELECT *, min(place) OVER (PARTITION BY route, c) AS fp FROM o), g AS (SEL
 SELECT route, CAST(segment AS INT) AS segment, CAST(row_number() OVER (PARTITION BY route ORDER BY fp, place) AS INT) AS place, target, place = fp AND segment > 1 AS virtual_start FROM g"""
 
 
+def scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Targets as a scope's: areas, scores, mandatory and legal ones by id."""
+    t = T.targets(spark, d)
+    return t.select(
+        F.concat(F.lit("F"), F.col("floor").cast("string")).alias("scope"), F.col("target_id").alias("target"), "x", "y", F.concat(F.lit("A"), (F.col("target_id") % 6).cast("string")).alias("area"),
+        (F.col("target_id") * 37 % 101 / 101).alias("score"), (F.col("target_id") % 9 == 0).alias("mandatory"), (F.col("target_id") % 8 == 3).alias("legal"), F.lit(1.0).alias("scale"), F.lit(True).alias("primary"),
+    )
+
+
+def ways(spark: SparkSession, d: str) -> DataFrame:
+    """(scope, src, dst, distance): straight ways between all targets of a floor."""
+    b = O.blocked_distances(T.targets(spark, d).select("floor", F.col("target_id").alias("target"), "x", "y"))
+    return b.select(F.concat(F.lit("F"), F.col("floor").cast("string")).alias("scope"), "src", "dst", F.round("distance", 9).alias("distance"))
+
+
+SCOPED_SQL = f"""{T.TARGETS_SQL}, scoped AS (SELECT 'F' || floor AS scope, target_id AS target, x, y, 'A' || target_id % 6 AS area, target_id * 37 % 101 / 101 AS score, target_id % 9 = 0 AS mandatory FROM targets),
+ways AS (SELECT a.scope, a.target AS src, b.target AS dst, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) AS distance FROM scoped a JOIN scoped b ON a.scope = b.scope),
+links AS (SELECT w.scope, a.area AS l, b.area AS r, min(distance) AS distance, arg_min(src, (distance, src, dst)) AS lt, arg_min(dst, (distance, src, dst)) AS rt FROM ways w JOIN scoped a ON a.scope = w.scope AND a.target = src JOIN scoped b ON b.scope = w.scope AND b.target = dst WHERE a.area < b.area GROUP BY 1, 2, 3)"""
+
+
+def blocked_distances(spark: SparkSession, d: str) -> DataFrame:
+    return ways(spark, d)
+
+
+BLOCKED_DISTANCES = f"WITH {SCOPED_SQL} SELECT scope, src, dst, distance FROM ways"
+
+
+def requirements(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over a scope's targets: all mandatory ones, three of a class, and one each of two of four categories."""
+    t = scoped(spark, d).select("scope", "target", "mandatory")
+    row = lambda where, name, kind, category, quota: t.where(where).select("scope", "target", F.lit(name).alias("name"), F.lit(kind).alias("kind"), category.alias("category"), F.lit(quota).alias("quota"), F.lit(1).alias("each"))
+    none = F.lit("")
+    return row("mandatory", "all", "mandatory_all", none, 0).unionByName(row("target % 7 < 2", "q1", "quota_per_class", none, 3)).unionByName(row("target % 5 = 2", "g", "distinct_category_group", F.concat(F.lit("C"), (F.col("target") % 4).cast("string")), 2))
+
+
+def rule_targets(spark: SparkSession, d: str) -> DataFrame:
+    return N.rule_targets(scoped(spark, d), requirements(spark, d))
+
+
+RULE_TARGETS = f"""
+WITH {SCOPED_SQL}, m AS (SELECT scope, target, 'mandatory_all' AS reason, 0 AS rank FROM scoped WHERE mandatory),
+q AS (SELECT *, count(*) FILTER (mandatory) OVER (PARTITION BY scope) AS have, row_number() OVER (PARTITION BY scope ORDER BY mandatory, score DESC, target) AS k FROM scoped WHERE target % 7 < 2),
+g AS (SELECT *, 'C' || target % 4 AS category, row_number() OVER (PARTITION BY scope, target % 4 ORDER BY score DESC, target) AS k FROM scoped WHERE target % 5 = 2), c AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, category) AS place FROM g WHERE k = 1),
+u AS (SELECT * FROM m UNION ALL SELECT scope, target, 'q1', 1 FROM q WHERE NOT mandatory AND k <= 3 - have UNION ALL SELECT scope, target, 'g:' || category, 2 FROM c WHERE place <= 2)
+SELECT scope, target, arg_min(reason, (rank, reason)) AS reason FROM u GROUP BY 1, 2"""
+
+
+def area_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return N.area_pairs(scoped(spark, d), ways(spark, d))
+
+
+AREA_PAIRS = f'WITH {SCOPED_SQL} SELECT scope, l AS "left", r AS "right", distance, lt AS left_target, rt AS right_target FROM links'
+
+
+def area_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Trees over the areas of every floor."""
+    return N.area_trees(scoped(spark, d), ways(spark, d))
+
+
+#: Step by step the area of least distance over 1 + 0.35 of its part of the highest value, from the most valuable one on.
+AREA_TREE = f"""
+WITH RECURSIVE {SCOPED_SQL}, v AS (SELECT scope, area, sum(score + CASE WHEN mandatory THEN 1 ELSE 0 END) AS value FROM scoped GROUP BY 1, 2), m AS (SELECT scope, max(value) AS top, arg_max(area, (value, area)) AS root FROM v GROUP BY 1),
+e AS (SELECT scope, l AS p, r AS c, distance FROM links UNION ALL SELECT scope, r, l, distance FROM links), k AS (SELECT e.*, distance / (1 + 0.35 * (value / top)) AS cost FROM e JOIN v ON v.scope = e.scope AND v.area = c JOIN m ON m.scope = e.scope),
+t AS (SELECT scope, CAST(NULL AS VARCHAR) AS parent, root AS child, CAST(0 AS DOUBLE) AS distance, 0 AS step, [root] AS inside FROM m
+  UNION ALL SELECT t.scope, arg_min(p, (cost, k.distance, p, c)), arg_min(c, (cost, k.distance, p, c)), arg_min(k.distance, (cost, k.distance, p, c)), t.step + 1, list_append(t.inside, arg_min(c, (cost, k.distance, p, c))) FROM t JOIN k ON k.scope = t.scope AND list_contains(t.inside, p) AND NOT list_contains(t.inside, c) GROUP BY t.scope, t.step, t.inside)
+SELECT scope, parent, child, distance, step FROM t"""
+
+
 def relay_trees(spark: SparkSession, d: str) -> DataFrame:
-    t = T.targets(spark, d).select("floor", F.col("target_id").alias("target"), (F.col("target_id") % 5).cast("double").alias("value"))
-    return P.relay_tree(floor_edges(spark, d), t)
+    """Every third target of a floor joined in legs of at most 0.12, others being relays."""
+    t = scoped(spark, d).withColumn("required", F.col("target") % 3 == 0)
+    return N.relay_trees(t, ways(spark, d), 0.12)
 
 
 def tree_walks(spark: SparkSession, d: str) -> DataFrame:
-    return P.tree_walks(G.area_tree(T.targets(spark, d).withColumn("value", F.col("target_id") % 7 + 1)))
+    return N.tree_walks(relay_trees(spark, d))
+
+
+def floor_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of all floors with legs of at most 0.12, over what the rules ask for."""
+    t = scoped(spark, d)
+    next_of = F.struct(((F.col("target") * 7 + 1) % 500).alias("dst"), F.lit(0.5).alias("weight"))
+    follows = t.select("scope", F.col("target").alias("src"), next_of.alias("n")).select("scope", "src", "n.*")
+    return N.floor_plans(t, rule_targets(spark, d), ways(spark, d), follows, ratio=0.12)
+
+
+def locked_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as plans in segments of three visits, locked against the types that they may visit."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = T.load(spark, d, "events").select(F.col("user_id").cast("string").alias("scope"), place.alias("place"), (F.crc32("event_type") % 97).alias("target"))
+    segment = F.floor((F.col("place") - 1) / 3).cast("int") + 1
+    plan = e.select("scope", segment.alias("segment"), "place", "target", (F.col("place") % 3 == 1).alias("entry"), ((F.col("place") % 3 == 1) & (F.col("place") > 1)).alias("virtual"))
+    return N.locked_plan(plan, e.select("scope", "target").distinct()).drop("target")
+
+
+LOCKED_PLANS = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS scope, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS place FROM events),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY scope, event_type ORDER BY place) AS INT) AS target_ordinal FROM e)
+SELECT scope, (place - 1) // 3 + 1 AS segment, place, place % 3 = 1 AS entry, place % 3 = 1 AND place > 1 AS virtual, (place - 1) % 3 + 1 AS segment_ordinal, target_ordinal, target_ordinal > 1 AS repeated FROM r"""
+
+
+def optimiser_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A floor's two first targets are mandatory; two of those with a remainder of 1 by 5 are asked for."""
+    t = T.targets(spark, d).select("floor", F.col("target_id").alias("target"), (F.col("target_id") * 37 % 101 / 101).alias("value"))
+    first = F.row_number().over(Window.partitionBy("floor").orderBy("target"))
+    rows = t.withColumn("k", first)
+    rule = lambda where, name, kind, count: rows.where(where).groupBy("floor").agg(F.sort_array(F.collect_list("target")).alias("items")).select("floor", F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit("").alias("category"), "items", F.lit(count).alias("count"), F.lit(1).alias("each"))
+    rules = rule("k <= 2", "first", "mandatory_all", 0).unionByName(rule("target % 5 = 1 and k > 2", "fifth", "quota_per_class", 2))
+    points = T.targets(spark, d).select("floor", F.col("target_id").alias("target"), "x", "y")
+    return t, rules, O.blocked_distances(points).withColumn("distance", F.round("distance", 9))
+
+
+def route_optimizer(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest legal routes, and those of highest value that are at most a fifth longer, exactly."""
+    t, rules, closure = optimiser_input(spark, d)
+    short, rich = O.optimised_routes(t, rules, closure), O.optimised_routes(t, rules, closure, tolerance=0.2, valued=True)
+    shown = lambda df, name: df.groupBy("floor").agg(F.lit(name).alias("goal"), F.count("place").alias("visits"), F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"), F.round(F.max("length"), 6).alias("length"), F.round(F.max("shortest"), 6).alias("shortest"), F.max("solver").alias("solver"))
+    return shown(short, "short").unionByName(shown(rich, "rich"))
+
+
+_LEG = "round(sqrt((q[{0}].x - q[{1}].x) ** 2 + (q[{0}].y - q[{1}].y) ** 2), 9)"
+_ORDERS = [[a, b, c, e] for a in range(1, 5) for b in range(1, 5) for c in range(1, 5) for e in range(1, 5) if len({a, b, c, e}) == 4 and a < e]
+_PATHS = ", ".join(" + ".join(f"w{min(p)}{max(p)}" for p in zip(o, o[1:], strict=False)) for o in _ORDERS)
+_LEGS = ", ".join(f"{_LEG.format(a, b)} AS w{a}{b}" for a in range(1, 5) for b in range(a + 1, 5))
+ROUTE_OPTIMIZER = f"""
+WITH {T.TARGETS_SQL}, n AS (SELECT *, target_id * 37 % 101 / 101 AS v, row_number() OVER (PARTITION BY floor ORDER BY target_id) AS k FROM targets),
+c AS (SELECT a.floor, [f1.target_id, f2.target_id, a.target_id, b.target_id] AS i, [struct_pack(x := f1.x, y := f1.y), struct_pack(x := f2.x, y := f2.y), struct_pack(x := a.x, y := a.y), struct_pack(x := b.x, y := b.y)] AS q, f1.v + f2.v + a.v + b.v AS v
+  FROM n f1 JOIN n f2 ON f1.floor = f2.floor AND f1.k = 1 AND f2.k = 2 JOIN n a ON a.floor = f1.floor AND a.k > 2 AND a.target_id % 5 = 1 JOIN n b ON b.floor = f1.floor AND b.k > 2 AND b.target_id % 5 = 1 AND a.target_id < b.target_id),
+w AS (SELECT floor, i, v, {_LEGS} FROM c), l AS (SELECT floor, i, v, least({_PATHS}) AS length FROM w),
+b AS (SELECT floor, min(length) AS shortest FROM l GROUP BY 1), g AS (SELECT l.*, shortest FROM l JOIN b USING (floor)),
+r AS (SELECT floor, 'short' AS goal, arg_min(i, (length, i)) AS i, min(length) AS length, any_value(shortest) AS shortest FROM g GROUP BY 1 UNION ALL SELECT floor, 'rich', arg_max(i, (v, -length, list_sort(i))), arg_max(length, (v, -length, list_sort(i))), any_value(shortest) FROM g WHERE length <= shortest * 1.2 + 1e-9 GROUP BY 1)
+SELECT floor, goal, 4 AS visits, array_to_string(list_sort(i), ',') AS targets, round(length, 6) AS length, round(shortest, 6) AS shortest, 'exact_enumeration_held_karp' AS solver FROM r"""
+
+
+def context_values(spark: SparkSession, d: str) -> DataFrame:
+    """A, N, C and their mean of every target."""
+    t = T.targets(spark, d).select("floor", F.col("target_id").alias("target"), "x", "y", (F.col("target_id") % 6).alias("area"), (F.col("target_id") % 4).alias("rule"), (F.col("target_id") % 4 + 1).alias("quota"), (F.col("target_id") % 9 == 0).alias("mandatory"))
+    areas = t.select("floor", "area").distinct().select("floor", "area", (F.col("area") + 1.0).alias("size"), (F.col("area") % 3).alias("portals"))
+    out = C.context_values(t, areas, O.blocked_distances(t.select("floor", "target", "x", "y")))
+    return out.select("floor", "target", *[F.round(c, 6).alias(c) for c in ("a", "n", "c", "u")])
+
+
+CONTEXT_VALUES = f"""
+WITH {T.TARGETS_SQL}, t AS (SELECT floor, target_id AS target, x, y, target_id % 6 AS area, target_id % 4 AS rule, target_id % 4 + 1 AS quota, target_id % 9 = 0 AS mandatory FROM targets),
+n AS (SELECT t.*, CASE WHEN mandatory THEN 1.0 ELSE least(1.0, quota / count(*) OVER (PARTITION BY floor, rule)) END AS need FROM t),
+ar AS (SELECT floor, area, (area + 1.0) / greatest(1, sum(area + 1.0) OVER (PARTITION BY floor)) AS part, area % 3 AS portals FROM (SELECT DISTINCT floor, area FROM t)),
+lo AS (SELECT floor, area, sum(need) AS l, count(DISTINCT rule) AS g FROM n GROUP BY 1, 2), i AS (SELECT n.*, 0.6 * ln(1 + l / part) + 0.25 * ln(1 + g) + 0.15 * ln(1 + portals) AS imp FROM n JOIN lo USING (floor, area) JOIN ar USING (floor, area)),
+a AS (SELECT *, CASE WHEN max(imp) OVER w - min(imp) OVER w <= 1e-12 THEN 0.5 ELSE (imp - min(imp) OVER w) / (max(imp) OVER w - min(imp) OVER w) END AS a FROM i WINDOW w AS (PARTITION BY floor)), b AS (SELECT *, need * (0.5 + 0.5 * a) AS base FROM a),
+dist AS (SELECT p.floor, p.target AS s, q.target AS o, q.mandatory AS om, q.base, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS dd FROM b p JOIN b q ON p.floor = q.floor AND p.target <> q.target),
+nr AS (SELECT *, exp(-dd / 0.15) AS decay, row_number() OVER (PARTITION BY floor, s ORDER BY dd, o) AS k FROM dist WHERE dd <= 0.15), f1 AS (SELECT floor, s, sum(decay * base) AS f, sum(decay) AS tot FROM nr WHERE k <= 32 GROUP BY 1, 2),
+f2 AS (SELECT r.floor, r.s, sum(decay * f1.f) AS sec FROM nr r JOIN f1 ON f1.floor = r.floor AND f1.s = r.o WHERE k <= 32 GROUP BY 1, 2),
+nb AS (SELECT b.floor, target, a, rule, coalesce(f + 0.3 * coalesce(sec / tot, 0), 0) AS nn FROM b LEFT JOIN f1 ON f1.floor = b.floor AND f1.s = target LEFT JOIN f2 ON f2.floor = b.floor AND f2.s = target),
+co AS (SELECT floor, s, CASE WHEN count(*) FILTER (om) > 0 THEN sum(dd) FILTER (om) / count(*) FILTER (om) ELSE avg(dd) END AS cost FROM dist GROUP BY 1, 2),
+sv AS (SELECT nb.*, coalesce(greatest(0, max(cost) OVER (PARTITION BY nb.floor, rule) - cost), 0) AS save FROM nb LEFT JOIN co ON co.floor = nb.floor AND s = target),
+z AS (SELECT floor, target, a, CASE WHEN max(nn) OVER w - min(nn) OVER w <= 1e-12 THEN 0.5 ELSE (nn - min(nn) OVER w) / (max(nn) OVER w - min(nn) OVER w) END AS n, CASE WHEN max(save) OVER w - min(save) OVER w <= 1e-12 THEN 0.5 ELSE (save - min(save) OVER w) / (max(save) OVER w - min(save) OVER w) END AS c FROM sv WINDOW w AS (PARTITION BY floor))
+SELECT floor, target, round(a, 6) AS a, round(n, 6) AS n, round(c, 6) AS c, round((a + n + c) / 3, 6) AS u FROM z"""
+
+
+def selection_values(spark: SparkSession, d: str) -> DataFrame:
+    """What the targets that the rules ask for are worth, floor by floor."""
+    t = scoped(spark, d).withColumn("own", F.when(F.col("target") % 3 > 0, F.col("target").cast("string")))
+    chosen = t.join(rule_targets(spark, d).select("scope", "target"), ["scope", "target"], "left_semi")
+    return C.selected_value(chosen.withColumnRenamed("scope", "floor"), "own", "score").withColumn("value", F.round("value", 6))
+
+
+SELECTION_VALUES = f"""WITH r AS ({RULE_TARGETS}) SELECT scope AS floor, count(*) AS n, round(sum(CASE WHEN target % 3 > 0 THEN CAST(target AS DOUBLE) ELSE target * 37 % 101 / 101 END), 6) AS value FROM r GROUP BY 1"""
+
+
+def legal_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Entities at which a route may begin, by class, name and layer, counted by physical floor."""
+    e = D.entities(spark, d).select("object_id", "raw_text", "layer", F.concat_ws("__", "floor_id", F.when(F.col("object_id") % 2 == 0, F.lit("B01"))).alias("scope"))
+    name = F.array(*map(F.lit, [*N.STARTS, "喷头"]))[(F.col("object_id") % 3).cast("int")]
+    out = e.select(N.physical_floor(F.col("scope")).alias("floor"), N.is_start(name, F.col("raw_text"), F.col("layer")).alias("legal"))
+    return out.groupBy("floor", "legal").agg(F.count("*").alias("n"))
+
+
+LEGAL_STARTS = f"""
+WITH {D.ENTITIES_SQL}, s AS (SELECT CASE WHEN contains(floor_id, '__') THEN split_part(floor_id, '__', 1) ELSE floor_id END AS floor, object_id % 3 < 2 AND NOT regexp_matches({KEY.format('raw_text')}, '防火门|DOOR_FIRE|FIRE_DOOR|^(FM|FGM|FJM)([甲乙丙丁]?[0-9]{{0,8}}([-_][0-9]+)?)?$')
+  AND NOT regexp_matches({KEY.format('layer')}, '防火门|DOOR_FIRE|FIRE_DOOR') AS legal FROM entities) SELECT floor, legal, count(*) AS n FROM s GROUP BY 1, 2"""
 
 
 def visit_events(spark: SparkSession, d: str) -> DataFrame:
@@ -61,12 +237,41 @@ def visit_events(spark: SparkSession, d: str) -> DataFrame:
     return P.visit_events(legs, P.shortest_paths(floor_edges(spark, d), legs))
 
 
+def event_legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Users' events as legs between types, each walked straight."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = T.load(spark, d, "events").select(F.col("user_id").alias("floor"), F.row_number().over(w).alias("place"), F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null")
+    paths = e.where("src <> dst").select("floor", "src", "dst").distinct().select("floor", "src", "dst", F.array("src", F.lit("hall"), "dst").alias("nodes"), F.lit(2.0).alias("length"))
+    return e, paths
+
+
+def edge_events(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that users' walks over types pass, all through one hall, with their passes."""
+    return P.edge_events(*event_legs(spark, d))
+
+
+EVENT_EDGES_SQL = """e AS (SELECT user_id AS floor, CAST(row_number() OVER w AS INT) AS place, event_type AS src, lead(event_type) OVER w AS dst FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT floor, place, 0 AS step, src AS a, 'hall' AS b FROM e WHERE src <> dst UNION ALL SELECT floor, place, 1, 'hall', dst FROM e WHERE src <> dst),
+v AS (SELECT *, CAST(row_number() OVER (PARTITION BY floor ORDER BY place, step) AS INT) AS event, CAST(row_number() OVER (PARTITION BY floor, least(a, b), greatest(a, b) ORDER BY place, step) AS INT) AS pass FROM s)"""
+EDGE_EVENTS = f"WITH {EVENT_EDGES_SQL} SELECT *, pass > 1 AS repeated FROM v"
+
+
+def walk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return P.walk_summary(*event_legs(spark, d))
+
+
+WALK_SUMMARY = f"""
+WITH {EVENT_EDGES_SQL}, g AS (SELECT floor, count(*) AS legs, count(*) FILTER (src = dst) AS unreached, CAST(count(*) FILTER (src <> dst) * 2 AS DOUBLE) AS length FROM e WHERE dst IS NOT NULL GROUP BY 1),
+w AS (SELECT floor, count(*) AS edges, count(*) FILTER (pass = 1) AS distinct_edges, count(*) FILTER (pass > 1) AS repeated_edges, count(DISTINCT CASE WHEN a = 'hall' THEN b ELSE a END) AS types FROM v GROUP BY 1)
+SELECT g.*, coalesce(edges, 0) AS edges, coalesce(distinct_edges, 0) AS distinct_edges, coalesce(repeated_edges, 0) AS repeated_edges, CASE WHEN types > 2 THEN 1 ELSE 0 END AS branch_nodes FROM g LEFT JOIN w USING (floor)"""
+
+
 def grown_regions(spark: SparkSession, d: str) -> DataFrame:
     t = T.targets(spark, d)
     out = P.grown_regions(t.where("target_id % 25 = 0").select("floor", F.col("target_id").alias("seed"), "x", "y"), t.select("floor", "x", "y"), 0.03)
     return out.select("floor", "seed", "rounds", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-_NAMES = "connector_portals component_segments relay_trees tree_walks visit_events grown_regions".split()
+_NAMES = "connector_portals component_segments blocked_distances rule_targets area_pairs area_tree relay_trees tree_walks floor_plans locked_plans route_optimizer context_values selection_values legal_starts visit_events edge_events walk_summary grown_regions".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}
