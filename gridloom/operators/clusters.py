@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from .graph import connected_components
-from .spatial import overlapping_boxes
+from .spatial import bounded_sequence, overlapping_boxes
 
 
 def box_clusters(boxes: DataFrame, buffer: float, size: float, least: int = 1) -> DataFrame:
@@ -51,7 +51,7 @@ def projection_gaps(points: DataFrame, size: float, half: int) -> DataFrame:
     """Along each floor's x the bins whose average count over a window of bins is under one, as runs: first and last bin."""
     bins = points.groupBy("floor", F.floor(F.col("x") / size).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     span = bins.groupBy("floor").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    every = span.select("floor", F.explode(F.sequence("a", "b")).alias("bin")).join(bins, ["floor", "bin"], "left").na.fill(0, ["n"])
+    every = span.select("floor", F.explode(bounded_sequence(F.col("a"), F.col("b"), 1_000_000)).alias("bin")).join(bins, ["floor", "bin"], "left").na.fill(0, ["n"])
     smooth = every.withColumn("s", F.avg("n").over(Window.partitionBy("floor").orderBy("bin").rowsBetween(-half, half)))
     low = smooth.where("s < 1").withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy("floor").orderBy("bin")))
     return low.groupBy("floor", "run").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.round(F.min("s"), 6).alias("emptiest")).drop("run")

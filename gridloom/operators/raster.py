@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .spatial import bounded_sequence
 
 
 def covered_cells(boxes: DataFrame, size: float) -> DataFrame:
@@ -16,16 +17,16 @@ def covered_cells(boxes: DataFrame, size: float) -> DataFrame:
     last = lambda v: F.floor(v / size - 0.5).cast("long")
     b = F.col("b")
     spans = boxes.select("floor", first(b["x0"]).alias("a"), last(b["x1"]).alias("c"), first(b["y0"]).alias("d"), last(b["y1"]).alias("e")).where("a <= c and d <= e")
-    columns = spans.select("floor", F.explode(F.sequence("a", "c")).alias("cx"), "d", "e")
-    return columns.select("floor", "cx", F.explode(F.sequence("d", "e")).alias("cy")).distinct()
+    columns = spans.select("floor", F.explode(bounded_sequence(F.col("a"), F.col("c"))).alias("cx"), "d", "e")
+    return columns.select("floor", "cx", F.explode(bounded_sequence(F.col("d"), F.col("e"))).alias("cy")).distinct()
 
 
 def domain_cells(boxes: DataFrame, size: float) -> DataFrame:
     """All cells of each floor's extent."""
     ends = ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))
     extent = boxes.groupBy("floor").agg(*[f(F.floor(F.col(f"b.{c}") / size)).alias(c) for f, c in ends])
-    columns = extent.select("floor", F.explode(F.sequence("x0", "x1")).alias("cx"), "y0", "y1")
-    return columns.select("floor", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    columns = extent.select("floor", F.explode(bounded_sequence(F.col("x0"), F.col("x1"))).alias("cx"), "y0", "y1")
+    return columns.select("floor", "cx", F.explode(bounded_sequence(F.col("y0"), F.col("y1"))).alias("cy"))
 
 
 def free_cells(boxes: DataFrame, size: float) -> DataFrame:

@@ -13,10 +13,20 @@ def cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
+#: Cells along one side of a box at most; one that spans more is damaged, or the cells are far too small for it.
+MOST_CELLS = 20_000
+
+
+def bounded_sequence(first: Column, last: Column, most: int = MOST_CELLS) -> Column:
+    """Whole numbers from first to last; more than `most` raise, so that one outlying coordinate can't fill the cluster."""
+    n = F.concat_ws(" ", F.lit("a side spans too many cells:"), (last - first + 1).cast("string"))
+    return F.when(last - first < most, F.sequence(first, last)).otherwise(F.raise_error(n))
+
+
 def box_cells(b: Column, size: float) -> Column:
     """All cells that a box touches, as an array of struct(cx, cy)."""
-    xs = F.sequence(cell(b["x0"], size), cell(b["x1"], size))
-    ys = F.sequence(cell(b["y0"], size), cell(b["y1"], size))
+    xs = bounded_sequence(cell(b["x0"], size), cell(b["x1"], size))
+    ys = bounded_sequence(cell(b["y0"], size), cell(b["y1"], size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
