@@ -43,6 +43,10 @@ def inflate(b: Column, by: float) -> Column:
     return box(b["x0"] - by, b["y0"] - by, b["x1"] + by, b["y1"] + by)
 
 
+def inflate_by(b: Column, by: Column) -> Column:
+    return box(b["x0"] - by, b["y0"] - by, b["x1"] + by, b["y1"] + by)
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 for degenerate boxes."""
     common = common_area(a, b)

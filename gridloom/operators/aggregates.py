@@ -16,7 +16,8 @@ def top_counter(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
 
 
 def review_priority(count: Column, is_text: Column, layer: Column, is_block: Column, is_area: Column) -> Column:
-    """3 from 100 on, 2 from 20, 1 from 5; with text +3, another layer than 0 +2, blocks and areas +1 each."""
+    """3 from 100 on, 2 from 20, 1 from 5; with text +3, another layer than 0 +2, blocks and areas (hatches, closed polylines,
+    inserts) +1 each."""
     tier = F.when(count >= 100, 3).when(count >= 20, 2).when(count >= 5, 1).otherwise(0)
     return tier + F.when(is_text, 3).otherwise(0) + F.when(layer != "0", 2).otherwise(0) + F.when(is_block, 1).otherwise(0) + F.when(is_area, 1).otherwise(0)
 
@@ -26,8 +27,10 @@ def signature_catalog(entities: DataFrame) -> DataFrame:
     g = entities.groupBy("layer", "kind", "closed").agg(
         F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.min("l_partkey").alias("first_part")
     )
-    priority = review_priority(F.col("n"), F.col("kind") == "TEXT", F.col("layer"), F.col("kind") == "INSERT", F.col("kind").isin("HATCH", "CIRCLE"))
-    return g.withColumn("priority", priority).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "layer", "kind", "closed")))
+    priority = review_priority(F.col("n"), F.col("kind") == "TEXT", F.col("layer"), F.col("kind") == "INSERT", F.col("kind").isin("HATCH", "INSERT") | (F.col("kind") == "LWPOLYLINE") & F.col("closed"))
+    from .inventory import numbered  # which builds on this module
+
+    return numbered(g.withColumn("priority", priority), "n", ["layer", "kind", "closed"])
 
 
 def robust_gate(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -20,8 +20,8 @@ def any_term(c: Column, *terms: str) -> Column:
 
 
 def noise_reasons(df: DataFrame, text: str) -> DataFrame:
-    """df with the reason for which a text can't name an object, or kept."""
-    c = F.col(text)
+    """df with the reason for which a text can't name an object, or kept; null is empty."""
+    c = F.coalesce(F.col(text), F.lit(""))
     bare = F.trim(c)
     rules = [
         ("empty", bare == ""),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..sources.shared import written
 from .graph import connected_components
-from .spatial import bounded_sequence, overlapping_boxes
+from .spatial import bounded_sequence, overlapping_boxes, touching_boxes
 
 
 def box_clusters(boxes: DataFrame, buffer: float, size: float, least: int = 1) -> DataFrame:
@@ -21,6 +24,34 @@ def box_clusters(boxes: DataFrame, buffer: float, size: float, least: int = 1) -
     return g.agg(F.count("*").alias("members"), cover.alias("b")).where(F.col("members") >= least)
 
 
+def near_clusters(boxes: DataFrame, gap: float, size: float) -> DataFrame:
+    """(id, cluster): boxes (floor, id, b) of which rounded margins of the gap meet, that is, which lie at most two gaps apart; a cluster
+    has its smallest id."""
+    wide = boxes.select("floor", "id", "b", B.inflate(F.col("b"), gap).alias("w"))
+    left, right = wide.select("floor", F.col("id").alias("u"), F.col("b").alias("a"), F.col("w").alias("p")), wide.select("floor", F.col("id").alias("v"), F.col("b").alias("c"), F.col("w").alias("q"))
+    a, c, zero = F.col("a"), F.col("c"), F.lit(0.0)
+    apart = F.hypot(F.greatest(zero, a["x0"] - c["x1"], c["x0"] - a["x1"]), F.greatest(zero, a["y0"] - c["y1"], c["y0"] - a["y1"]))
+    edges = touching_boxes(left, right, size).where((F.col("u") <= F.col("v")) & (apart <= 2 * gap)).select("u", "v")
+    return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+def merged_boxes(boxes: DataFrame, gap: float, size: float, rounds: int = 100) -> DataFrame:
+    """Boxes (floor, id, b) merged until none lie within the gap of one another: covers of what is close are compared anew, as growth
+    brings others near. (floor, id, members, b) with the smallest id; every round at least halves no less than one pair."""
+    now = boxes.select("floor", "id", F.lit(1).cast("long").alias("members"), "b")
+    for _ in range(rounds):
+        now = written(now, "merged")
+        wide = now.select("floor", "id", "b")
+        left, right = wide.select("floor", F.col("id").alias("u"), B.inflate(F.col("b"), gap).alias("p")), wide.select("floor", F.col("id").alias("v"), F.col("b").alias("q"))
+        edges = touching_boxes(left, right, size).where("u < v").select("u", "v")
+        if edges.isEmpty():
+            break
+        found = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("to"))
+        g = now.join(found, "id", "left").groupBy("floor", F.coalesce("to", "id").alias("id"))
+        now = g.agg(F.sum("members").alias("members"), B.box(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).alias("b"))
+    return now
+
+
 def dense_clusters(points: DataFrame, size: float, least: int) -> DataFrame:
     """Cells of at least one point joined with their four neighbours: floor, cluster (its smallest cell as text), cells and
     points, from so many points on."""
@@ -33,18 +64,25 @@ def dense_clusters(points: DataFrame, size: float, least: int) -> DataFrame:
     return named.join(found.select(F.col("node").alias("u"), F.col("component").alias("cluster")), "u").groupBy("floor", "cluster").agg(F.count("*").alias("cells"), F.sum("n").alias("points")).where(F.col("points") >= least)
 
 
-def running_clusters(values: Column, tolerance: float) -> Column:
-    """Clusters of sorted values: a value further than the tolerance from the running mean of the last cluster starts a new
-    one. An array of struct(mean, n)."""
-    kind = "array<struct<mean:double,n:int>>"
-    last = lambda a: F.element_at(a, -1)
-    begin = lambda v: F.array(F.struct(v.alias("mean"), F.lit(1).alias("n")))
+def axis_clusters(points: DataFrame, value: str, tolerance: float) -> DataFrame:
+    """(floor, place, mean, n): sorted values of a floor in clusters; a value further than the tolerance from the running mean of the
+    last cluster starts a new one. A gap of more than the tolerance always does, so floors are first cut at such gaps, and each run
+    between them is a task of its own; places count on over the runs."""
+    cut = points.select("floor", F.col(value).alias("v")).withColumn("new", F.coalesce((F.col("v") - F.lag("v").over(Window.partitionBy("floor").orderBy("v")) > tolerance).cast("int"), F.lit(0)))
+    runs = cut.withColumn("run", F.sum("new").over(Window.partitionBy("floor").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
 
-    def step(a: Column, v: Column) -> Column:
-        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct((last(a)["mean"] + (v - last(a)["mean"]) / (last(a)["n"] + 1)).alias("mean"), (last(a)["n"] + 1).alias("n"))))
-        return F.when(F.size(a) == 0, begin(v)).when(F.abs(v - F.try_element_at(a, F.lit(-1))["mean"]) > tolerance, F.concat(a, begin(v))).otherwise(F.when(F.size(a) > 0, joined)).cast(kind)
+    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for v in np.sort(rows["v"].to_numpy(float)):
+            if not out or abs(v - out[-1][0]) > tolerance:
+                out.append([v, 1])
+            else:
+                out[-1][1] += 1
+                out[-1][0] += (v - out[-1][0]) / out[-1][1]
+        return pd.DataFrame([(key[0], key[1], k, m, n) for k, (m, n) in enumerate(out)], columns=["floor", "run", "k", "mean", "n"])
 
-    return F.aggregate(F.array_sort(values), F.array().cast(kind), step)
+    found = runs.groupBy("floor", "run").applyInPandas(chain, "floor int, run long, k int, mean double, n int")
+    return found.select("floor", (F.row_number().over(Window.partitionBy("floor").orderBy("run", "k")) - 1).alias("place"), "mean", "n")
 
 
 def projection_gaps(points: DataFrame, size: float, half: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,17 @@ def with_fallback(groups: DataFrame, candidates: DataFrame, key: str) -> DataFra
 
 
 def top_pairs(rows: DataFrame, key: str, item: str, value: str) -> DataFrame:
-    """Of a key's items the two of highest value, as a pair; all unordered pairs need never be made."""
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(value, F.col(item))))), 1, 2)
-    return rows.groupBy(key).agg(best.alias("b")).where(F.size("b") == 2).select(key, F.col("b")[0][item].alias("first"), F.col("b")[1][item].alias("second"), (F.col("b")[0][value] + F.col("b")[1][value]).alias("value"))
+    """Of a key's items the two of highest value, as a pair, ties to the larger item: each task keeps its two best before the
+    shuffle, and all unordered pairs need never be made."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), F.desc(item)))
+    best = rows.withColumn("_k", place).where("_k <= 2")
+    of = lambda c, k: F.max(F.when(F.col("_k") == k, F.col(c)))
+    return best.groupBy(key).agg(F.count("*").alias("_n"), of(item, 1).alias("first"), of(item, 2).alias("second"), F.sum(value).alias("value")).where("_n = 2").drop("_n")
+
+
+def requirement_pairs(candidates: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(requirement, left, right): all unordered pairs of the candidates (requirement, item) of requirements (requirement, quota) that
+    ask for two. The pairs are the result; a requirement's pool is one floor's class."""
+    asked = candidates.join(requirements.where("quota = 2").select("requirement"), "requirement", "left_semi").distinct()
+    other = asked.select("requirement", F.col("item").alias("right"))
+    return asked.select("requirement", F.col("item").alias("left")).join(other, "requirement").where("left < right")

@@ -10,7 +10,8 @@ from ..functions.similarity import cosine, edit_similarity, gram_counts, jaro_wi
 
 def best_alias(items: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """Per item the class of the longest alias that its text holds (class, alias, priority); ties to the longer class name,
-    the lower priority and then the class. The library is a table of hundreds of rows and is broadcast by its plan size."""
+    the lower priority and then the class. The library is a table of hundreds of rows; the planner broadcasts it only below its
+    own size limit, and pairs the tables in blocks beyond."""
     hits = items.join(aliases, F.col(text).contains(F.col("alias")))
     rank = F.struct(F.length("alias").alias("a"), F.length("class").alias("c"), (-F.col("priority")).alias("p"))
     best = F.max_by(F.struct("class", "alias", "priority"), F.struct(rank, F.col("class")))
@@ -44,11 +45,15 @@ def best_pattern(items: DataFrame, key: str, text: str, rules: list[dict]) -> Da
 
 
 def fuzzy_class(items: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
-    """Per item the class of highest 0.35 edit + 0.25 Jaro-Winkler + 0.4 character n-gram cosine; ties to the smaller class.
-    Items meet classes by shared n-grams, not by a product of the tables."""
-    distinct = items.select(text).distinct()
-    close = cosine(gram_counts(distinct.select(F.col(text).alias("t"), F.lower(text).alias("x")), "t", "x"), gram_counts(classes.select("class", F.lower("class").alias("x")), "class", "x"), "t", "class")
+    """Per item the class of highest 0.35 edit + 0.25 Jaro-Winkler + 0.4 character n-gram cosine; ties to the smaller class. A text
+    that is a class's own name is that class with 1. Every distinct text is scored against every class of the closed set, a few
+    dozen names; n-grams only add the cosine where there are common ones."""
+    distinct = items.select(F.col(text).alias("t")).where("t is not null").distinct()
+    close = cosine(gram_counts(distinct.select("t", F.lower("t").alias("x")), "t", "x"), gram_counts(classes.select("class", F.lower("class").alias("x")), "class", "x"), "t", "class")
+    names = classes.agg(F.sort_array(F.collect_set("class")).alias("names"))  # one row: the closed set
+    every = distinct.crossJoin(names).select("t", F.explode("names").alias("class")).join(close, ["t", "class"], "left").na.fill({"cosine": 0.0})
     a, b = F.lower("t"), F.lower("class")
-    scored = close.withColumn("score", F.round(0.35 * edit_similarity(a, b) + 0.25 * jaro_winkler_udf(a, b) + 0.4 * F.col("cosine"), 6))
+    mixed = F.round(0.35 * edit_similarity(a, b) + 0.25 * jaro_winkler_udf(a, b) + 0.4 * F.col("cosine"), 6)
+    scored = every.withColumn("score", F.when(a == b, 1.0).otherwise(mixed))
     best = scored.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("s"), "class")).alias("m")).select(F.col("t").alias(text), "m.class", (-F.col("m.s")).alias("score"))
     return items.join(best, text).select(key, "class", "score")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Floors of up to so many targets are ordered exactly; up to so many others are improved by reversals until none helps.
 EXACT, FULL = 16, 80
@@ -125,3 +126,21 @@ def plan_routes(targets: DataFrame, exact: int = EXACT) -> DataFrame:
         return pd.DataFrame({"floor": key[0], "target_id": t["target_id"].to_numpy()[path], "place": range(1, len(t) + 1), "leg": np.round(legs, 6), "method": "exact" if len(t) <= exact else "heuristic"})
 
     return targets.groupBy("floor").applyInPandas(run, "floor int, target_id long, place int, leg double, method string")
+
+
+def insertion_costs(targets: DataFrame, legs: DataFrame, block: int = 2048) -> DataFrame:
+    """(floor, target_id, saving): the least detour at which each target (floor, target_id, x, y) enters its floor's route, given as legs
+    (floor, ax, ay, bx, by; the first without a start). Targets come in blocks, each with its floor's legs as arrays, so no pair is
+    ever a row."""
+    n = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("floor")) / block))
+    own = targets.withColumn("part", F.pmod(F.xxhash64("target_id"), n).cast("int"))
+    dealt = legs.join(own.select("floor", "part").distinct(), "floor").select(F.col("floor").alias("f"), F.col("part").alias("p"), "ax", "ay", "bx", "by")
+
+    def run(key: tuple, t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        xy, first = t[["x", "y"]].to_numpy(), e["ax"].isna().to_numpy()
+        a, b = e[["ax", "ay"]].to_numpy(float), e[["bx", "by"]].to_numpy(float)
+        far = lambda p: np.hypot(xy[:, None, 0] - p[None, :, 0], xy[:, None, 1] - p[None, :, 1])
+        cost = np.where(first, far(b), far(a) + far(b) - np.hypot(*(a - b).T))
+        return pd.DataFrame({"floor": np.int32(key[0]), "target_id": t["target_id"], "saving": cost.min(axis=1) if len(e) else np.nan})
+
+    return own.groupBy("floor", "part").cogroup(dealt.groupBy("f", "p")).applyInPandas(run, "floor int, target_id long, saving double")

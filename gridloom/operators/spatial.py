@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,21 @@ def smallest_region(points: DataFrame, regions: DataFrame, size: float) -> DataF
     return pairs.groupBy("floor", "target_id").agg(best["region_id"].alias("region_id"), F.count("*").alias("n_covering"))
 
 
-def overlapping_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of boxes (floor, left_id, p) and (floor, right_id, q) that overlap. A pair is taken in the cell of its common
-    corner alone, so none comes twice and no distinct is needed."""
-    a = left.select("floor", "left_id", "p", F.explode(box_cells(F.col("p"), size)).alias("c"))
-    b = right.select("floor", "right_id", "q", F.explode(box_cells(F.col("q"), size)).alias("c"))
+def touching_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Pairs of boxes (floor, p, ...) and (floor, q, ...) that touch or overlap, with their other columns. A pair is taken in the cell
+    of its common corner alone, so none comes twice and no distinct is needed."""
+    a = left.withColumn("_cell", F.explode(box_cells(F.col("p"), size)))
+    b = right.withColumn("_cell", F.explode(box_cells(F.col("q"), size)))
     p, q = F.col("p"), F.col("q")
-    joined = a.join(b, ["floor", "c"]).where(B.common_area(p, q) > 0)
-    corner = (cell(F.greatest(p["x0"], q["x0"]), size) == F.col("c.cx")) & (cell(F.greatest(p["y0"], q["y0"]), size) == F.col("c.cy"))
-    return joined.where(corner).drop("c")
+    low, high = (F.greatest(p["x0"], q["x0"]), F.greatest(p["y0"], q["y0"])), (F.least(p["x1"], q["x1"]), F.least(p["y1"], q["y1"]))
+    joined = a.join(b, ["floor", "_cell"]).where((low[0] <= high[0]) & (low[1] <= high[1]))
+    return joined.where((cell(low[0], size) == F.col("_cell.cx")) & (cell(low[1], size) == F.col("_cell.cy"))).drop("_cell")
+
+
+def overlapping_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Pairs of boxes (floor, left_id, p) and (floor, right_id, q) that overlap."""
+    both = touching_boxes(left.select("floor", "left_id", "p"), right.select("floor", "right_id", "q"), size)
+    return both.where(B.common_area(F.col("p"), F.col("q")) > 0)
 
 
 def best_overlap(points: DataFrame, regions: DataFrame, size: float, least: float = 0.5) -> DataFrame:
@@ -81,30 +89,55 @@ def nearest(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def nearest_neighbors(targets: DataFrame, k: int, width: float, rounds: int = 3) -> DataFrame:
-    """Exactly the k nearest others on the same floor. Rounds of fourfold radius: a target is settled by a round in which it
-    has k others within the radius; the last step takes whole floors for the few that are left."""
+def nearest_neighbors(targets: DataFrame, k: int, width: float) -> DataFrame:
+    """Exactly the k nearest others on the same floor. Rounds of fourfold radius: a target is settled by a round in which it has k
+    others within the radius, or in which the radius spans its floor. Only unsettled targets go on."""
+    span = targets.groupBy("floor").agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
+    widest = span.agg(F.max("span")).first()[0] or 0.0
     found, todo, radius = None, targets, width
-    for _ in range(rounds):
+    while True:
         within = written(nearest(near_pairs(targets, radius, todo), k), "nearest")
+        if radius >= widest:
+            return within if found is None else found.unionByName(within)
         full = within.groupBy("floor", "target_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("floor", "target_id")
         settled = within.join(full, ["floor", "target_id"], "left_semi")
         found = settled if found is None else found.unionByName(settled)
         todo, radius = written(todo.join(full, ["floor", "target_id"], "left_anti"), "unsettled"), radius * 4
-    rest = todo.join(targets.select("floor", F.col("target_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), "floor").where("target_id <> other_id")
-    rest = rest.select("floor", "target_id", "other_id", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("distance"))
-    return found.unionByName(nearest(rest, k))
+        if todo.isEmpty():
+            return found
+
+
+def directional_peers(segments: DataFrame, within: float = 10.0, most: int = 24) -> DataFrame:
+    """Per segment (floor, seg_id, ax, ay, bx, by, angle) the nearest others, by their middles, whose directions differ by at most
+    `within` degrees modulo 180: they meet by direction buckets of that width, each with its two neighbours."""
+    n = int(180 / within)
+    turn = F.least(F.floor(F.col("angle") / within), F.lit(n - 1)).cast("int")
+    own = segments.select("floor", "seg_id", "angle", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"), turn.alias("turn"))
+    left = own.withColumn("turn", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.col("turn") + i, F.lit(n))))))
+    right = own.select("floor", "turn", F.col("seg_id").alias("peer_id"), F.col("angle").alias("pa"), F.col("mx").alias("px"), F.col("my").alias("py"))
+    j = left.join(right, ["floor", "turn"]).where("seg_id <> peer_id").withColumn("turned", F.least(F.abs(F.col("angle") - F.col("pa")), 180 - F.abs(F.col("angle") - F.col("pa"))))
+    j = j.where(F.col("turned") <= within).withColumn("distance", F.hypot(F.col("mx") - F.col("px"), F.col("my") - F.col("py")))
+    rank = F.row_number().over(Window.partitionBy("floor", "seg_id").orderBy("distance", "peer_id"))
+    return j.withColumn("rank", rank).where(F.col("rank") <= most).select("floor", "seg_id", "peer_id", "distance", "rank")
 
 
-def parallel_pairs(segments: DataFrame, bucket: float = 5.0, overlap: float = 0.05, width: float = 0.6) -> DataFrame:
+def parallel_pairs(segments: DataFrame, bucket: float = 5.0, overlap: float = 0.05, width: float = 0.6, size: float = 0.25) -> DataFrame:
     """Pairs of segments (floor, seg_id, ax, ay, bx, by, angle) whose directions differ by at most `bucket` degrees modulo
     180, that overlap along the first by more than a share of the shorter, and lie apart by at most a share of the overlap.
-    Directions join on buckets of their own width and the two beside them, round the end."""
+    Directions join on buckets of their own width and the two beside them, round the end. Within those, segments meet in grid cells:
+    a partner lies within width times a segment's length, and a little more for its own turn, so boxes widened by that touch."""
     n = int(180 / bucket)
-    own = segments.withColumn("turn", F.least(F.floor(F.col("angle") / bucket), F.lit(n - 1)).cast("int")).withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    left = own.select("floor", F.struct(*own.columns).alias("l"), F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.col("turn") + i, F.lit(n))))).alias("turn"))
-    right = own.select("floor", "turn", F.struct(*own.columns).alias("r"))
-    j = left.join(right, ["floor", "turn"]).where("l.seg_id < r.seg_id")
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    own = segments.withColumn("turn", F.least(F.floor(F.col("angle") / bucket), F.lit(n - 1)).cast("int")).withColumn("length", length)
+    slack = math.sin(math.radians(bucket)) / 2
+    wide = lambda by: B.inflate_by(B.box(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), by)
+    near = F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(F.col("turn") + i, F.lit(n)))))
+    left = own.select("*", near.alias("meet"))
+    p = wide(F.col("length") * (width + slack) + 1e-9)
+    q = wide(F.col("length") * slack + 1e-9)
+    left = left.select(F.concat_ws("/", "floor", "meet").alias("floor"), F.col("floor").alias("of"), F.struct("seg_id", "ax", "ay", "bx", "by", "angle", "length").alias("l"), F.col("seg_id").alias("left_id"), p.alias("p"))
+    right = own.select(F.concat_ws("/", "floor", "turn").alias("floor"), F.struct("seg_id", "ax", "ay", "bx", "by", "angle", "length").alias("r"), F.col("seg_id").alias("right_id"), q.alias("q"))
+    j = touching_boxes(left, right, size).where("left_id < right_id")
     ux, uy = (F.col("l.bx") - F.col("l.ax")) / F.col("l.length"), (F.col("l.by") - F.col("l.ay")) / F.col("l.length")
     along = lambda px, py: (px - F.col("l.ax")) * ux + (py - F.col("l.ay")) * uy
     across = lambda px, py: (py - F.col("l.ay")) * ux - (px - F.col("l.ax")) * uy
@@ -115,4 +148,4 @@ def parallel_pairs(segments: DataFrame, bucket: float = 5.0, overlap: float = 0.
         "apart": F.abs((across(F.col("r.ax"), F.col("r.ay")) + across(F.col("r.bx"), F.col("r.by"))) / 2),
     })
     kept = (F.col("turned") <= bucket) & (F.col("common") > overlap * F.least("l.length", "r.length")) & (F.col("apart") > 0) & (F.col("apart") <= width * F.col("common"))
-    return j.where(kept).select("floor", F.col("l.seg_id").alias("left_id"), F.col("r.seg_id").alias("right_id"), "turned", "common", "apart")
+    return j.where(kept).select(F.col("of").alias("floor"), "left_id", "right_id", "turned", "common", "apart")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import selection as C
 from ..operators import spatial as J
+from ..operators.inventory import numbered
 from ..sources import tables as T
 from .join_queries import PARALLEL_SQL, segments
 from .scalar_queries import ENTITIES_SQL, entities
@@ -22,7 +23,7 @@ def signature_catalog(spark: SparkSession, d: str) -> DataFrame:
 SIGNATURE_CATALOG = f"""
 WITH {ENTITIES_SQL}, g AS (SELECT layer, kind, closed, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, min(l_partkey) AS first_part FROM entities GROUP BY 1, 2, 3)
 SELECT *, CASE WHEN n >= 100 THEN 3 WHEN n >= 20 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END + CASE WHEN kind = 'TEXT' THEN 3 ELSE 0 END + 2 + CASE WHEN kind = 'INSERT' THEN 1 ELSE 0 END
-  + CASE WHEN kind IN ('HATCH', 'CIRCLE') THEN 1 ELSE 0 END AS priority, CAST(row_number() OVER (ORDER BY n DESC, layer, kind, closed) AS INT) AS rank FROM g"""
+  + CASE WHEN kind IN ('HATCH', 'INSERT') OR kind = 'LWPOLYLINE' AND closed THEN 1 ELSE 0 END AS priority, row_number() OVER (ORDER BY n DESC, layer, kind, closed) AS rank FROM g"""
 
 
 def group_summary_topn(spark: SparkSession, d: str) -> DataFrame:
@@ -42,12 +43,12 @@ def inspection_catalog(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d).join(T.load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     counts = F.col("kind").isin("TEXT", "INSERT")
     g = e.groupBy("p_name").agg(F.sum(counts.cast("long")).alias("instances"), F.sum((~counts).cast("long")).alias("supporting"), F.max(F.col("l_quantity") / 50).alias("confidence"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("instances"), "p_name")))
+    return numbered(g, "instances", ["p_name"], "place")
 
 
 INSPECTION_CATALOG = f"""
 WITH {ENTITIES_SQL}, g AS (SELECT p_name, CAST(sum(CAST(kind IN ('TEXT', 'INSERT') AS INT)) AS BIGINT) AS instances, CAST(sum(CAST(kind NOT IN ('TEXT', 'INSERT') AS INT)) AS BIGINT) AS supporting, max(l_quantity / 50) AS confidence
-  FROM entities JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY instances DESC, p_name) AS INT) AS place FROM g"""
+  FROM entities JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT *, row_number() OVER (ORDER BY instances DESC, p_name) AS place FROM g"""
 
 
 def robust_width_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +168,21 @@ def rollup_report(spark: SparkSession, d: str) -> DataFrame:
 ROLLUP_REPORT = "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"
 
 
+def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    """A cube, chosen grouping sets, and an approximate count of parts that is held against the exact one."""
+    l = T.load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_partkey")  # noqa: E741
+    measures = [F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.countDistinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("_about")]
+    cube = l.cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("level"), *measures).withColumn("l_linenumber", F.lit(None).cast("int")).withColumn("kind", F.lit("cube"))
+    sets = l.groupingSets([("l_returnflag", "l_linenumber"), ("l_linestatus",), ()], "l_returnflag", "l_linestatus", "l_linenumber").agg(F.grouping_id().alias("level"), *measures).withColumn("kind", F.lit("sets"))
+    both = cube.unionByName(sets)
+    return both.withColumn("close", F.abs(F.col("_about") - F.col("parts")) <= 0.1 * F.col("parts")).drop("_about")
+
+
+GROUPING_SETS = """
+SELECT l_returnflag, l_linestatus, CAST(NULL AS INT) AS l_linenumber, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_partkey) AS parts, 'cube' AS kind, true AS close FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
+UNION ALL SELECT l_returnflag, l_linestatus, l_linenumber, CAST(grouping(l_returnflag, l_linestatus, l_linenumber) AS BIGINT), count(*), sum(l_quantity), count(DISTINCT l_partkey), 'sets', true FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linenumber), (l_linestatus), ())"""
+
+
 def pool_and_rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pool = T.load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     rules = T.load(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_regionkey") == 0).alias("mandatory"), (F.col("n_nationkey") % 4 * 25).cast("int").alias("quota"))
@@ -255,20 +271,28 @@ SELECT s_suppkey, CAST(dense_rank() OVER (PARTITION BY s_nationkey ORDER BY b) A
 
 
 def annotation_nms(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of two classes a floor; a box gives way to a better one of its own class alone."""
     b = T.target_boxes(spark, d)
-    rows = b.select("floor", F.col("target_id").alias("id"), (F.col("target_id") * 7919 % 997).cast("double").alias("score"), F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1"))
-    return C.suppress(rows, "floor", 0.55, 0.03).select("floor", "id")
+    kind, source = pick(["INSERT", "TEXT", "LINE"], F.col("target_id") % 3), pick(["direct_entity", "insert_container", "virtual_entity_in_insert", "insert_attrib"], F.col("target_id") % 4)
+    score = C.annotation_priority(kind, F.lit(""), source, F.col("target_id") % 5 == 0).cast("double")
+    rows = b.select("floor", (F.floor(F.col("target_id") / 3) % 2).alias("class"), F.col("target_id").alias("id"), score.alias("score"), F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1"))
+    return C.suppress(rows, ["floor", "class"], 0.55, 0.03).select("floor", "class", "id")
+
+
+def pick(values: list[str], k: Column) -> Column:
+    return F.array(*map(F.lit, values))[k.cast("int")]
 
 
 ANNOTATION_NMS = f"""
-WITH RECURSIVE {T.BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY floor ORDER BY target_id * 7919 % 997 DESC, target_id) AS k FROM boxes),
-hit AS (SELECT a.floor, a.k, list(b.k) AS earlier FROM o a JOIN o b ON a.floor = b.floor AND b.k < a.k WHERE
+WITH RECURSIVE {T.BOXES_SQL}, p AS (SELECT *, target_id // 3 % 2 AS class, CASE target_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 200 ELSE 0 END + CASE target_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN -10 ELSE 0 END + CASE WHEN target_id % 5 = 0 THEN 10 ELSE 0 END AS score FROM boxes),
+o AS (SELECT *, floor * 2 + class AS g, row_number() OVER (PARTITION BY floor, class ORDER BY score DESC, (x1 - x0) * (y1 - y0), target_id) AS k FROM p),
+hit AS (SELECT a.g, a.k, list(b.k) AS earlier FROM o a JOIN o b ON a.g = b.g AND b.k < a.k WHERE
   (greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) >= 0.55
   OR sqrt(((a.x0 + a.x1) - (b.x0 + b.x1)) ** 2 + ((a.y0 + a.y1) - (b.y0 + b.y1)) ** 2) / 2 <= 0.03 GROUP BY 1, 2),
-s AS (SELECT floor, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM o GROUP BY 1
-  UNION ALL SELECT s.floor, s.k + 1, CASE WHEN h.earlier IS NOT NULL AND list_has_any(h.earlier, s.kept) THEN s.kept ELSE list_append(s.kept, s.k + 1) END FROM s JOIN o ON o.floor = s.floor AND o.k = s.k + 1 LEFT JOIN hit h ON h.floor = s.floor AND h.k = s.k + 1),
-f AS (SELECT floor, arg_max(kept, k) AS kept FROM s GROUP BY 1)
-SELECT o.floor, target_id AS id FROM o JOIN f ON o.floor = f.floor WHERE list_contains(kept, o.k)"""
+s AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM o GROUP BY 1
+  UNION ALL SELECT s.g, s.k + 1, CASE WHEN h.earlier IS NOT NULL AND list_has_any(h.earlier, s.kept) THEN s.kept ELSE list_append(s.kept, s.k + 1) END FROM s JOIN o ON o.g = s.g AND o.k = s.k + 1 LEFT JOIN hit h ON h.g = s.g AND h.k = s.k + 1),
+f AS (SELECT g, arg_max(kept, k) AS kept FROM s GROUP BY 1)
+SELECT o.floor, class, target_id AS id FROM o JOIN f ON o.g = f.g WHERE list_contains(kept, o.k)"""
 
 
 def wall_matching(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +316,14 @@ def row_bands(spark: SparkSession, d: str) -> DataFrame:
     return C.row_bands(b.select("floor", F.col("target_id").alias("id"), F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), F.col("b.x1").alias("x1"), F.col("b.y1").alias("y1")), "floor")
 
 
+ROW_BANDS = f"""
+WITH RECURSIVE {T.BOXES_SQL}, g AS (SELECT floor, target_id AS id, x0 - 0.1 AS x0, y0 - 0.1 AS y0, x1 + 0.1 AS x1, y1 + 0.1 AS y1 FROM boxes), h AS (SELECT floor, list_sort(list(y1 - y0)) AS hs FROM g GROUP BY 1),
+o AS (SELECT g.*, (y0 + y1) / 2 AS cy, greatest(0.02, 0.45 * hs[CAST(len(hs) // 2 + 1 AS INT)]) AS tol, row_number() OVER (PARTITION BY g.floor ORDER BY (y0 + y1) / 2 DESC, id) AS k FROM g JOIN h USING (floor)),
+s AS (SELECT floor, k, CAST(0 AS INT) AS band, cy AS centre, 1 AS n, id FROM o WHERE k = 1
+  UNION ALL SELECT o.floor, o.k, CASE WHEN abs(o.cy - s.centre) > o.tol THEN s.band + 1 ELSE s.band END, CASE WHEN abs(o.cy - s.centre) > o.tol THEN o.cy ELSE s.centre + (o.cy - s.centre) / (s.n + 1) END, CASE WHEN abs(o.cy - s.centre) > o.tol THEN 1 ELSE s.n + 1 END, o.id FROM s JOIN o ON o.floor = s.floor AND o.k = s.k + 1)
+SELECT s.floor, s.id, s.band, CAST(row_number() OVER (PARTITION BY s.floor ORDER BY s.band, o.x0, s.id) AS INT) AS place FROM s JOIN o ON o.floor = s.floor AND o.id = s.id"""
+
+
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """Of three families of candidates the first that a nation has any of; and terms merged by their key."""
     s = T.load(spark, d, "supplier")
@@ -329,6 +361,6 @@ def resume_keys(spark: SparkSession, d: str) -> DataFrame:
 
 RESUME_KEYS = "SELECT n_nationkey, substr(sha256(n_name || '|' || n_regionkey || '|v1'), 1, 20) AS version, substr(sha256(n_name || '|' || n_regionkey || '|v1'), 1, 2) AS shard, n_name AS name FROM nation"
 
-_NAMES = "signature_catalog group_summary_topn inspection_catalog robust_width_gate minmax_by_floor quantile_context context_features distance_stats visit_ordinals acceptance_metrics mean_embedding vote_dedupe rollup_report quota_selection requirement_audit rule_weights distinct_category_pick top_payload best_sheet ranking_frames annotation_nms wall_matching row_bands candidate_union set_algebra resume_keys".split()
+_NAMES = "signature_catalog group_summary_topn inspection_catalog robust_width_gate minmax_by_floor quantile_context context_features distance_stats visit_ordinals acceptance_metrics mean_embedding vote_dedupe rollup_report grouping_sets quota_selection requirement_audit rule_weights distinct_category_pick top_payload best_sheet ranking_frames annotation_nms wall_matching row_bands candidate_union set_algebra resume_keys".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}

@@ -11,7 +11,7 @@ from ..operators import matching as M
 from ..operators import pools as P
 from ..operators import raster as R
 from ..sources import tables as T
-from .graph_queries import ALIASES, PATTERNS
+from .graph_queries import ALIASES, KEYWORD_PATTERNS, PATTERNS
 
 CELL = 0.02
 
@@ -43,6 +43,13 @@ def free_areas(spark: SparkSession, d: str) -> DataFrame:
     return R.areas(free_space(spark, d), CELL)
 
 
+FREE_AREAS = f"""
+WITH RECURSIVE {FREE_SQL}, k AS (SELECT floor, cx, cy, floor * 1000000 + (cx + 400) * 1000 + cy + 400 AS u FROM free), n AS (SELECT a.u, b.u AS v FROM k a JOIN k b ON a.floor = b.floor AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
+p(u, label) USING KEY (u) AS (SELECT u, u FROM k UNION SELECT q.v, q.label FROM (SELECT n.v, min(p.label) AS label FROM p JOIN n ON p.u = n.u GROUP BY 1) q JOIN recurring.p r ON r.u = q.v WHERE q.label < r.label),
+g AS (SELECT floor, label, count(*) AS cells FROM k JOIN p USING (u) GROUP BY 1, 2)
+SELECT floor, cells, round(CAST(cells AS DOUBLE) * {CELL} * {CELL}, 6) AS area, round(cells / sum(cells) OVER (PARTITION BY floor), 6) AS share FROM g"""
+
+
 def candidate_pools(spark: SparkSession, d: str) -> DataFrame:
     items = T.load(spark, d, "part").select((F.col("p_size") % 10).alias("floor"), F.col("p_partkey").alias("item"), F.col("p_name").alias("raw_name"), F.col("p_type").alias("class"))
     wanted = spark.createDataFrame([("ECONOMY", "red bolt"), ("SMALL", "blue ring"), ("PROMO", "nothing")], "class string, raw string")
@@ -81,12 +88,19 @@ def classification_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Noise goes, then aliases, then keyword patterns decide, and what is left is ignored: one row a text."""
     items = cascades.noise_reasons(T.load(spark, d, "part").select("p_partkey", "p_name"), "p_name")
     kept = items.where("reason = 'kept'")
-    alias = M.best_alias(kept, F.broadcast(spark.createDataFrame(ALIASES[:4], "class string, alias string, priority int")), "p_partkey", "p_name").select("p_partkey", F.col("class").alias("a"), F.col("confidence").alias("ac"))
+    alias = M.best_alias(kept, spark.createDataFrame(ALIASES[:4], "class string, alias string, priority int"), "p_partkey", "p_name").select("p_partkey", F.col("class").alias("a"), F.col("confidence").alias("ac"))
     pattern = M.best_pattern(kept, "p_partkey", "p_name", PATTERNS).select("p_partkey", F.col("class").alias("k"), F.col("confidence").alias("kc"))
     j = items.join(alias, "p_partkey", "left").join(pattern, "p_partkey", "left")
     return j.select("p_partkey", "reason", F.coalesce("a", "k", F.lit("IGNORE")).alias("class"), F.coalesce("ac", "kc", F.lit(0.0)).alias("confidence"))
 
 
+CLASSIFICATION_PIPELINE = f"""
+WITH a(class, alias, priority) AS (VALUES {', '.join(map(str, ALIASES[:4]))}), h AS (SELECT p_partkey, a.*, row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, length(class) DESC, priority, class DESC) AS k FROM part JOIN a ON contains(p_name, alias)),
+q AS ({KEYWORD_PATTERNS.replace('WITH h AS', 'WITH r AS').replace('FROM h GROUP', 'FROM r GROUP')})
+SELECT p.p_partkey, 'kept' AS reason, coalesce(h.class, q.class, 'IGNORE') AS class, CAST(coalesce(CASE WHEN h.class IS NOT NULL THEN CASE WHEN h.priority < 2 THEN 1.0 ELSE 0.96 END END, q.confidence, 0) AS DOUBLE) AS confidence
+FROM part p LEFT JOIN h ON h.p_partkey = p.p_partkey AND h.k = 1 LEFT JOIN q ON q.p_partkey = p.p_partkey"""
+
+
 def wall_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of a floor in reading order with the gap to the next along x."""
     w = Window.partitionBy("floor").orderBy("x0", "id")

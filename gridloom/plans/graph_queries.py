@@ -106,13 +106,10 @@ def route_plans(spark: SparkSession, d: str) -> DataFrame:
 def insertion_costs(spark: SparkSession, d: str) -> DataFrame:
     """The cheapest place at which each odd target enters the floor's route over even ones by id; ends cost one leg."""
     t = T.targets(spark, d)
-    even = t.where("target_id % 2 = 0")
     w = Window.partitionBy("floor").orderBy("target_id")
-    leg = even.select("floor", F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("target_id").alias("before_id"))
-    o = t.where("target_id % 2 = 1").join(leg, "floor")
-    da, db = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")), F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
-    cost = F.when(F.col("ax").isNull(), db).otherwise(da + db - F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    return o.groupBy("floor", "target_id").agg(F.round(F.min(cost), 6).alias("saving"))
+    even = t.where("target_id % 2 = 0")
+    legs = even.select("floor", F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return R.insertion_costs(t.where("target_id % 2 = 1"), legs).select("floor", "target_id", F.round("saving", 6).alias("saving"))
 
 
 INSERTION_COSTS = f"""
@@ -177,7 +174,7 @@ def fuzzy_class_match(spark: SparkSession, d: str) -> DataFrame:
     return M.fuzzy_class(items, classes(spark), "p_partkey", "p_name")
 
 
-#: No SQL: DuckDB's Jaro rounds half transpositions down. Tests hold the query against a plain version.
+#: No SQL: DuckDB's Jaro rounds half transpositions down. tests/test_fidelity.py holds the operator against a plain version.
 CLASSES = ["blue ring", "large bolt", "gear box", "widget", "small plate", "redd bolt", "green gear"]
 
 
@@ -190,7 +187,7 @@ ALIASES = [("bolt", "bolt", 0), ("bolt", "lt", 2), ("ring", "ring", 0), ("gear",
 
 def alias_best_match(spark: SparkSession, d: str) -> DataFrame:
     aliases = spark.createDataFrame(ALIASES, "class string, alias string, priority int")
-    return M.best_alias(T.load(spark, d, "part").select("p_partkey", "p_name"), F.broadcast(aliases), "p_partkey", "p_name")
+    return M.best_alias(T.load(spark, d, "part").select("p_partkey", "p_name"), aliases, "p_partkey", "p_name")
 
 
 ALIAS_BEST_MATCH = f"""
@@ -239,9 +236,8 @@ SELECT floor, count(*) AS cells, CAST(sum(n) AS BIGINT) AS points FROM k JOIN m
 
 
 def axis_clusters(spark: SparkSession, d: str) -> DataFrame:
-    g = T.targets(spark, d).groupBy("floor").agg(F.collect_list("x").alias("xs"))
-    c = g.select("floor", F.posexplode(K.running_clusters(F.col("xs"), 0.01)).alias("place", "c"))
-    return c.select("floor", "place", F.round("c.mean", 6).alias("mean"), F.col("c.n").alias("n"))
+    c = K.axis_clusters(T.targets(spark, d), "x", 0.01)
+    return c.withColumn("mean", F.round("mean", 6))
 
 
 AXIS_CLUSTERS = f"""
@@ -270,6 +266,24 @@ def wall_bands(spark: SparkSession, d: str) -> DataFrame:
 WALL_BANDS = f"WITH {PARALLEL_SQL} SELECT floor, count(*) AS bands, round(sum(common * apart), 6) AS area, round(max(apart), 6) AS widest FROM pairs GROUP BY 1"
 
 
+def near_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that lie at most 0.02 apart."""
+    return K.near_clusters(T.target_boxes(spark, d).select("floor", F.col("target_id").alias("id"), "b"), 0.01, 0.25)
+
+
+NEAR_CLUSTERS = f"""
+WITH RECURSIVE {T.BOXES_SQL}, e AS (SELECT a.target_id AS u, b.target_id AS v FROM boxes a JOIN boxes b ON a.floor = b.floor AND sqrt(greatest(0, a.x0 - b.x1, b.x0 - a.x1) ** 2 + greatest(0, a.y0 - b.y1, b.y0 - a.y1) ** 2) <= 0.02),
+p(u, label) USING KEY (u) AS (SELECT target_id, target_id FROM boxes UNION SELECT q.v, q.label FROM (SELECT e.v, min(p.label) AS label FROM p JOIN e ON p.u = e.u GROUP BY 1) q JOIN recurring.p r ON r.u = q.v WHERE q.label < r.label)
+SELECT u AS id, label AS cluster FROM p"""
+
+
+def merged_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Small boxes merged to a fixpoint: covers that come within 0.003 merge again."""
+    b = T.target_boxes(spark, d).select("floor", F.col("target_id").alias("id"), B.box(F.col("b.x0"), F.col("b.y0"), F.col("b.x0") + 0.02, F.col("b.y0") + 0.02).alias("b"))
+    m = K.merged_boxes(b, 0.003, 0.1)
+    return m.select("floor", "id", "members", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return V.windowed_counts(T.load(spark, d, "events").select("ts", "event_type", "value"))
 
@@ -285,6 +299,6 @@ EVENT_SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 
-_NAMES = "connected_components reachability_rates edge_min_dedupe metric_closure message_passing block_containment route_plans insertion_costs route_start edge_passes char_ngram_cosine tfidf_similarity fuzzy_class_match alias_best_match keyword_patterns box_clusters dense_clusters axis_clusters projection_gaps wall_bands event_windows event_sessions".split()
+_NAMES = "connected_components reachability_rates edge_min_dedupe metric_closure message_passing block_containment route_plans insertion_costs route_start edge_passes char_ngram_cosine tfidf_similarity fuzzy_class_match alias_best_match keyword_patterns box_clusters near_clusters merged_boxes dense_clusters axis_clusters projection_gaps wall_bands event_windows event_sessions".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}

@@ -167,11 +167,33 @@ QUOTA_PAIRS = """
 WITH r AS (SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS k FROM supplier)
 SELECT a.s_nationkey, a.s_suppkey AS first, b.s_suppkey AS second, round(a.s_acctbal + b.s_acctbal, 2) AS value FROM r a JOIN r b ON a.s_nationkey = b.s_nationkey AND a.k = 1 AND b.k = 2"""
 
+
+
+def requirement_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rich suppliers of nations that ask for two."""
+    c = T.load(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("requirement"), F.col("s_suppkey").alias("item"))
+    r = T.load(spark, d, "nation").select(F.col("n_nationkey").alias("requirement"), (F.col("n_nationkey") % 3).alias("quota"))
+    return L.requirement_pairs(c, r)
+
+
+REQUIREMENT_PAIRS = "SELECT a.s_nationkey AS requirement, a.s_suppkey AS \"left\", b.s_suppkey AS \"right\" FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000 AND a.s_nationkey % 3 = 2"
+
+
+def peer_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The 24 nearest segments within ten degrees of each segment's direction."""
+    p = J.directional_peers(segments(spark, d))
+    return p.select("floor", "seg_id", "peer_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+PEER_SEGMENTS = f"""
+WITH {SEGMENTS_SQL}, j AS (SELECT a.floor, a.seg_id, b.seg_id AS peer_id, sqrt(((a.ax + a.bx) / 2 - (b.ax + b.bx) / 2) ** 2 + ((a.ay + a.by_) / 2 - (b.ay + b.by_) / 2) ** 2) AS distance FROM segments a JOIN segments b ON a.floor = b.floor AND a.seg_id <> b.seg_id WHERE least(abs(a.angle - b.angle), 180 - abs(a.angle - b.angle)) <= 10),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY floor, seg_id ORDER BY distance, peer_id) AS INT) AS rank FROM j) SELECT floor, seg_id, peer_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 24"""
+
 QUERIES = {
-    "containment_join": containment_join, "overlap_join": overlap_join, "intersect_join": intersect_join, "near_relations": near_relations, "nearest_neighbor": nearest_neighbor,
+    "requirement_pairs": requirement_pairs, "peer_segments": peer_segments, "containment_join": containment_join, "overlap_join": overlap_join, "intersect_join": intersect_join, "near_relations": near_relations, "nearest_neighbor": nearest_neighbor,
     "parallel_band_pairs": parallel_band_pairs, "identity_join": identity_join, "decision_join": decision_join, "semi_anti_scope": semi_anti_scope, "candidate_fallback": candidate_fallback, "quota_pairs": quota_pairs,
 }
 ORACLE_SQL = {
-    "containment_join": CONTAINMENT_JOIN, "overlap_join": OVERLAP_JOIN, "intersect_join": INTERSECT_JOIN, "near_relations": NEAR_RELATIONS, "nearest_neighbor": NEAREST_NEIGHBOR,
+    "requirement_pairs": REQUIREMENT_PAIRS, "peer_segments": PEER_SEGMENTS, "containment_join": CONTAINMENT_JOIN, "overlap_join": OVERLAP_JOIN, "intersect_join": INTERSECT_JOIN, "near_relations": NEAR_RELATIONS, "nearest_neighbor": NEAREST_NEIGHBOR,
     "parallel_band_pairs": PARALLEL_BAND_PAIRS, "identity_join": IDENTITY_JOIN, "decision_join": DECISION_JOIN, "semi_anti_scope": SEMI_ANTI_SCOPE, "candidate_fallback": CANDIDATE_FALLBACK, "quota_pairs": QUOTA_PAIRS,
 }

@@ -65,7 +65,7 @@ def free_regions(spark: SparkSession, d: str) -> DataFrame:
 CLIP_SQL = f"c AS (SELECT scope, greatest(x0, -{SIDE}) AS x0, greatest(y0, -{SIDE}) AS y0, least(x1, {SIDE}) AS x1, least(y1, {SIDE}) AS y1 FROM o WHERE x0 < {SIDE} AND x1 > -{SIDE} AND y0 < {SIDE} AND y1 > -{SIDE})"
 FREE_REGIONS = f"""
 WITH {OBSTACLES_SQL}, {CLIP_SQL}, {area_sql('o', 'u')}, {area_sql('c', 'v')}
-SELECT u.scope, false AS blocked, 4900.0 AS domain_area, round(coalesce(v.area, 0), 5) AS obstacle_area, round(u.area - coalesce(v.area, 0), 5) AS outside_area, round(4900 - coalesce(v.area, 0), 5) AS free_area FROM u LEFT JOIN v USING (scope)"""
+SELECT u.scope, false AS blocked, 4900.0::DOUBLE AS domain_area, round(coalesce(v.area, 0), 5) AS obstacle_area, round(u.area - coalesce(v.area, 0), 5) AS outside_area, round(4900 - coalesce(v.area, 0), 5) AS free_area FROM u LEFT JOIN v USING (scope)"""
 
 
 def effective_free(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def scope_regions(spark: SparkSession, d: str) -> DataFrame:
 SCOPE_REGIONS = f"""
 WITH f AS (SELECT DISTINCT label AS floor FROM embeddings WHERE label <> 7), b AS (SELECT floor, building FROM f, (VALUES ('B01'), ('B02')) t(building) WHERE floor % 5 <> 4)
 SELECT CASE WHEN floor % 3 = 0 AND floor <> 3 THEN 'F' || floor || '__CONN_C_1' ELSE 'F' || floor || '__' || building END AS scope, 'F' || floor AS floor, 'S' || floor AS sheet, 'R01__' || building AS region, building, CASE WHEN building = 'B01' THEN 0.9::DOUBLE ELSE 0.7 END AS confidence,
-  floor % 2 <> 0 AS isolation_only, 35.0 * 55 AS area FROM b UNION ALL SELECT 'F' || floor, 'F' || floor, 'S' || floor, 'R01', '', 0.7, false, 4900.0 FROM f WHERE floor % 5 = 4"""
+  floor % 2 <> 0 AS isolation_only, 1925.0::DOUBLE AS area FROM b UNION ALL SELECT 'F' || floor, 'F' || floor, 'S' || floor, 'R01', '', 0.7, false, 4900.0 FROM f WHERE floor % 5 = 4"""
 
 
 def halves(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ CORRIDOR_LINKS = f"""
 WITH {OBSTACLES_SQL}, w AS (SELECT scope, greatest(y0, -{SIDE}) AS a, least(y1, {SIDE}) AS b FROM o WHERE x0 < 0 AND x1 > 0 AND y0 < {SIDE} AND y1 > -{SIDE}),
 m AS (SELECT *, max(b) OVER (PARTITION BY scope ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w), u AS (SELECT scope, sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS solid FROM m GROUP BY 1),
 f AS (SELECT s.scope AS floor, CAST(substr(s.scope, 2) AS INT) % 2 = 0 AS trusted, 70 - coalesce(solid, 0) AS open FROM (SELECT DISTINCT scope FROM o) s LEFT JOIN u USING (scope))
-SELECT floor, floor || '__' || b AS scope, CASE WHEN trusted AND open >= 1 THEN floor || '__CONN_AUTO_C001' ELSE floor || '__' || b END AS merged, CASE WHEN trusted THEN round(open, 5) END AS open_length, CASE WHEN trusted THEN 1.0 END AS least FROM f, (VALUES ('B01'), ('B02')) t(b)"""
+SELECT floor, floor || '__' || b AS scope, CASE WHEN trusted AND open >= 1 THEN floor || '__CONN_AUTO_C001' ELSE floor || '__' || b END AS merged, CASE WHEN trusted THEN round(open, 5) END AS open_length, CASE WHEN trusted THEN 1.0::DOUBLE END AS least FROM f, (VALUES ('B01'), ('B02')) t(b)"""
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +274,7 @@ def closed_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return O.closed_envelopes(b, walls, 1.0).select("scope", "snapped", "inferred", "fallback", F.round("area", 5).alias("area"))
 
 
-CLOSED_ENVELOPES = "SELECT DISTINCT 'F' || label AS scope, 4 AS snapped, 0 AS inferred, 0 AS fallback, 93.0 * 93 - 79 * 79 AS area FROM embeddings WHERE label >= 3"
+CLOSED_ENVELOPES = "SELECT DISTINCT 'F' || label AS scope, 4 AS snapped, 0 AS inferred, 0 AS fallback, CAST(93 * 93 - 79 * 79 AS DOUBLE) AS area FROM embeddings WHERE label >= 3"
 
 _NAMES = "polygon_union free_regions effective_free certified_edges scope_regions resolved_scopes corridor_links component_assignment halo_members segment_owners pair_owners cut_regions capped_portals wall_offsets closed_envelopes".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -77,12 +77,14 @@ def test_percentages(spark):
     assert [r.p for r in df.select(aggregates.percent(F.col("a"), F.col("b")).alias("p")).collect()] == [12.5, 0.0, 0.12]
 
 
-@pytest.mark.parametrize(("text", "reason"), [("", "empty"), ("x", "single_character"), ("3.5", "measurement"), ("B2", "floor_code"), ("Note: this", "title_block"), ("pump", "kept")])
+@pytest.mark.parametrize(("text", "reason"), [("", "empty"), ("x", "single_character"), ("3.5", "measurement"), ("B2", "floor_code"), ("Note: this", "title_block"), ("pump", "kept"), (None, "empty")])
 def test_noise(spark, text, reason):
     assert cascades.noise_reasons(spark.createDataFrame([(text,)], "t string"), "t").first().reason == reason
 
 
-def test_suppression_keeps_the_best(spark):
-    rows = [(1, 1, 0.5, 0.0, 0.0, 2.0, 2.0), (1, 2, 0.9, 0.1, 0.1, 2.1, 2.1), (1, 3, 0.1, 9.0, 9.0, 10.0, 10.0)]
-    df = spark.createDataFrame(rows, "floor int, id long, score double, x0 double, y0 double, x1 double, y1 double")
-    assert {r.id for r in selection.suppress(df, "floor", 0.55, 0.01).collect()} == {2, 3}
+def test_suppression_keeps_the_best_of_a_class(spark):
+    rows = [(1, "a", 1, 0.5, 0.0, 0.0, 2.0, 2.0), (1, "a", 2, 0.9, 0.1, 0.1, 2.1, 2.1), (1, "a", 3, 0.1, 9.0, 9.0, 10.0, 10.0), (1, "b", 4, 0.1, 0.1, 0.1, 2.1, 2.1), (1, "b", 5, 0.1, 0.1, 0.1, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "floor int, class string, id long, score double, x0 double, y0 double, x1 double, y1 double")
+    assert {r.id for r in selection.suppress(df, ["floor", "class"], 0.55, 0.01).collect()} == {2, 3, 5}
+    points = lambda *v: spark.range(1).select(selection.annotation_priority(*[F.lit(x) for x in v]).alias("p")).first().p
+    assert [points("INSERT", "", "direct_entity", True), points("MTEXT", "", "virtual_entity_in_insert", False), points("X", "block_insert", "insert_container", False), points("X", "text", "", False)] == [340, 190, 320, 200]
