@@ -1,7 +1,15 @@
-"""CSV, JSON and GeoJSON tables; Parquet is the staging format everywhere else."""
+"""CSV, JSON and GeoJSON tables, closures as arrays, reports, cached decisions; Parquet is the staging format everywhere else."""
 
 from __future__ import annotations
 
+import hashlib
+import io
+import re
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +57,129 @@ def checked_types(rows: DataFrame, kind: str, excluded: list[str]) -> DataFrame:
     """Rows of other than the excluded obstacle types; a row without a type raises, as it must never become free space."""
     sure = F.when(F.col(kind).isNull(), F.raise_error(F.lit("unknown obstacle type"))).otherwise(F.col(kind))
     return rows.withColumn(kind, sure).where(~F.col(kind).isin(*excluded))
+
+
+def write_csv_with_mark(df: DataFrame, path: str) -> None:
+    """CSV whose files begin with a byte order mark, for spreadsheets: the mark is part of the first column's name."""
+    first, *rest = df.columns
+    write_csv(df.select(F.col(f"`{first}`").alias("\ufeff" + first), *[f"`{c}`" for c in rest]), path)
+
+
+CLOSURE = "scope string, name string, targets int, bytes long, digest string"
+
+
+def write_closures(closure: DataFrame, folder: str) -> DataFrame:
+    """One compressed file of arrays a scope, sorted ids and a matrix of distances, under a shared folder; returns the manifest (scope,
+    name, targets, bytes, digest), written beside them. Files carry names of their attempt: what the manifest names counts."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)]))
+        d = np.full((len(ids), len(ids)), np.inf, np.float32)
+        d[np.searchsorted(ids, rows["src"]), np.searchsorted(ids, rows["dst"])] = rows["distance"]
+        out = io.BytesIO()
+        np.savez_compressed(out, target_ids=ids, distance=d)
+        data = out.getvalue()
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
+        name = f"closure-{re.sub('[^0-9A-Za-z_.-]+', '_', str(key[0]))}-{uuid.uuid4().hex[:12]}.npz"
+        with store.open_output_stream(f"{base}/{name}") as f:
+            f.write(data)
+        return pd.DataFrame([(str(key[0]), name, len(ids), len(data), hashlib.sha256(data).hexdigest())], columns=[c.split()[0] for c in CLOSURE.split(", ")])
+
+    manifest = closure.groupBy("scope").applyInPandas(run, CLOSURE)
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    return closure.sparkSession.read.schema(CLOSURE).json(f"{folder}/manifest")
+
+
+class Closures:
+    """Reads the matrices of a manifest scope by scope, each when it is first asked for; a file whose digest differs raises."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = folder
+        self.files = {r.scope: (r.name, r.digest) for r in spark.read.schema(CLOSURE).json(f"{folder}/manifest").collect()}  # a row a scope
+        self._open: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _scope(self, scope: str) -> tuple[np.ndarray, np.ndarray]:
+        if scope not in self._open:
+            if scope not in self.files:
+                raise KeyError(f"no closure of {scope}")
+            name, digest = self.files[scope]
+            store, base = opened(self.folder)
+            with store.open_input_file(f"{base}/{name}") as f:
+                data = f.read()
+            if hashlib.sha256(data).hexdigest() != digest:
+                raise ValueError(f"{name} is damaged")
+            with np.load(io.BytesIO(data)) as arrays:
+                self._open[scope] = arrays["target_ids"], arrays["distance"]
+        return self._open[scope]
+
+    def distance(self, scope: str, a: int, b: int) -> float:
+        """Infinite for unknown targets and where there is no way."""
+        ids, d = self._scope(scope)
+        i, j = np.searchsorted(ids, [a, b])
+        known = i < len(ids) and j < len(ids) and ids[i] == a and ids[j] == b
+        return float(d[i, j]) if known else float("inf")
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path: a plain path or file: is a shared folder."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report's table; it is for people, so more than `most` rows raise instead of growing."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{title}: a report shows {most} rows at most; aggregate first")
+    cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
+
+
+def write_report(tables: list[tuple[str, DataFrame]], heading: str, path: str) -> None:
+    """A Markdown file of tables, written through the shared folder's store."""
+    store, base = opened(path)
+    store.create_dir(base.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(base) as f:
+        f.write("\n".join([f"# {heading}\n", *(markdown_table(df, title) for title, df in tables)]).encode())
+
+
+def write_decisions(decisions: DataFrame, key: list[str], path: str) -> None:
+    """Decisions as JSON in shards by the first two digits of the fingerprint of their key columns; a later write of a shard replaces
+    it alone."""
+    mark = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), 256)
+    out = decisions.withColumn("fingerprint", mark).withColumn("shard", F.substr("fingerprint", F.lit(1), F.lit(2)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").json(path)
+
+
+def cached_decisions(spark: SparkSession, items: DataFrame, key: list[str], path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(known, missing): items with their decision, and those without one, by the fingerprint of their key columns."""
+    mark = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), 256)
+    keyed = items.withColumn("fingerprint", mark)
+    stored = spark.read.schema(f"{schema}, fingerprint string, shard string").json(path).drop("shard", *key)
+    return keyed.join(stored, "fingerprint"), keyed.join(stored.select("fingerprint"), "fingerprint", "left_anti")
+
+
+def training_samples(decisions: DataFrame, name: str, role: str) -> DataFrame:
+    """(text, label): 1 for objects and 0 for what is ignored; other roles and nameless decisions teach nothing."""
+    label = F.when(F.trim(role) == "inspection_object", 1).when(F.trim(role) == "IGNORE", 0)
+    return decisions.select(F.trim(name).alias("text"), label.alias("label")).where("label is not null and text <> ''")
+
+
+def accepted_portals(spark: SparkSession, path: str) -> DataFrame:
+    """Portals of a GeoJSON file that were accepted for segmentation: portal_id, floor_id, confidence, width, line."""
+    schema = "properties struct<portal_id:string,floor_id:string,status:string,confidence:double,width:double>, geometry struct<type:string,coordinates:array<array<double>>>"
+    rows = spark.read.schema(schema).json(path).where("properties.status = 'accepted_for_segmentation'")
+    return rows.select("properties.portal_id", "properties.floor_id", "properties.confidence", "properties.width", F.flatten("geometry.coordinates").alias("line"))
+
+
+def graph_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a navigation graph in JSON: nodes (floor_id, node_id, kind, x, y, component_id), edges (floor_id, edge_id,
+    node_a, node_b, kind, length); without a length the path's own."""
+    schema = "nodes array<struct<floor_id:string,node_id:string,kind:string,x:double,y:double,component_id:string>>, edges array<struct<floor_id:string,edge_id:string,node_a:string,node_b:string,kind:string,length:double,geometry:struct<coordinates:array<array<double>>>>>"
+    g = spark.read.schema(schema).option("multiLine", True).json(path)
+    e = g.select(F.explode("edges").alias("e")).select("e.*")
+    c = F.col("geometry.coordinates")
+    legs = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.hypot(b[0] - a[0], b[1] - a[1]))
+    own = F.when(F.size(c) > 1, F.aggregate(legs, F.lit(0.0), lambda s, x: s + x))
+    return g.select(F.explode("nodes").alias("n")).select("n.*"), e.withColumn("length", F.coalesce("length", own)).drop("geometry")

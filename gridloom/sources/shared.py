@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir, read again: a short lineage that survives lost executors. A local
-    folder is set only where none is, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset a local master gets a folder of its own, as in tests; a cluster's executors would each
+    write to their own disk, so there it raises."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+#: What this process has written and not removed yet.
+_written: list[str] = []
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: a short lineage that survives lost executors."""
+    spark = df.sparkSession
+    _written.append(path := f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this process has written to the shared folder. Frames that were returned before can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        folder = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def done_before(spark: SparkSession, folder: str, key: str) -> bool:
+    """Whether a stage's result is there for this key: Spark marks what was written whole."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{key}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def content_key(*parts: object) -> str:
+    """Twenty digits for a stage's name, version and settings."""
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:20]
