@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from .aggregates import review_priority, top_counter
-from .evidence import structural
+from .evidence import expands, structural
 from .graph import contains_marked
 
 SIGNATURE = ("layer", "entity_type", "geometry_kind", "color", "linetype", "is_closed", "parent_block_name", "text_key")
 
 
 def inventory_rows(entities: DataFrame) -> DataFrame:
-    """One flat row an entity: its fields, the centre of its box (its anchor where it has none) and the box's area."""
+    """One flat row an entity in 26 columns: its fields, the centre of its box and the box's area. Columns that a source lacks are the
+    drawing's defaults: layout Model, no true colour, line weight or paths."""
     box_known = F.col("bbox_minx").isNotNull() & F.col("bbox_maxx").isNotNull()
     centre = lambda a, b: F.when(box_known, (F.col(a) + F.col(b)) / 2)
     area = F.when(box_known, F.greatest(F.lit(0.0), (F.col("bbox_maxx") - F.col("bbox_minx")) * (F.col("bbox_maxy") - F.col("bbox_miny"))))
+    more = {"layout": F.lit("Model"), "true_color": F.lit(""), "lineweight": F.lit(""), "block_path": F.array().cast("array<string>"), "insert_path": F.array().cast("array<string>")}
+    entities = entities.withColumns({c: v for c, v in more.items() if c not in entities.columns})
     return entities.select(
-        F.format_string("CADOBJ_%07d", "object_id").alias("object_id"), "source", "depth", F.col("depth").alias("insert_depth"), "entity_type", "handle", "layer", "color", "linetype", "parent_block_name",
+        F.format_string("CADOBJ_%07d", "object_id").alias("object_id"), "layout", "source", "depth", F.col("depth").alias("insert_depth"), "entity_type", "handle", "layer", "color", "true_color", "linetype", "lineweight",
+        "parent_block_name", "block_path", "insert_path",
         "raw_text", "norm_text", "geometry_kind", "is_closed", centre("bbox_minx", "bbox_maxx").alias("x"), centre("bbox_miny", "bbox_maxy").alias("y"), "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy",
         area.alias("bbox_area"),
     )
@@ -112,6 +118,72 @@ def placed_blocks(inserts: DataFrame, members: DataFrame, most: int) -> DataFram
     return out
 
 
+def expanded(inserts: DataFrame, members: DataFrame, attributes: DataFrame, signatures: DataFrame | None, most: int) -> DataFrame:
+    """The rows of a scan into inserts (layout, insert_id, handle, block, layer): the insert itself, its attributes (owner: the insert or
+    the member that is one, attribute, layer, text), and what stands in its block (members: block, member, handle, entity_type,
+    layer, text, child), down to a depth.
+    Each has its source, depth, block_path, insert_path and parent_block_name. With signatures (as of block_signatures) only blocks
+    that hold texts or structural geometry somewhere are entered, and only such members come out."""
+    none = F.array().cast("array<string>")
+    added = lambda path, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(path, F.array(F.col(c).cast("string")))).otherwise(path)
+    out = ["layout", "insert_id", "member", "source", "depth", "entity_type", "layer", "text", "block_path", "insert_path", "parent_block_name"]
+    level = inserts.withColumns({"depth": F.lit(0), "member": F.lit(None).cast(members.schema["member"].dataType), "block_path": added(none, "block"), "insert_path": added(none, "handle")})
+    rows = None
+    for depth in range(most + 1):
+        box = level.select("layout", "insert_id", "member", F.lit("insert_container").alias("source"), F.lit(depth).alias("depth"), F.lit("INSERT").alias("entity_type"), "layer", F.lit("").alias("text"), "block_path", "insert_path", F.col("block").alias("parent_block_name"))
+        rows = box if rows is None else rows.unionByName(box)
+        own = level.select("layout", "insert_id", F.coalesce("member", "insert_id").alias("owner"), "block", "block_path", "insert_path").join(attributes.select("owner", "attribute", "layer", "text"), "owner")
+        rows = rows.unionByName(own.select("layout", "insert_id", F.col("attribute").alias("member"), F.lit("insert_attrib").alias("source"), F.lit(depth + 1).alias("depth"), F.lit("ATTRIB").alias("entity_type"), "layer", "text", "block_path", "insert_path", F.col("block").alias("parent_block_name")))
+        if depth == most:
+            break
+        entered = level if signatures is None else level.join(signatures.where("has_recursive_semantics or has_recursive_geometry_semantics").select("block"), "block", "left_semi")
+        inside = entered.select("layout", "insert_id", "block", "block_path", "insert_path").join(members.select("block", "member", F.col("handle").alias("_handle"), "entity_type", "layer", "text", "child"), "block")
+        plain = inside.where("entity_type <> 'INSERT'")
+        if signatures is not None:
+            plain = plain.where(expands(F.col("entity_type"), F.col("layer"), F.array_join("block_path", "/"), F.lit(depth + 1)))
+        rows = rows.unionByName(plain.select("layout", "insert_id", "member", F.lit("virtual_entity_in_insert").alias("source"), F.lit(depth + 1).alias("depth"), "entity_type", "layer", "text", "block_path", "insert_path", F.col("block").alias("parent_block_name")))
+        below = inside.where("entity_type = 'INSERT'").select("layout", "insert_id", "member", F.col("child").alias("block"), F.col("_handle").alias("handle"), "layer", "block_path", "insert_path")
+        level = below.withColumns({"block_path": added(F.col("block_path"), "block"), "insert_path": added(F.col("insert_path"), "handle")})
+    return rows.select(*out)
+
+
+#: Corners of a circle and points of an arc.
+CORNERS, ARC_POINTS = 48, 24
+
+
+def shape_points(entity_type: Column, points: Column, closed: Column, x: Column, y: Column, radius: Column, start: Column, end: Column) -> Column:
+    """struct(lines, polygons) of an entity, arrays of paths of [x, y]: lines and polylines by their points (closed ones as rings, also as
+    polygons from three corners on), circles as polygons of 48 corners, arcs as lines of 24 points from start to end in degrees."""
+    kind, at = F.upper(entity_type), lambda t: F.array(x + radius * F.cos(t), y + radius * F.sin(t))
+    circle = F.transform(F.sequence(F.lit(0), F.lit(CORNERS)), lambda i: at(F.lit(2 * math.pi) * (i % CORNERS) / CORNERS))
+    turn = F.when(end < start, end + 360.0).otherwise(end) - start
+    arc = F.transform(F.sequence(F.lit(0), F.lit(ARC_POINTS - 1)), lambda i: at(F.radians(start + turn * i / (ARC_POINTS - 1))))
+    path = F.filter(F.coalesce(points, F.array().cast("array<array<double>>")), lambda p: F.size(p) >= 2)
+    n = F.size(path)
+    ring = F.when(F.element_at(path, 1) == F.element_at(path, -1), path).otherwise(F.concat(path, F.slice(path, 1, 1)))
+    none, one = F.array().cast("array<array<array<double>>>"), lambda c: F.array(c)
+    out = lambda lines, polygons: F.struct(lines.alias("lines"), polygons.alias("polygons"))
+    whole, drawn = F.coalesce(closed, F.lit(False)) & (n >= 2), kind.isin("LINE", "LWPOLYLINE", "POLYLINE", "HATCH") & (n >= 2)
+    round_ok = F.coalesce(radius > 0, F.lit(False)) & x.isNotNull() & y.isNotNull()
+    return (
+        F.when(drawn & whole & (kind != "LINE"), out(one(ring), F.when(F.size(ring) >= 4, one(ring)).otherwise(none)))
+        .when(drawn, out(one(path), none))
+        .when((kind == "CIRCLE") & round_ok, out(none, one(circle)))
+        .when((kind == "ARC") & round_ok, out(one(arc), none))
+    )
+
+
+def geometry_rows(entities: DataFrame, shape: str) -> DataFrame:
+    """Entities with a shape, as shape_points gives it: geometry_json and its counts, length and area."""
+    s = F.col(shape)
+    steps = lambda p, f: F.aggregate(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), f), F.lit(0.0), lambda a, v: a + v)
+    length = F.aggregate(F.transform(s["lines"], lambda p: steps(p, lambda a, b: F.hypot(b[0] - a[0], b[1] - a[1]))), F.lit(0.0), lambda a, v: a + v)
+    area = F.aggregate(F.transform(s["polygons"], lambda p: F.abs(steps(p, lambda a, b: a[0] * b[1] - b[0] * a[1])) / 2), F.lit(0.0), lambda a, v: a + v)
+    count = F.size(F.flatten(s["lines"])) + F.size(F.flatten(s["polygons"]))
+    e = entities.where(s.isNotNull()).withColumns({"geometry_point_count": count, "geometry_line_count": F.size(s["lines"]), "geometry_polygon_count": F.size(s["polygons"]), "geometry_length": length, "geometry_area": area})
+    return e.withColumn("geometry_json", F.to_json(F.struct(F.lit(1).alias("version"), F.upper("entity_type").alias("entity_type"), s["lines"].alias("lines"), s["polygons"].alias("polygons"), F.col("geometry_point_count").alias("point_count"))))
+
+
 def region_or_sheet(row: dict[str, Column]) -> Column:
     """A sheet's inspection region if it has one of positive size, else its box, else null."""
     def sound(prefix: str) -> Column:

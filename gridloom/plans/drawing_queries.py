@@ -13,12 +13,13 @@ from ..sources import tables as T
 
 
 def inventory_rows(spark: SparkSession, d: str) -> DataFrame:
-    return I.inventory_rows(D.entities(spark, d))
+    r = I.inventory_rows(D.entities(spark, d))
+    return r.withColumns({c: F.array_join(c, "/") for c in ("block_path", "insert_path")})
 
 
 INVENTORY_ROWS = f"""
-WITH {D.ENTITIES_SQL} SELECT printf('CADOBJ_%07d', object_id) AS object_id, source, depth, depth AS insert_depth, entity_type, handle, layer, color, linetype, parent_block_name, raw_text, norm_text, geometry_kind, is_closed,
-  (bbox_minx + bbox_maxx) / 2 AS x, (bbox_miny + bbox_maxy) / 2 AS y, bbox_minx, bbox_miny, bbox_maxx, bbox_maxy, (bbox_maxx - bbox_minx) * (bbox_maxy - bbox_miny) AS bbox_area FROM entities"""
+WITH {D.ENTITIES_SQL} SELECT printf('CADOBJ_%07d', object_id) AS object_id, 'Model' AS layout, source, depth, depth AS insert_depth, entity_type, handle, layer, color, '' AS true_color, linetype, '' AS lineweight, parent_block_name, '' AS block_path, '' AS insert_path, raw_text, norm_text,
+  geometry_kind, is_closed, (bbox_minx + bbox_maxx) / 2 AS x, (bbox_miny + bbox_maxy) / 2 AS y, bbox_minx, bbox_miny, bbox_maxx, bbox_maxy, (bbox_maxx - bbox_minx) * (bbox_maxy - bbox_miny) AS bbox_area FROM entities"""
 
 
 def catalog_signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +106,44 @@ WITH RECURSIVE {MEMBERS_SQL}, w AS (SELECT member AS insert_id, child AS block,
 SELECT home AS block, depth, CASE WHEN entity_type = 'INSERT' THEN left(path, length(path) - length(child) - 1) ELSE path END AS path, entity_type, count(*) AS n FROM w WHERE depth > 0 GROUP BY 1, 2, 3, 4"""
 
 
+def scanned_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a scan into the inserts of five blocks, two levels deep, each insert with an attribute; counted."""
+    members = block_members(spark, d).withColumn("handle", F.col("member").cast("string"))
+    inserts = members.where("block in ('BLK1', 'BLK7', 'BLK22', 'BLK40', 'BLK99') and child is not null").select(F.lit("Model").alias("layout"), F.col("member").alias("insert_id"), "handle", F.col("child").alias("block"), "layer")
+    attributes = members.where("entity_type = 'INSERT' and child is not null").select(F.col("member").alias("owner"), F.col("member").alias("attribute"), F.lit("A").alias("layer"), F.lit("no").alias("text")).distinct()
+    rows = I.expanded(inserts, members.where("entity_type <> 'INSERT' or child is not null"), attributes, None, 2)
+    return rows.groupBy("source", "depth", "entity_type", "parent_block_name", F.size("block_path").alias("blocks"), F.size("insert_path").alias("inserts")).agg(F.count("*").alias("n"))
+
+
+SCANNED_INSERTS = f"""
+WITH RECURSIVE {MEMBERS_SQL}, w AS (SELECT child AS block, 0 AS depth, 'INSERT' AS entity_type, CAST(NULL AS VARCHAR) AS home FROM members WHERE block IN ('BLK1', 'BLK7', 'BLK22', 'BLK40', 'BLK99') AND child IS NOT NULL
+  UNION ALL SELECT m.child, w.depth + 1, m.entity_type, w.block FROM w JOIN members m ON m.block = w.block WHERE w.entity_type = 'INSERT' AND w.depth < 2 AND (m.entity_type <> 'INSERT' OR m.child IS NOT NULL))
+SELECT source, depth, entity_type, parent_block_name, blocks, blocks AS inserts, count(*) AS n FROM (
+  SELECT 'insert_container' AS source, depth, 'INSERT' AS entity_type, block AS parent_block_name, depth + 1 AS blocks FROM w WHERE entity_type = 'INSERT'
+  UNION ALL SELECT 'insert_attrib', depth + 1, 'ATTRIB', block, depth + 1 FROM w WHERE entity_type = 'INSERT'
+  UNION ALL SELECT 'virtual_entity_in_insert', depth, entity_type, home, depth FROM w WHERE entity_type <> 'INSERT') GROUP BY ALL"""
+
+
+def geometry_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of six kinds from the embeddings' first components: counts, lengths and areas."""
+    c = T.component
+    kind = F.array(*map(F.lit, ("LINE", "LWPOLYLINE", "POLYLINE", "CIRCLE", "ARC", "TEXT")))[(F.col("vec_id") % 6).cast("int")]
+    at = lambda a, b: F.array(c(a), c(b))
+    points = F.when(F.col("vec_id") % 6 == 0, F.array(at(0, 1), at(2, 3))).otherwise(F.array(at(0, 1), at(2, 3), at(4, 5)))
+    e = T.load(spark, d, "embeddings").select("vec_id", kind.alias("entity_type"), points.alias("points"), (F.col("vec_id") % 6 == 2).alias("closed"), c(0).alias("x"), c(1).alias("y"), F.abs(c(2)).alias("r"), F.lit(300.0).alias("a"), (F.col("vec_id") % 90).cast("double").alias("b"))
+    shape = I.shape_points(*map(F.col, ("entity_type", "points", "closed", "x", "y", "r", "a", "b")))
+    g = I.geometry_rows(e.withColumn("shape", shape), "shape")
+    return g.select("vec_id", "entity_type", "geometry_point_count", "geometry_line_count", "geometry_polygon_count", F.round("geometry_length", 5).alias("geometry_length"), F.round("geometry_area", 5).alias("geometry_area"))
+
+
+GEOMETRY_INVENTORY = """
+WITH e AS (SELECT vec_id, CAST(vec_id % 6 AS INT) AS k, list_transform(embedding[1:6], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), s AS (SELECT *, sqrt((v[3] - v[1]) ** 2 + (v[4] - v[2]) ** 2) AS a, sqrt((v[5] - v[3]) ** 2 + (v[6] - v[4]) ** 2) AS b, sqrt((v[5] - v[1]) ** 2 + (v[6] - v[2]) ** 2) AS c,
+  abs((v[3] - v[1]) * (v[6] - v[2]) - (v[5] - v[1]) * (v[4] - v[2])) / 2 AS t, abs(v[3]) AS r FROM e)
+SELECT vec_id, ['LINE', 'LWPOLYLINE', 'POLYLINE', 'CIRCLE', 'ARC'][k + 1] AS entity_type, CAST([2, 3, 8, 49, 24][k + 1] AS INT) AS geometry_point_count, CAST([1, 1, 1, 0, 1][k + 1] AS INT) AS geometry_line_count, CAST([0, 0, 1, 1, 0][k + 1] AS INT) AS geometry_polygon_count,
+  round(CASE k WHEN 0 THEN a WHEN 1 THEN a + b WHEN 2 THEN a + b + c WHEN 3 THEN 0 ELSE 23 * 2 * r * sin(radians(60 + vec_id % 90) / 46) END, 5)::DOUBLE AS geometry_length, round(CASE k WHEN 2 THEN t WHEN 3 THEN 24 * r * r * sin(2 * pi() / 48) ELSE 0 END, 5)::DOUBLE AS geometry_area
+FROM s WHERE k < 5 AND (k < 3 OR r > 0)"""
+
+
 def selective_scan(spark: SparkSession, d: str) -> DataFrame:
     """Entities that a selective scan keeps, by type, layer and depth."""
     e = D.entities(spark, d)
@@ -307,6 +346,6 @@ MERGED_TERMS = f"""
 WITH {CANDIDATES_SQL}, e AS (SELECT *, tk AS term_key FROM k WHERE term <> ''), g AS (SELECT term_key, count(*) AS n, min(term) AS term, count(DISTINCT floor_id) AS floors FROM e GROUP BY 1)
 SELECT * FROM g LEFT JOIN {sample_sql('term_key', 'layer', 'object_id', 8, 'layers')} USING (term_key) LEFT JOIN {sample_sql('term_key', 'floor_id', 'object_id', 16, 'floor_ids')} USING (term_key)"""
 
-_NAMES = "inventory_rows catalog_signatures text_summary layer_summary block_signatures expanded_blocks selective_scan candidate_noise classifier_noise doors_and_stairs evidence_gate short_words settled_decisions upper_floor_aliases obstacle_types annotation_boxes merged_terms".split()
+_NAMES = "inventory_rows catalog_signatures text_summary layer_summary block_signatures expanded_blocks scanned_inserts geometry_inventory selective_scan candidate_noise classifier_noise doors_and_stairs evidence_gate short_words settled_decisions upper_floor_aliases obstacle_types annotation_boxes merged_terms".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}
