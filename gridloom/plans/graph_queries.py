@@ -72,18 +72,24 @@ p(floor, src, node, distance) USING KEY (floor, src, node) AS (SELECT floor, tar
 SELECT p.floor, src, node AS dst, round(distance, 6) AS distance FROM p WHERE src = node AND p.floor IN (SELECT floor FROM near) OR src <> node"""
 
 
+#: Components of an embedding.
+DIM = 64
+
+
 def message_passing(spark: SparkSession, d: str) -> DataFrame:
-    nodes = T.load(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("h"))
+    """One relational step over whole embeddings: the first four components, and all of them weighed by their place."""
+    nodes = T.load(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("h"))
     edges = J.near_pairs(T.targets(spark, d), 0.05).select(F.col("other_id").alias("src"), F.col("target_id").alias("dst"), F.exp(-F.col("distance") / 0.05).alias("gate"), F.lit(0.5).alias("scale"))
-    return G.message_layer(nodes, edges, 4).select("node", *[F.round(F.col("h")[k], 5).alias(f"h{k}") for k in range(4)])
+    weighed = F.aggregate(F.transform("h", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return G.message_layer(nodes, edges, DIM).select("node", *[F.round(F.col("h")[k], 5).alias(f"h{k}") for k in range(4)], F.round(weighed, 3).alias("weighed"))
 
 
 MESSAGE_PASSING = f"""
-WITH {near_sql(0.05)}, h AS (SELECT vec_id AS node, i, CAST(embedding[i] AS DOUBLE) AS h FROM embeddings, range(1, 5) t(i)),
+WITH {near_sql(0.05)}, h AS (SELECT vec_id AS node, i, CAST(embedding[i] AS DOUBLE) AS h FROM embeddings, range(1, {DIM + 1}) t(i)),
 g AS (SELECT n.target_id AS node, h.i, sum(exp(-distance / 0.05)) AS g, sum(exp(-distance / 0.05) * 0.5 * h.h) AS s FROM near n JOIN h ON h.node = n.other_id GROUP BY 1, 2),
 r AS (SELECT h.node, h.i, h.h + greatest(0, h.h + coalesce(s / greatest(g, 1), 0)) AS r FROM h LEFT JOIN g ON h.node = g.node AND h.i = g.i),
 z AS (SELECT *, (r - avg(r) OVER w) / sqrt(var_pop(r) OVER w + 1e-5) AS z FROM r WINDOW w AS (PARTITION BY node))
-SELECT node, round(max(CASE WHEN i = 1 THEN z END), 5) AS h0, round(max(CASE WHEN i = 2 THEN z END), 5) AS h1, round(max(CASE WHEN i = 3 THEN z END), 5) AS h2, round(max(CASE WHEN i = 4 THEN z END), 5) AS h3 FROM z GROUP BY 1"""
+SELECT node, round(max(CASE WHEN i = 1 THEN z END), 5) AS h0, round(max(CASE WHEN i = 2 THEN z END), 5) AS h1, round(max(CASE WHEN i = 3 THEN z END), 5) AS h2, round(max(CASE WHEN i = 4 THEN z END), 5) AS h3, round(sum(i * z), 3)::DOUBLE AS weighed FROM z GROUP BY 1"""
 
 
 def block_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +158,7 @@ def char_ngram_cosine(spark: SparkSession, d: str) -> DataFrame:
     return c.where("item_id < other_id").withColumn("cosine", F.round("cosine", 6))
 
 
-GRAMS_SQL = "grams AS (SELECT item_id, substr(text, CAST(i AS INT), CAST(n AS INT)) AS gram, count(*) AS n FROM benchmark, range(1, 4) l(n), range(1, 5000) t(i) WHERE i + n - 1 <= length(text) GROUP BY 1, 2)"
+GRAMS_SQL = "grams AS (SELECT item_id, substr(text, CAST(i AS INT), CAST(n AS INT)) AS gram, count(*) AS n FROM benchmark, range(1, 4) l(n), unnest(range(1, length(text) + 1)) t(i) WHERE i + n - 1 <= length(text) GROUP BY 1, 2)"
 CHAR_NGRAM_COSINE = f"""
 WITH {GRAMS_SQL}, m AS (SELECT item_id, sqrt(sum(n * n)) AS s FROM grams GROUP BY 1), p AS (SELECT a.item_id, b.item_id AS other_id, sum(a.n * b.n) AS dot FROM grams a JOIN grams b ON a.gram = b.gram AND a.item_id < b.item_id GROUP BY 1, 2)
 SELECT p.item_id, other_id, round(dot / (x.s * y.s), 6) AS cosine FROM p JOIN m x ON x.item_id = p.item_id JOIN m y ON y.item_id = other_id"""

@@ -206,6 +206,38 @@ z AS (SELECT floor, target, a, CASE WHEN max(nn) OVER w - min(nn) OVER w <= 1e-1
 SELECT floor, target, round(a, 6) AS a, round(n, 6) AS n, round(c, 6) AS c, round((a + n + c) / 3, 6) AS u FROM z"""
 
 
+def context_targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = T.targets(spark, d).select("floor", F.col("target_id").alias("target"), "x", "y", (F.col("target_id") % 6).alias("area"), (F.col("target_id") % 4).alias("rule"), (F.col("target_id") % 4 + 1).alias("quota"), (F.col("target_id") % 9 == 0).alias("mandatory"))
+    return t, t.select("floor", "area").distinct().select("floor", "area", (F.col("area") + 1.0).alias("size"), (F.col("area") % 3).alias("portals"))
+
+
+def route_counterfactuals(spark: SparkSession, d: str) -> DataFrame:
+    """What targets cost a route over every 25th of a floor, by number."""
+    t, _ = context_targets(spark, d)
+    order = Window.partitionBy("floor").orderBy("target")
+    routes = t.where("target % 25 = floor % 25").select("floor", "target", F.row_number().over(order).alias("place"))
+    c = C.route_counterfactuals(t, routes, O.blocked_distances(t.select("floor", "target", "x", "y")))
+    return c.select("floor", "target", F.round("forcing", 6).alias("forcing"), F.round("scale", 6).alias("scale"))
+
+
+ROUTE_COUNTERFACTUALS = f"""
+WITH {T.TARGETS_SQL}, s AS (SELECT floor, greatest(max(x) - min(x), max(y) - min(y), 1) AS scale FROM targets GROUP BY 1),
+w AS (SELECT floor, x AS ax, y AS ay, lead(x) OVER o AS bx, lead(y) OVER o AS by_, row_number() OVER o = 1 OR lead(x) OVER o IS NULL AS outer_ FROM targets WHERE target_id % 25 = floor % 25 WINDOW o AS (PARTITION BY floor ORDER BY target_id)),
+c AS (SELECT t.floor, target_id, min(CASE WHEN outer_ THEN sqrt((x - ax) ** 2 + (y - ay) ** 2) END) AS e, min(sqrt((x - ax) ** 2 + (y - ay) ** 2) + sqrt((x - bx) ** 2 + (y - by_) ** 2) - sqrt((ax - bx) ** 2 + (ay - by_) ** 2)) AS i FROM targets t JOIN w ON w.floor = t.floor GROUP BY 1, 2)
+SELECT t.floor, t.target_id AS target, round(CASE WHEN t.target_id % 25 = t.floor % 25 THEN 0 ELSE least(scale, greatest(0, coalesce(least(e, i), scale))) END, 6)::DOUBLE AS forcing, round(scale, 6)::DOUBLE AS scale FROM targets t JOIN s ON s.floor = t.floor LEFT JOIN c ON c.floor = t.floor AND c.target_id = t.target_id"""
+
+
+def two_pass_context(spark: SparkSession, d: str) -> DataFrame:
+    """Context values after a baseline route over the mandatory targets of small numbers and some of two rules."""
+    t, areas = context_targets(spark, d)
+    item = F.col("target")
+    asked = t.where("target < 400").groupBy("floor").agg(F.collect_list(F.when(item % 45 == 0, item)).alias("all"), F.collect_list(F.when(item % 40 == 1, item)).alias("one"), F.collect_list(F.when(item % 40 == 2, item)).alias("two"))
+    need = lambda name, kind, items, count: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit("").alias("category"), F.col(items).alias("items"), F.lit(count).alias("count"), F.lit(1).alias("each"))
+    rules = asked.select("floor", F.explode(F.array(need("all", "mandatory_all", "all", 0), need("one", "quota_total", "one", 1), need("two", "quota_total", "two", 1))).alias("r")).select("floor", "r.*").where("size(items) > 0")
+    out = C.two_pass_values(t, areas, O.blocked_distances(t.select("floor", "target", "x", "y")), rules)
+    return out.select("floor", "target", *[F.round(c, 6).alias(c) for c in ("a", "n", "c", "u")])
+
+
 def selection_values(spark: SparkSession, d: str) -> DataFrame:
     """What the targets that the rules ask for are worth, floor by floor."""
     t = scoped(spark, d).withColumn("own", F.when(F.col("target") % 3 > 0, F.col("target").cast("string")))
@@ -272,6 +304,6 @@ def grown_regions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("floor", "seed", "rounds", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-_NAMES = "connector_portals component_segments blocked_distances rule_targets area_pairs area_tree relay_trees tree_walks floor_plans locked_plans route_optimizer context_values selection_values legal_starts visit_events edge_events walk_summary grown_regions".split()
+_NAMES = "connector_portals component_segments blocked_distances rule_targets area_pairs area_tree relay_trees tree_walks floor_plans locked_plans route_optimizer context_values route_counterfactuals two_pass_context selection_values legal_starts visit_events edge_events walk_summary grown_regions".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in _NAMES if n.upper() in globals()}

@@ -59,6 +59,44 @@ def checked_types(rows: DataFrame, kind: str, excluded: list[str]) -> DataFrame:
     return rows.withColumn(kind, sure).where(~F.col(kind).isin(*excluded))
 
 
+def polygon_features(parts: DataFrame, properties: list[str]) -> DataFrame:
+    """Parts of regions (rings: flat, the outer one first, then holes) as GeoJSON features of closed rings."""
+    points = lambda r: F.transform(F.sequence(F.lit(0), F.floor(F.size(r) / 2).cast("int") - 1), lambda i: F.array(F.get(r, 2 * i), F.get(r, 2 * i + 1)))
+    closed = F.transform("rings", lambda r: F.concat(points(r), F.array(F.array(r[0], r[1]))))
+    geometry = F.struct(F.lit("Polygon").alias("type"), closed.alias("coordinates"))
+    return parts.select(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
+
+
+FEATURE = "properties string, geometry struct<type:string,coordinates:string>"
+
+
+def read_features(spark: SparkSession, path: str, collections: bool = False) -> DataFrame:
+    """(properties as JSON, kind, rings) of features, one a line or, with collections, in whole files: every ring of polygons and of
+    multi-polygons, flat; other geometries have none."""
+    if collections:
+        f = spark.read.schema(f"features array<struct<{FEATURE.replace('properties string', 'properties:string').replace('geometry struct', 'geometry:struct')}>>").option("multiLine", True).json(path)
+        sure = F.when(F.col("features").isNull(), F.raise_error(F.lit("a file without features"))).otherwise(F.col("features"))
+        f = f.select(F.explode(sure).alias("f")).select("f.*")
+    else:
+        f = spark.read.schema(FEATURE).json(path)
+    kind, raw = F.col("geometry.type"), F.col("geometry.coordinates")
+    one, many = F.from_json(raw, "array<array<array<double>>>"), F.flatten(F.from_json(raw, "array<array<array<array<double>>>>"))
+    rings = F.transform(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many), lambda r: F.flatten(F.transform(r, lambda p: F.slice(p, 1, 2))))
+    return f.select("properties", kind.alias("kind"), F.coalesce(rings, F.array().cast("array<array<double>>")).alias("rings"))
+
+
+def obstacle_details(spark: SparkSession, path: str, excluded: tuple[str, ...] = ("column",)) -> tuple[DataFrame, DataFrame]:
+    """(counts, polygons) of obstacle files: a floor's features, those excluded by type and those that are drawn; and rings (scope, ring)
+    of the latter. A feature without a floor or a type raises, as it must never become free space."""
+    f = read_features(spark, path, True)
+    text = lambda name: F.trim(F.coalesce(F.get_json_object("properties", f"$.{name}"), F.lit("")))
+    named = lambda c, why: F.when(c != "", c).otherwise(F.raise_error(F.lit(why)))
+    f = f.withColumns({"scope": named(text("floor_id"), "an obstacle without a floor"), "kind": named(F.lower(text("obstacle_type")), "an obstacle without a type")})
+    out = F.col("kind").isin(*[e.lower() for e in excluded])
+    counts = f.groupBy("scope").agg(F.count("*").alias("source"), F.count_if(out).alias("excluded"), F.count_if(~out).alias("rendered"))
+    return counts, f.where(~out).select("scope", F.explode("rings").alias("ring"))
+
+
 def write_csv_with_mark(df: DataFrame, path: str) -> None:
     """CSV whose files begin with a byte order mark, for spreadsheets: the mark is part of the first column's name."""
     first, *rest = df.columns

@@ -224,3 +224,33 @@ def test_shared_folders(spark):
     from pathlib import Path
 
     assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_features_of_files(spark, tmp_path):
+    import json
+
+    square, hole = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]
+    feature = lambda props, kind, c: {"type": "Feature", "properties": props, "geometry": {"type": kind, "coordinates": c}}
+    rows = [feature({"floor_id": "F1", "obstacle_type": "wall"}, "Polygon", [square, hole]), feature({"floor_id": "F1", "obstacle_type": "Column"}, "Polygon", [square]), feature({"floor_id": "F2", "obstacle_type": "filled_obstacle"}, "MultiPolygon", [[square], [hole]]), feature({"floor_id": "F2", "obstacle_type": "wall"}, "Point", [1, 2])]
+    (tmp_path / "o.json").write_text(json.dumps({"type": "FeatureCollection", "features": rows}, indent=1))
+    counts, rings = artifacts.obstacle_details(spark, str(tmp_path / "o.json"))
+    assert {r.scope: (r.source, r.excluded, r.rendered) for r in counts.collect()} == {"F1": (2, 1, 1), "F2": (2, 0, 2)}
+    assert sorted((r.scope, len(r.ring)) for r in rings.collect()) == [("F1", 8), ("F1", 10), ("F2", 8), ("F2", 10)]
+    for bad in ({"obstacle_type": "wall"}, {"floor_id": "F1"}):
+        (tmp_path / "bad.json").write_text(json.dumps({"features": [feature(bad, "Polygon", [square])]}))
+        with pytest.raises(Exception, match="an obstacle without"):
+            artifacts.obstacle_details(spark, str(tmp_path / "bad.json"))[0].collect()
+    parts = spark.createDataFrame([("F1", [[0.0, 0.0, 4.0, 0.0, 4.0, 4.0], [1.0, 1.0, 2.0, 1.0, 2.0, 2.0]])], "scope string, rings array<array<double>>")
+    artifacts.write_geojson(artifacts.polygon_features(parts, ["scope"]), str(tmp_path / "p"))
+    back = artifacts.read_features(spark, str(tmp_path / "p")).first()
+    assert json.loads(back.properties) == {"scope": "F1"} and back.rings[0] == [0, 0, 4, 0, 4, 4, 0, 0] and len(back.rings) == 2
+
+
+def test_routes_keep_to_gaps_of_the_scale(spark):
+    from gridloom.operators import optimizer as O
+
+    t = spark.createDataFrame([(0, k, 0.0, 10.0) for k in range(3)], "floor int, target long, value double, scale double")
+    d = spark.createDataFrame([(0, a, b, float(abs(x - y))) for a, x in enumerate((0, 5, 14)) for b, y in enumerate((0, 5, 14)) if a != b], "floor int, src long, dst long, distance double")
+    r = spark.createDataFrame([(0, "all", "mandatory_all", "", [0, 1, 2], 0, 1)], "floor int, name string, kind string, category string, items array<long>, count int, each int")
+    assert [x.target for x in O.optimised_routes(t, r, d, gap_ratios=(0.2, 0.95)).orderBy("place").collect()] in ([0, 1, 2], [2, 1, 0])
+    assert O.optimised_routes(t, r, d, gap_ratios=(0.2, 0.8)).first().status == "infeasible"
