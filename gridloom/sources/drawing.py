@@ -47,7 +47,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = load(spark, sf_dir, "lineitem")  # noqa: E741
     kind = {name: picked(*rule).alias(name) for name, rule in PICKED.items()}
     has_box = F.expr("(l_orderkey + l_linenumber) % 41 <> 0")
-    at = {name: F.when(has_box, F.expr(rule)) for name, rule in EXTENT.items()}
+    at = {name: F.when(has_box, F.expr(rule).cast("double")) for name, rule in EXTENT.items()}
     base = l.select(
         F.expr("l_orderkey * 8 + l_linenumber").alias("object_id"), *kind.values(), F.col("l_linenumber").alias("color"), F.expr("cast(l_partkey % 4 as int)").alias("depth"),
         F.concat(F.lit("H"), F.expr("cast(l_orderkey * 8 + l_linenumber as string)")).alias("handle"), (F.col("l_returnflag") == "R").alias("closed"),
@@ -68,7 +68,7 @@ def _entities_sql() -> str:
     columns = ", ".join(f"{_case(*rule)} AS {name}" for name, rule in PICKED.items())
     x0, y0, w, h = EXTENT.values()
     return f"""raw AS (SELECT l_orderkey * 8 + l_linenumber AS object_id, {columns}, l_linenumber AS color, CAST(l_partkey % 4 AS INT) AS depth, 'H' || (l_orderkey * 8 + l_linenumber) AS handle, l_returnflag = 'R' AS closed,
-  (l_orderkey + l_linenumber) % 41 <> 0 AS has, {x0} AS x0, {y0} AS y0, {w} AS w, {h} AS h FROM lineitem),
+  (l_orderkey + l_linenumber) % 41 <> 0 AS has, CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({w} AS DOUBLE) AS w, CAST({h} AS DOUBLE) AS h FROM lineitem),
 entities AS (SELECT object_id, entity_type, layer, parent_block_name, linetype, floor_id, source, color, depth, handle,
   CASE WHEN entity_type IN ('TEXT', 'MTEXT', 'ATTRIB') THEN raw_text ELSE '' END AS raw_text, CASE WHEN entity_type IN ('TEXT', 'MTEXT', 'ATTRIB') THEN replace(raw_text, ' ', '') ELSE '' END AS norm_text,
   CASE WHEN entity_type IN ('TEXT', 'MTEXT', 'ATTRIB') THEN 'text' WHEN entity_type = 'INSERT' THEN 'block_insert' WHEN entity_type IN ('LINE', 'XLINE', 'RAY') THEN 'line'

@@ -82,9 +82,19 @@ def test_nearest_neighbors_equal_all_pairs(spark):
 
 
 def test_running_clusters(spark):
-    df = spark.createDataFrame([([3.0, 1.0, 1.2, 9.0],), ([],)], "v array<double>")
-    out = [[(round(c.mean, 6), c.n) for c in r.c] for r in df.select(clusters.running_clusters(F.col("v"), 0.5).alias("c")).collect()]
-    assert out == [[(1.1, 2), (3.0, 1), (9.0, 1)], []]
+    rng = random.Random(6)
+    values = [(f, round(rng.random() * 40, 2)) for f in range(2) for _ in range(60)] + [(3, 1.0)]
+    got = {}
+    for r in clusters.axis_clusters(spark.createDataFrame(values, "floor int, v double"), "v", 0.5).orderBy("floor", "place").collect():
+        got.setdefault(r.floor, []).append((round(r.mean, 6), r.n))
+    for floor in (0, 1, 3):
+        out = []
+        for v in sorted(v for f, v in values if f == floor):
+            if out and abs(v - out[-1][0]) <= 0.5:
+                out[-1] = [(out[-1][0] * out[-1][1] + v) / (out[-1][1] + 1), out[-1][1] + 1]
+            else:
+                out.append([v, 1])
+        assert got[floor] == [(round(m, 6), n) for m, n in out]
 
 
 def test_stream_equals_table(spark, tmp_path):
