@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygons as P
+from ..sources.shared import by_key
 
 #: Rule types by the names under which a configuration may have them.
 TYPES = {"all": "mandatory_all", "sample_total": "quota_per_class", "max_sample": "quota_per_class", "sample_each_subitem": "quota_per_class"}
@@ -133,7 +134,7 @@ def covering_members(points: DataFrame, members: DataFrame) -> DataFrame:
                 found[P.covers([ring], at)] = r.building
         return pd.DataFrame({"target": p["target"].to_numpy(), "building": found})
 
-    return points.groupBy("scope").cogroup(members.select(F.col("scope").alias("s"), "place", "building", "ring").groupBy("s")).applyInPandas(run, "target long, building string")
+    return by_key(points, "scope").cogroup(by_key(members.select(F.col("scope").alias("s"), "place", "building", "ring"), "s")).applyInPandas(run, "target long, building string")
 
 
 def target_rows(annotations: DataFrame, members: DataFrame) -> DataFrame:

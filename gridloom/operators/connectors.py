@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import polygons as P
+from ..sources.shared import by_key
 from .spatial import touching_boxes
 
 #: Fixed values, in pixels: gaps that need no door, that a door may span, how near a door must be, and half a connector's width.
@@ -149,7 +150,7 @@ def connectors(candidates: DataFrame, parts: DataFrame, nodes: DataFrame, pixel:
             out.append((key[0], len(out) + 1, r.component_a, r.component_b, int(node[0]["node"]), int(node[1]["node"]), r.gap, r.source, r.confidence, *map(float, middle), *length, carve.ravel().tolist()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in CONNECTED.split(", ")])
 
-    return c.groupBy("scope").cogroup(known.groupBy("s")).applyInPandas(run, CONNECTED)
+    return by_key(c, "scope").cogroup(by_key(known, "s")).applyInPandas(run, CONNECTED)
 
 
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

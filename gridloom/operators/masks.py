@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import by_key
 from .skeleton import labelled
 
 Box = tuple[int, int, int, int]
@@ -190,7 +191,7 @@ def image_splits(cells: DataFrame, images: DataFrame, sizes: Sizes = Sizes()) ->
                 out.append((key[0], *best))
         return pd.DataFrame(out, columns=[x.split()[0] for x in SPLITS.split(", ")])
 
-    return images.groupBy("image").cogroup(cells.select(F.col("image").alias("k"), "x", "y").groupBy("k")).applyInPandas(run, SPLITS)
+    return by_key(images, "image").cogroup(by_key(cells.select(F.col("image").alias("k"), "x", "y"), "k")).applyInPandas(run, SPLITS)
 
 
 BUILDINGS = "image string, building string, x0 int, y0 int, x1 int, y1 int, parts int, cells long, rejected int, needs_review boolean, reason string"
@@ -225,4 +226,4 @@ def reconciled_buildings(cells: DataFrame, images: DataFrame, detections: DataFr
         return pd.DataFrame(rows, columns=[x.split()[0] for x in BUILDINGS.split(", ")])
 
     both = images.join(detections, "image", "left")
-    return both.groupBy("image").cogroup(cells.select(F.col("image").alias("k"), "x", "y").groupBy("k")).applyInPandas(run, BUILDINGS)
+    return by_key(both, "image").cogroup(by_key(cells.select(F.col("image").alias("k"), "x", "y"), "k")).applyInPandas(run, BUILDINGS)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygons as P
+from ..sources.shared import by_key, written
 from .spatial import bounded_sequence
 
 #: How a connection of buildings may have been verified.
@@ -49,7 +50,7 @@ def polygon_unions(polygons: DataFrame) -> DataFrame:
         sizes = [P.signed_area(r) for r in found]
         return pd.DataFrame([(key[0], len(region), P.area(t), sum(s > 0 for s in sizes), sum(s < 0 for s in sizes), [r.ravel().tolist() for r in found])], columns=[c.split()[0] for c in UNION.split(", ")])
 
-    return polygons.groupBy("scope").applyInPandas(run, UNION)
+    return by_key(polygons, "scope").applyInPandas(run, UNION)
 
 
 def union_areas(polygons: DataFrame, tile: float) -> DataFrame:
@@ -63,7 +64,7 @@ def union_areas(polygons: DataFrame, tile: float) -> DataFrame:
         region, frame = region_of(rows["ring"]), [P.box_ring(key[1] * tile, key[2] * tile, (key[1] + 1) * tile, (key[2] + 1) * tile)]
         return pd.DataFrame([(key[0], P.area(P.overlay(frame, region, lambda a, b: a & b)))], columns=["scope", "area"])
 
-    return dealt.groupBy("scope", "tx", "ty").applyInPandas(run, "scope string, area double").groupBy("scope").agg(F.sum("area").alias("area"))
+    return by_key(dealt, "scope", "tx", "ty").applyInPandas(run, "scope string, area double").groupBy("scope").agg(F.sum("area").alias("area"))
 
 
 FREE = "scope string, domain_area double, obstacle_area double, outside_area double, free_area double, parts int, blocked boolean, rings array<array<double>>"
@@ -84,11 +85,12 @@ def free_regions(domains: DataFrame, obstacles: DataFrame) -> DataFrame:
         found = P.rings(t)
         return pd.DataFrame([(key[0], whole, inside, P.region_area(solid) - inside, P.area(t), sum(P.signed_area(r) > 0 for r in found), not len(found), [r.ravel().tolist() for r in found])], columns=[c.split()[0] for c in FREE.split(", ")])
 
-    return domains.groupBy("scope").cogroup(obstacles.select(F.col("scope").alias("s"), F.col("ring").alias("r")).groupBy("s")).applyInPandas(run, FREE)
+    return by_key(domains, "scope").cogroup(by_key(obstacles.select(F.col("scope").alias("s"), F.col("ring").alias("r")), "s")).applyInPandas(run, FREE)
 
 
 def not_all_blocked(free: DataFrame) -> DataFrame:
     """The free regions; if all scopes are blocked, reading them raises. One number over all scopes decides, not their rows."""
+    free = written(free, "free")  # read twice
     every = free.agg(F.min("blocked").alias("_all"))
     sure = F.when(F.col("_all"), F.raise_error(F.lit("every scope is blocked"))).otherwise(F.col("scope"))
     return free.crossJoin(F.broadcast(every)).withColumn("scope", sure).drop("_all")  # one row
@@ -107,7 +109,7 @@ def effective_free(free: DataFrame, connectors: DataFrame) -> DataFrame:
         found = P.rings(t)
         return pd.DataFrame([(key[0], P.area(t), sum(P.signed_area(r) > 0 for r in own), sum(P.signed_area(r) > 0 for r in found), [r.ravel().tolist() for r in found])], columns=[x.split()[0] for x in schema.split(", ")])
 
-    return free.select("scope", "rings").groupBy("scope").cogroup(connectors.select(F.col("scope").alias("s"), F.col("ring").alias("r")).groupBy("s")).applyInPandas(run, schema)
+    return by_key(free.select("scope", "rings"), "scope").cogroup(by_key(connectors.select(F.col("scope").alias("s"), F.col("ring").alias("r")), "s")).applyInPandas(run, schema)
 
 
 def certified_edges(edges: DataFrame, free: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def certified_edges(edges: DataFrame, free: DataFrame) -> DataFrame:
         good = [bool(region) and len(p) >= 4 and P.covers_path(region, np.asarray(p, float)) for p in e["path"]]
         return pd.DataFrame({"scope": e["scope"], "edge": e["edge"], "valid": good})
 
-    return edges.select("scope", "edge", "path").groupBy("scope").cogroup(free.select(F.col("scope").alias("s"), "rings").groupBy("s")).applyInPandas(run, schema)
+    return by_key(edges.select("scope", "edge", "path"), "scope").cogroup(by_key(free.select(F.col("scope").alias("s"), "rings"), "s")).applyInPandas(run, schema)
 
 
 def scope_token(value: Column, otherwise: str) -> Column:
@@ -160,7 +162,7 @@ def scope_regions(regions: DataFrame, buildings: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REGIONS.split(", ")])
 
     other = known.select(F.col("sheet").alias("s"), F.col("region").alias("g"), "building", F.col("ring").alias("bring"), F.col("scope").alias("bscope"), "validation", F.col("confidence").alias("bconfidence"))
-    return sound.groupBy("sheet", "region").cogroup(other.groupBy("s", "g")).applyInPandas(run, REGIONS)
+    return by_key(sound, "sheet", "region").cogroup(by_key(other, "s", "g")).applyInPandas(run, REGIONS)
 
 
 LINKS = "floor string, left_scope string, right_scope string, open_length double, least double, linked boolean"
@@ -184,7 +186,7 @@ def corridor_links(scopes: DataFrame) -> DataFrame:
                 out.append((key[0], a.scope, b.scope, length, least, length >= least))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
 
-    return scopes.groupBy("floor").applyInPandas(run, LINKS)
+    return by_key(scopes, "floor").applyInPandas(run, LINKS)
 
 
 def merged_scopes(scopes: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def merged_scopes(scopes: DataFrame, links: DataFrame) -> DataFrame:
         number = {n: f"{key[0]}__CONN_AUTO_C{k:03d}" for k, n in enumerate(several, 1)}
         return pd.DataFrame([(key[0], n, number.get(label[n], n)) for n in names], columns=["floor", "scope", "merged"])
 
-    return scopes.groupBy("floor").cogroup(links.select(F.col("floor").alias("f"), "left_scope", "right_scope", "linked").groupBy("f")).applyInPandas(run, "floor string, scope string, merged string")
+    return by_key(scopes, "floor").cogroup(by_key(links.select(F.col("floor").alias("f"), "left_scope", "right_scope", "linked"), "f")).applyInPandas(run, "floor string, scope string, merged string")
 
 
 def resolved_scopes(targets: DataFrame, domains: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def resolved_scopes(targets: DataFrame, domains: DataFrame) -> DataFrame:
                 out.append(best[1] if best[0] >= 0.5 else None)
         return pd.DataFrame({"target": t["target"], "scope": out})
 
-    return targets.groupBy("floor").cogroup(domains.select(F.col("floor").alias("f"), "scope", "rings").groupBy("f")).applyInPandas(run, "target long, scope string")
+    return by_key(targets, "floor").cogroup(by_key(domains.select(F.col("floor").alias("f"), "scope", "rings"), "f")).applyInPandas(run, "target long, scope string")
 
 
 ASSIGNED = "scope string, target long, component string, status string, x double, y double, distance double"
@@ -265,7 +267,7 @@ def component_assignment(targets: DataFrame, components: DataFrame) -> DataFrame
         at = np.where(held[:, None], p, at)
         return pd.DataFrame({"scope": t["scope"], "target": t["target"], "component": c["component"].to_numpy()[k], "status": np.where(held, "inside_free_space", "projected_to_free_space"), "x": at[:, 0], "y": at[:, 1], "distance": np.hypot(*(p - at).T)})
 
-    return targets.groupBy("scope").cogroup(components.select(F.col("scope").alias("s"), "component", "rings").groupBy("s")).applyInPandas(run, ASSIGNED)
+    return by_key(targets, "scope").cogroup(by_key(components.select(F.col("scope").alias("s"), "component", "rings"), "s")).applyInPandas(run, ASSIGNED)
 
 
 def segment_owners(segments: DataFrame, floors: DataFrame, width: float = 0.6, halo: float = 1.25) -> DataFrame:
@@ -295,7 +297,7 @@ def segment_owners(segments: DataFrame, floors: DataFrame, width: float = 0.6, h
             out.append(min(near)[1] if near else None)
         return pd.DataFrame({"segment": s["segment"], "owner": out})
 
-    return segments.groupBy("drawing").cogroup(floors.select(F.col("drawing").alias("d"), "floor", "rings", "confidence").groupBy("d")).applyInPandas(run, "segment long, owner string")
+    return by_key(segments, "drawing").cogroup(by_key(floors.select(F.col("drawing").alias("d"), "floor", "rings", "confidence"), "d")).applyInPandas(run, "segment long, owner string")
 
 
 def halo_members(segments: DataFrame, regions: DataFrame, width: float = 0.6, halo: float = 1.25) -> DataFrame:
@@ -314,7 +316,7 @@ def halo_members(segments: DataFrame, regions: DataFrame, width: float = 0.6, ha
             rows += [(key[0], name, int(s["segment"].iloc[i])) for i in np.flatnonzero(near) if P.segment_distance(a[i], b[i], region) <= reach[i] + 1e-9]
         return pd.DataFrame(rows, columns=["floor", "region", "segment"])
 
-    return segments.groupBy("floor").cogroup(regions.select(F.col("floor").alias("f"), "region", "rings").groupBy("f")).applyInPandas(run, "floor string, region string, segment long")
+    return by_key(segments, "floor").cogroup(by_key(regions.select(F.col("floor").alias("f"), "region", "rings"), "f")).applyInPandas(run, "floor string, region string, segment long")
 
 
 ROUTED = "pair long, routing string, owner string, outputs array<string>"
@@ -346,7 +348,7 @@ def pair_owners(pairs: DataFrame, regions: DataFrame, least: float = 1e-9) -> Da
             rows.append((x.pair, "core" if core else "topology_only" if full else "halo_ghost", best[0][3] if best else "", sorted(m[3] for m in best)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ROUTED.split(", ")])
 
-    return pairs.groupBy("floor").cogroup(regions.select(F.col("floor").alias("f"), "region", "rings", "confidence").groupBy("f")).applyInPandas(run, ROUTED)
+    return by_key(pairs, "floor").cogroup(by_key(regions.select(F.col("floor").alias("f"), "region", "rings", "confidence"), "f")).applyInPandas(run, ROUTED)
 
 
 FACES = "scope string, face int, area double, rings array<array<double>>"
@@ -365,7 +367,7 @@ def cut_regions(free: DataFrame, cutters: DataFrame, half: float, least: float)
         rows.sort(key=lambda q: (-round(sum(map(P.signed_area, q)), 9), q[0].tolist()))
         return pd.DataFrame([(key[0], k, float(sum(map(P.signed_area, q))), [r.ravel().tolist() for r in q]) for k, q in enumerate(rows, 1)], columns=[x.split()[0] for x in FACES.split(", ")])
 
-    return free.select("scope", "rings").groupBy("scope").cogroup(cutters.select(F.col("scope").alias("s"), "ax", "ay", "bx", "by").groupBy("s")).applyInPandas(run, FACES)
+    return by_key(free.select("scope", "rings"), "scope").cogroup(by_key(cutters.select(F.col("scope").alias("s"), "ax", "ay", "bx", "by"), "s")).applyInPandas(run, FACES)
 
 
 def portal_regions(portals: DataFrame, faces: DataFrame, slack: float) -> DataFrame:
@@ -382,7 +384,7 @@ def portal_regions(portals: DataFrame, faces: DataFrame, slack: float) -> DataFr
             rows.append((key[0], x.portal, *(touch[:2] if len(touch) > 1 else (None, None))))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"area_a": "Int32", "area_b": "Int32"})
 
-    return portals.groupBy("scope").cogroup(faces.select(F.col("scope").alias("s"), "face", "rings").groupBy("s")).applyInPandas(run, schema)
+    return by_key(portals, "scope").cogroup(by_key(faces.select(F.col("scope").alias("s"), "face", "rings"), "s")).applyInPandas(run, schema)
 
 
 def capped_portals(portals: DataFrame, most: int = 600) -> DataFrame:
@@ -447,7 +449,7 @@ def closed_envelopes(buildings: DataFrame, walls: DataFrame, pixel: float, part:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ENVELOPE.split(", ")])
 
     high = buildings.where(third_floor_or_above(F.col("floor")))
-    return high.select("scope", "ring").groupBy("scope").cogroup(walls.select(F.col("scope").alias("s"), "cx", "cy").groupBy("s")).applyInPandas(run, ENVELOPE)
+    return by_key(high.select("scope", "ring"), "scope").cogroup(by_key(walls.select(F.col("scope").alias("s"), "cx", "cy"), "s")).applyInPandas(run, ENVELOPE)
 
 
 def edge_offset(a: np.ndarray, b: np.ndarray, solid: set[tuple[int, int]], pixel: float, reach: int) -> tuple[float, str]:

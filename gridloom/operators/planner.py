@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import evidence as E
+from ..sources.shared import by_key
 from .optimizer import matrix
 from .routes import EPS
 
@@ -376,7 +377,7 @@ def floor_plans(targets: DataFrame, selected: DataFrame, closure: DataFrame, suc
                 rows.append((key[0], n, len(rows) + 1, int(ids[i]), float(d[g.walk[k - 1], i]) if k else 0.0, k == 0, g.virtual and k == 0, role, g.why if k == 0 else "", dmax, status))
         return pd.DataFrame(rows or [(key[0], 0, 0, None, None, False, False, "", "", dmax, status)], columns=EMPTY).astype({"target": "Int64"})
 
-    return chosen.groupBy("scope").cogroup(closure.select(F.col("scope").alias("s"), "src", "dst", "distance").groupBy("s")).applyInPandas(run, PLAN)
+    return by_key(chosen, "scope").cogroup(by_key(closure.select(F.col("scope").alias("s"), "src", "dst", "distance"), "s")).applyInPandas(run, PLAN)
 
 
 TREE = "scope string, source long, target long, distance double, step int"
@@ -401,7 +402,7 @@ def relay_trees(targets: DataFrame, closure: DataFrame, dmax: float) -> DataFram
             edges += more
         return pd.DataFrame([(key[0], int(ids[a]), int(ids[b]), w, k + 1) for k, (a, b, w) in enumerate(edges)], columns=[x.split()[0] for x in TREE.split(", ")])
 
-    return targets.groupBy("scope").cogroup(closure.select(F.col("scope").alias("s"), "src", "dst", "distance").groupBy("s")).applyInPandas(run, TREE)
+    return by_key(targets, "scope").cogroup(by_key(closure.select(F.col("scope").alias("s"), "src", "dst", "distance"), "s")).applyInPandas(run, TREE)
 
 
 AREAS = "scope string, parent string, child string, distance double, step int"
@@ -419,7 +420,7 @@ def area_trees(targets: DataFrame, closure: DataFrame) -> DataFrame:
         rows = [(key[0], None, root, 0.0, 0), *((key[0], a, b, w, k + 1) for k, (a, b, w) in enumerate(tree))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in AREAS.split(", ")])
 
-    return values.groupBy("scope").cogroup(near.select(F.col("scope").alias("s"), "left", "right", "distance").groupBy("s")).applyInPandas(run, AREAS)
+    return by_key(values, "scope").cogroup(by_key(near.select(F.col("scope").alias("s"), "left", "right", "distance"), "s")).applyInPandas(run, AREAS)
 
 
 def area_pairs(targets: DataFrame, closure: DataFrame) -> DataFrame:
@@ -457,7 +458,7 @@ def tree_walks(trees: DataFrame) -> DataFrame:
             left -= inside
         return pd.DataFrame(rows, columns=[x.split()[0] for x in WALK.split(", ")])
 
-    return trees.groupBy("scope").applyInPandas(run, WALK)
+    return by_key(trees, "scope").applyInPandas(run, WALK)
 
 
 def locked_plan(plan: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import by_key
 from .graph import connected_components
 from .spatial import bounded_sequence
 
@@ -58,7 +59,7 @@ def clearance(cells: DataFrame, blocked: DataFrame) -> DataFrame:
 
     # Both may come from the same boxes; new names keep their columns apart.
     other = blocked.select(F.col("floor").alias("f"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    return cells.groupBy("floor").cogroup(other.groupBy("f")).applyInPandas(run, "floor int, cx long, cy long, steps long")
+    return by_key(cells, "floor").cogroup(by_key(other, "f")).applyInPandas(run, "floor int, cx long, cy long, steps long")
 
 
 def areas(cells: DataFrame, size: float) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import by_key
+
 #: Floors of up to so many targets are ordered exactly; up to so many others are improved by reversals until none helps.
 EXACT, FULL = 16, 80
 #: Passes over larger floors, each of which takes the best reversal; what counts as shorter.
@@ -125,7 +127,7 @@ def plan_routes(targets: DataFrame, exact: int = EXACT) -> DataFrame:
         legs = [0.0, *legs_of(xy, path)]
         return pd.DataFrame({"floor": key[0], "target_id": t["target_id"].to_numpy()[path], "place": range(1, len(t) + 1), "leg": np.round(legs, 6), "method": "exact" if len(t) <= exact else "heuristic"})
 
-    return targets.groupBy("floor").applyInPandas(run, "floor int, target_id long, place int, leg double, method string")
+    return by_key(targets, "floor").applyInPandas(run, "floor int, target_id long, place int, leg double, method string")
 
 
 def insertion_costs(targets: DataFrame, legs: DataFrame, block: int = 2048) -> DataFrame:
@@ -143,4 +145,4 @@ def insertion_costs(targets: DataFrame, legs: DataFrame, block: int = 2048) -> D
         cost = np.where(first, far(b), far(a) + far(b) - np.hypot(*(a - b).T))
         return pd.DataFrame({"floor": np.int32(key[0]), "target_id": t["target_id"], "saving": cost.min(axis=1) if len(e) else np.nan})
 
-    return own.groupBy("floor", "part").cogroup(dealt.groupBy("f", "p")).applyInPandas(run, "floor int, target_id long, saving double")
+    return by_key(own, "floor", "part").cogroup(by_key(dealt, "f", "p")).applyInPandas(run, "floor int, target_id long, saving double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import polygons as P
+from ..sources.shared import by_key
 from .aggregates import robust_gate
 from .selection import greedy_matching
 from .spatial import parallel_pairs, touching_boxes
@@ -143,7 +144,7 @@ def wall_faces(lines: DataFrame, cores: DataFrame, share: float = 0.5) -> DataFr
                 rows.append((key[0], len(rows) + 1, size, part, ring.ravel().tolist()))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in FACES.split(", ")])
 
-    return lines.groupBy("scope").cogroup(cores.select(F.col("scope").alias("k"), "ring").groupBy("k")).applyInPandas(run, FACES)
+    return by_key(lines, "scope").cogroup(by_key(cores.select(F.col("scope").alias("k"), "ring"), "k")).applyInPandas(run, FACES)
 
 
 TAILS = "scope string, pair long, side string, evidence string, ring array<double>"
@@ -178,7 +179,7 @@ def tails(pairs: DataFrame, lines: DataFrame, most: float = 1.5, slack: float =
                     rows.append((key[0], x.pair, side, why, [float(v) for c in corners for v in c]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TAILS.split(", ")])
 
-    return pairs.groupBy("scope").cogroup(lines.select(F.col("scope").alias("k"), "ax", "ay", "bx", "by").groupBy("k")).applyInPandas(run, TAILS)
+    return by_key(pairs, "scope").cogroup(by_key(lines.select(F.col("scope").alias("k"), "ax", "ay", "bx", "by"), "k")).applyInPandas(run, TAILS)
 
 
 def wall_obstacles(segments: DataFrame, least: int = 5) -> DataFrame:

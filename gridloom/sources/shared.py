@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +49,10 @@ def done_before(spark: SparkSession, folder: str, key: str) -> bool:
 def content_key(*parts: object) -> str:
     """Twenty digits for a stage's name, version and settings."""
     return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:20]
+
+
+def by_key(df: DataFrame, *keys: str) -> GroupedData:
+    """df grouped by keys for a function of whole groups, dealt over as many partitions as the session shuffles into. Partitions whose
+    number was asked for aren't merged by size afterwards: a group of few bytes can be much work."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
