@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import polygons as P
-from ..sources.shared import by_key
+from ..sources.shared import by_key, written
 from .aggregates import robust_gate
 from .selection import greedy_matching
 from .spatial import parallel_pairs, touching_boxes
@@ -185,7 +185,7 @@ def tails(pairs: DataFrame, lines: DataFrame, most: float = 1.5, slack: float =
 def wall_obstacles(segments: DataFrame, least: int = 5) -> DataFrame:
     """Obstacle records of walls from segments (floor, seg_id, ax, ay, bx, by, angle): parallel pairs, without those of periodic
     arrays, matched one to one, without those of outlying width, each with its band, width, support and where it comes from."""
-    pairs = pair_bands(parallel_pairs(segments), segments).where("ring is not null")
+    pairs = written(pair_bands(parallel_pairs(segments), segments).where("ring is not null"), "wall-pairs")  # read three times
     arrays = periodic_pairs(pairs, segments, least)
     alone = pairs.join(arrays, ["floor", "left_id", "right_id"], "left_anti")
     rounded = alone.select("floor", "left_id", "right_id", *[F.round(c, 9).alias(c) for c in ("turned", "common", "apart")])

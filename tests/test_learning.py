@@ -202,6 +202,26 @@ def test_a_run_of_all_stages(spark, tmp_path):
     assert targets.count() > 0
 
 
+def test_a_second_run_makes_nothing(spark, tmp_path):
+    from gridloom.plans import overlay_queries as Q
+    from gridloom.plans import planning_queries as Y
+    from gridloom.plans.join_queries import segments
+    from gridloom.sources import drawing
+
+    d = "/root/testdata/sf0.001"
+    few = Y.scoped(spark, d).where("target < 60")
+    required = few.where("target % 20 = 0").select("scope", F.lit("all").alias("name"), F.lit("mandatory_all").alias("kind"), F.lit("").alias("category"), "target", F.lit(0).alias("quota"), F.lit(1).alias("each"))
+    tables = {
+        "entities": drawing.entities(spark, d).where("object_id % 50 = 0"), "aliases": spark.createDataFrame([("安全出口", "楼梯")], "class string, alias string"), "segments": segments(spark, d),
+        "domains": Q.domains(spark, d), "solids": Q.ringed(Q.obstacles(spark, d)), "targets": few, "requirements": required, "ways": Y.ways(spark, d).where("src < 60 and dst < 60"),
+    }
+    first, second = (stages.run(spark, tables, f"{tmp_path}/run", 1.0, 0.5) for _ in range(2))
+    assert [*first] == ["inventory", "objects", "obstacles", "free", "navigation", "plan"] and not any(r.reused for r in first.values())
+    assert all(r.reused for r in second.values()) and all(r.read(spark).count() for r in second.values())
+    changed = stages.run(spark, tables | {"solids": tables["solids"].where("scope <> 'F0'")}, f"{tmp_path}/run", 1.0, 0.5)
+    assert [n for n, r in changed.items() if not r.reused] == ["free", "navigation"]
+
+
 def test_refinement_only_joins(spark):
     table = lambda parts: spark.createDataFrame([("s", k, p) for k, p in enumerate(parts)], "scope string, target int, component int")
     r = stages.refinement(table([1, 1, 2, 3]), table([1, 1, 1, 3])).first()
