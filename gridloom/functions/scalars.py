@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space to remove; Java's \s alone leaves the ideographic and no-break spaces.
 SPACE = r"[\s\x{00A0}\x{3000}]+"
+#: The same characters, to translate away in one pass.
+SPACES = " \t\n\x0b\f\r\u00a0\u3000"
 #: What separates parts of a layer name.
 LAYER_MARKS = r"[\s\x{00A0}\x{3000}_\-()\[\]/\\\x{3010}\x{3011}\x{FF08}\x{FF09}]+"
 #: Entity types by coarse kind; types that aren't named are "other".
@@ -49,12 +51,12 @@ def first_filled(*columns: Column) -> Column:
 def drawing_text(c: Column) -> Column:
     r"""Text of a drawing without paragraph marks (\P), formatting codes (\A1;), braces and white space."""
     plain = F.regexp_replace(F.regexp_replace(c, r"\\[Pp]", ""), r"\\[A-Za-z][^;\\]{0,16};", "")
-    return F.regexp_replace(F.translate(plain, "{}", ""), SPACE, "")
+    return F.translate(plain, "{}" + SPACES, "")
 
 
 def library_key(c: Column) -> Column:
     """Key of a library entry: full-width parentheses become ASCII, white space goes, letters are upper case."""
-    return F.upper(F.regexp_replace(F.translate(c, "（）", "()"), SPACE, ""))
+    return F.upper(F.translate(c, "（）" + SPACES, "()"))
 
 
 def ascii_compact(c: Column) -> Column:
@@ -63,7 +65,7 @@ def ascii_compact(c: Column) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct runs of A-Z and 0-9, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.upper(c), "[^A-Z0-9]+"), lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit("[A-Z0-9]+"), F.lit(0))))
 
 
 def layer_key(c: Column) -> Column:
