@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import polygons as P
 from gridloom.operators import overlays as O
+from gridloom.sources.shared import in_blocks
 
 
 def ring(x0, y0, x1, y1):
@@ -117,3 +119,20 @@ def test_segments_at_once_and_one_by_one():
     a, b = rng.integers(-2, 13, (2, 200, 2)).astype(float)
     assert P.covered_lengths(a, b, r) == pytest.approx([P.covered_length(np.array(x), r) for x in zip(a, b, strict=True)], abs=1e-9)
     assert P.segment_distances(a, b, r) == pytest.approx([P.segment_distance(*x, r) for x in zip(a, b, strict=True)], abs=1e-9)
+
+
+def test_a_floor_is_dealt_over_several_tasks(spark):
+    left = spark.createDataFrame([(f, k) for f in "ab" for k in range(20)] + [(None, 99)], "f string, k long")
+    right = spark.createDataFrame([("a", k) for k in range(10)], "f string, n long")
+    run = lambda key, x, y: pd.DataFrame([(key[0], int(k), len(x), int(y["n"].sum())) for k in x["k"]], columns=["f", "k", "rows", "sum"])
+    got = in_blocks(left, right, "f", "k", run, "f string, k long, rows int, sum long", 50).collect()
+    assert sorted((str(r.f), r.k, r.sum) for r in got) == sorted([("a", k, 45) for k in range(20)] + [("b", k, 0) for k in range(20)] + [("None", 99, 0)])
+    assert max(r.rows for r in got if r.f == "a") < 20
+
+
+def test_halos_of_bent_regions(spark):
+    rng, rings = np.random.default_rng(5), {"x": [BENT], "y": [ring(20.0, 0.0, 22.0, 2.0)]}
+    ends = rng.uniform(-5, 25, (80, 4))
+    s = spark.createDataFrame([("f", k, *map(float, p)) for k, p in enumerate(ends)], "floor string, segment long, ax double, ay double, bx double, by double")
+    got = {(r.region, r.segment) for r in O.halo_members(s, spark.createDataFrame([("f", n, r) for n, r in rings.items()], "floor string, region string, rings array<array<double>>")).collect()}
+    assert got == {(n, k) for n, r in rings.items() for k, p in enumerate(ends) if P.segment_distance(p[:2], p[2:], region(r)) <= 0.75 * np.hypot(*(p[2:] - p[:2])) + 1e-9} and len(got) > 20
