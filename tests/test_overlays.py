@@ -136,3 +136,12 @@ def test_halos_of_bent_regions(spark):
     s = spark.createDataFrame([("f", k, *map(float, p)) for k, p in enumerate(ends)], "floor string, segment long, ax double, ay double, bx double, by double")
     got = {(r.region, r.segment) for r in O.halo_members(s, spark.createDataFrame([("f", n, r) for n, r in rings.items()], "floor string, region string, rings array<array<double>>")).collect()}
     assert got == {(n, k) for n, r in rings.items() for k, p in enumerate(ends) if P.segment_distance(p[:2], p[2:], region(r)) <= 0.75 * np.hypot(*(p[2:] - p[:2])) + 1e-9} and len(got) > 20
+
+
+def test_equal_overlaps_go_to_the_surer_region(spark):
+    r = spark.createDataFrame([("f", "a", [ROUND], 0.1), ("f", "b", [BENT], 0.9), ("f", "c", [ring(50.0, 0.0, 60.0, 9.0)], 0.5)], "floor string, region string, rings array<array<double>>, confidence double")
+    at = np.random.default_rng(6).uniform(1, 5, (40, 2)).round(3)
+    rows = [("f", k, ring(x, y, x + 0.7, y + 0.9), ring(x, y, x + 1.0, y + 1.0)) for k, (x, y) in enumerate(at.tolist())]
+    rows += [("f", 90, ring(48.0, 0.0, 49.0, 1.0), ring(48.0, 0.0, 51.0, 1.0)), ("f", 91, [0.0, 0.0], [0.0, 0.0]), ("g", 92, ring(0.0, 0.0, 1.0, 1.0), ring(0.0, 0.0, 1.0, 1.0))]
+    got = {x.pair: (x.routing, x.owner, x.outputs) for x in O.pair_owners(spark.createDataFrame(rows, "floor string, pair long, core array<double>, full array<double>"), r).collect()}
+    assert got == {k: ("core", "b", ["a", "b"]) for k in range(40)} | {90: ("topology_only", "c", ["c"]), 91: ("halo_ghost", "", []), 92: ("halo_ghost", "", [])}
