@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import evidence as E
-from ..sources.shared import by_key
+from ..sources.shared import PAIRS, by_key, in_blocks
 from .optimizer import matrix
 from .routes import EPS
 
@@ -433,6 +433,30 @@ def area_pairs(targets: DataFrame, closure: DataFrame) -> DataFrame:
     return best.select("scope", "left", "right", "m.distance", F.col("m.src").alias("left_target"), F.col("m.dst").alias("right_target"))
 
 
+def closest_ways(targets: DataFrame, most: int = PAIRS) -> DataFrame:
+    """What area_pairs needs of all straight ways between targets (scope, target, area, x, y): (scope, src, dst, distance) of those
+    within 2e-9 of the least of their block and two areas, so that rounding to nine decimals changes nothing, and of equal ones the
+    smallest ids. Every pair is looked at in blocks of about `most`; few leave the task."""
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["scope", "src", "dst", "distance"])
+        a, b = a.sort_values(["area", "target"]), b.sort_values(["other_area", "other"])
+        code = pd.factorize(pd.concat([a["area"], b["other_area"]]))[0]
+        left, right = code[: len(a)], code[len(a) :]
+        first = [np.flatnonzero(np.append(True, c[1:] != c[:-1])) for c in (left, right)]
+        own = [np.cumsum(np.append(0, c[1:] != c[:-1])) for c in (left, right)]
+        d = np.hypot(a["x"].to_numpy(float)[:, None] - b["ox"].to_numpy(float), a["y"].to_numpy(float)[:, None] - b["oy"].to_numpy(float))
+        size = np.where(np.isnan(d), np.inf, d)
+        least = np.minimum.reduceat(np.minimum.reduceat(size, first[0], axis=0), first[1], axis=1)
+        i, j = np.nonzero((size <= least[own[0]][:, own[1]] + 2e-9) & (left[:, None] != right))
+        out = pd.DataFrame({"scope": key[0], "src": a["target"].to_numpy()[i], "dst": b["other"].to_numpy()[j], "distance": d[i, j], "l": left[i], "r": right[j]})
+        return out.sort_values(["distance", "src", "dst"]).drop_duplicates(["l", "r", "distance"])[["scope", "src", "dst", "distance"]]
+
+    points = targets.where("area is not null").select("scope", "target", "area", "x", "y")
+    return in_blocks(points, points.toDF("scope", "other", "other_area", "ox", "oy"), "scope", "target", run, "scope string, src long, dst long, distance double", most)
+
+
 WALK = "scope string, place int, target long, final boolean"
 
 

@@ -283,3 +283,14 @@ def test_counterfactual_savings(spark):
     known = spark.createDataFrame([(1, 0, 10.0, 7.0, 50.0), (1, 1, inf, 7.0, 50.0), (1, 2, 3.0, 9.0, 50.0), (1, 3, inf, inf, 50.0)], "floor int, target long, excluding double, forcing double, scale double")
     got = {r.target: (r.saving, r.source) for r in context.route_savings(t, d, known).collect()}
     assert [got[i][0] for i in range(4)] == [3.0, 50.0, 0.0, 0.0] and got[4][1] == "distance_proxy" and got[4][0] == pytest.approx(15 / 5 - 11 / 5)
+
+
+def test_the_closest_ways_of_areas_are_enough(spark):
+    rng = np.random.default_rng(7)
+    at = [*rng.integers(0, 12, (90, 2)).tolist(), [3, 3], [3, 3], [3, 3]]  # many equal distances, and copies
+    t = spark.createDataFrame([("s", k, f"A{k % 7}" if k % 11 else None, x / 10, y / 10) for k, (x, y) in enumerate(at)] + [("one", 1, "A", 0.0, 0.0)], "scope string, target long, area string, x double, y double")
+    every = [("s", a, b, float(np.hypot(at[a][0] / 10 - at[b][0] / 10, at[a][1] / 10 - at[b][1] / 10))) for a in range(len(at)) for b in range(len(at))]
+    whole = spark.createDataFrame(every, "scope string, src long, dst long, distance double")
+    rounded = lambda df: sorted(map(tuple, planner.area_pairs(t, df.withColumn("distance", F.round("distance", 9))).collect()))
+    few = planner.closest_ways(t, 500)
+    assert rounded(few) == rounded(whole) and len(rounded(few)) == 21 and few.count() < len(every) / 4
