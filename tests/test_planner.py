@@ -294,3 +294,11 @@ def test_the_closest_ways_of_areas_are_enough(spark):
     rounded = lambda df: sorted(map(tuple, planner.area_pairs(t, df.withColumn("distance", F.round("distance", 9))).collect()))
     few = planner.closest_ways(t, 500)
     assert rounded(few) == rounded(whole) and len(rounded(few)) == 21 and few.count() < len(every) / 4
+
+
+def test_straight_counterfactuals_need_no_pairs(spark):
+    at = np.random.default_rng(8).uniform(0, 3, (40, 2)).tolist()
+    t = spark.createDataFrame([(f, k, *p) for f in (1, 2, 3) for k, p in enumerate(at)], "floor int, target long, x double, y double")
+    r = spark.createDataFrame([(1, k, p) for p, k in enumerate((7, 3, 30, 12))] + [(2, 5, 1), (3, None, None)], "floor int, target long, place int")
+    shown = lambda c: {(x.floor, x.target): (round(x.forcing, 9), round(x.scale, 9)) for x in c.collect()}
+    assert shown(context.route_counterfactuals(t, r)) == shown(context.route_counterfactuals(t, r, optimizer.blocked_distances(t, 300)))
