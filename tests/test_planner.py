@@ -302,3 +302,12 @@ def test_straight_counterfactuals_need_no_pairs(spark):
     r = spark.createDataFrame([(1, k, p) for p, k in enumerate((7, 3, 30, 12))] + [(2, 5, 1), (3, None, None)], "floor int, target long, place int")
     shown = lambda c: {(x.floor, x.target): (round(x.forcing, 9), round(x.scale, 9)) for x in c.collect()}
     assert shown(context.route_counterfactuals(t, r)) == shown(context.route_counterfactuals(t, r, optimizer.blocked_distances(t, 300)))
+
+
+def test_only_asked_targets_go_into_the_search(spark):
+    from gridloom.plans import planning_queries as Q
+
+    t, rules, closure = Q.optimiser_input(spark, "/root/testdata/sf0.001")
+    asked = {(r.floor, x) for r in rules.collect() for x in r["items"]}
+    assert {(r.floor, r.target) for r in t.collect()} == asked
+    assert sorted((r.floor, r.src, r.dst) for r in closure.collect()) == sorted((f, a, b) for f, a in asked for g, b in asked if f == g)
