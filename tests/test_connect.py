@@ -207,3 +207,14 @@ def test_scans_and_shapes(spark):
     g = I.geometry_rows(e.withColumn("s", I.shape_points(*map(F.col, ("entity_type", "points", "closed", "x", "y", "r", "a", "b")))), "s").collect()
     assert [(r.entity_type, r.geometry_point_count, r.geometry_polygon_count) for r in g] == [("CIRCLE", 49, 1), ("ARC", 24, 0), ("POLYLINE", 3, 0)]
     assert g[0].geometry_area == pytest.approx(24 * 9 * math.sin(2 * math.pi / 48)) and g[1].geometry_length == pytest.approx(math.radians(20), rel=1e-3)
+
+
+def test_gaps_of_many_pairs_and_one_by_one():
+    rng = np.random.default_rng(2)
+    for corners in (3, 4, 6):
+        turns = np.sort(rng.uniform(0, 2 * np.pi, (2, 120, corners)), axis=2)
+        a, b = (np.stack([np.cos(t), np.sin(t)], 2) * rng.uniform(0.2, 3, (120, 1, 2)) + rng.uniform(-3, 3, (120, 1, 2)) for t in turns)
+        gap, p, q = N.gaps_between(a, b)
+        for k in range(120):
+            one, on_a, on_b = N.gap_between([a[k]], [b[k]])
+            assert (gap[k], *p[k], *q[k]) == pytest.approx((one, *on_a, *on_b), abs=1e-12)
