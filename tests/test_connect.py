@@ -218,3 +218,8 @@ def test_gaps_of_many_pairs_and_one_by_one():
         for k in range(120):
             one, on_a, on_b = N.gap_between([a[k]], [b[k]])
             assert (gap[k], *p[k], *q[k]) == pytest.approx((one, *on_a, *on_b), abs=1e-12)
+
+
+def test_crossing_parts_without_a_corner_in_the_other_meet():
+    cross = N.gaps_between(np.array([P.box_ring(-2.0, -0.1, 2.0, 0.1)]), np.array([P.box_ring(-0.1, -2.0, 0.1, 2.0)]))
+    assert cross[0][0] == 0
