@@ -7,7 +7,9 @@ The first segment begins at an exit or a fire lift; later ones begin with a virt
 
 from __future__ import annotations
 
+import functools
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,30 +31,101 @@ AREA_BIAS, SUCCESSION, ROUNDS, SPAN, MANDATORY, DMAX = 0.35, 0.03, 4, 24, 1.0, 0
 RELAY_VALUE, RELAY_SUCCESSION, RELAY_FLOOR = 0.08, 0.04, 0.8
 
 
+class Straight:
+    """Straight ways between points to nine decimals, computed where they are asked for: read by index like a matrix, never held as one.
+    Points without a place are reached by none."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y = np.asarray(x, float), np.asarray(y, float)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        i, j = map(np.asarray, at)
+        with np.errstate(invalid="ignore"):
+            d = np.round(np.hypot(self.x[i] - self.x[j], self.y[i] - self.y[j]), 9)
+        return np.where(i == j, 0.0, np.where(np.isnan(d), np.inf, d))[()]
+
+    @functools.lru_cache(maxsize=1)  # noqa: B019
+    def within(self, most: float) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+        """What is at most so far from a point, by ascending numbers, and how far: points lie in grid cells a little wider than that."""
+        size = most * (1 + 1e-6) + 1e-6
+        cx, cy = np.floor(self.x / size), np.floor(self.y / size)
+        order = np.lexsort((cy, cx))
+        order = order[np.isfinite(cx[order]) & np.isfinite(cy[order])]
+        columns, rows = cx[order], cy[order]
+        names, first = np.unique(columns, return_index=True)
+        start = {c: (k, e) for c, k, e in zip(names.tolist(), first.tolist(), [*first.tolist(), len(columns)][1:], strict=True)}
+
+        def near(i: int) -> tuple[np.ndarray, np.ndarray]:
+            found = []
+            for c in (cx[i] - 1, cx[i], cx[i] + 1):
+                if part := start.get(float(c)):
+                    low, high = part[0] + np.searchsorted(rows[part[0] : part[1]], (cy[i] - 1, cy[i] + 1.5))
+                    found.append(order[low:high])
+            j = np.sort(np.concatenate(found)) if found else np.zeros(0, int)
+            d = self[i, j]
+            kept = d <= most + EPS
+            return j[kept], d[kept]
+
+        return near
+
+
+class Successions:
+    """Weights of learned successions by index, 0 where there are none."""
+
+    def __init__(self, n: int, weights: dict[tuple[int, int], float]) -> None:
+        self.n = n
+        self.keys = np.array(sorted(i * n + j for i, j in weights), np.int64)
+        self.weights = np.array([weights[divmod(int(k), n)] for k in self.keys], float)
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        key = np.asarray(at[0], np.int64) * self.n + np.asarray(at[1], np.int64)
+        if not len(self.keys):
+            return np.zeros(key.shape)[()]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.weights[place], 0.0)[()]
+
+
 @dataclass
 class Scope:
     """Arrays over targets sorted by id; areas are names that sort."""
 
-    d: np.ndarray
-    follows: np.ndarray
+    d: np.ndarray | Straight
+    follows: np.ndarray | Successions
     score: np.ndarray
     mandatory: np.ndarray
     area: list[str]
     legal: np.ndarray
 
 
-def clusters_within(d: np.ndarray, dmax: float) -> list[list[int]]:
+def near_in(d: np.ndarray | Straight, dmax: float) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+    """A function from a target to those within dmax of it, and how far they are."""
+    if isinstance(d, Straight):
+        return d.within(dmax)
+
+    def near(i: int) -> tuple[np.ndarray, np.ndarray]:
+        j = np.flatnonzero(d[i] <= dmax + EPS)
+        return j, d[i, j]
+
+    return near
+
+
+def clusters_within(d: np.ndarray | Straight, dmax: float) -> list[list[int]]:
     """Sets of targets joined by legs of at most dmax, by their smallest target."""
-    near, left, out = d <= dmax + EPS, np.ones(len(d), bool), []
-    while left.any():
-        front = np.zeros(len(d), bool)
-        front[int(left.argmax())] = True
-        inside = front.copy()
-        while front.any():
-            front = near[front].any(axis=0) & left & ~inside
-            inside |= front
-        left &= ~inside
-        out.append(np.flatnonzero(inside).tolist())
+    near, left, out = near_in(d, dmax), np.ones(len(d), bool), []
+    for i in range(len(d)):
+        if not left[i]:
+            continue
+        left[i], inside, todo = False, [i], [i]
+        while todo:
+            j = near(todo.pop())[0]
+            new = j[left[j]]
+            left[new] = False
+            todo += new.tolist()
+            inside += new.tolist()
+        out.append(sorted(inside))
     return out
 
 
@@ -135,17 +208,20 @@ def local_order(s: Scope, targets: list[int], before: int | None) -> list[int]:
     left = set(targets)
     if not left:
         return []
-    first = max(left, key=lambda i: (s.score[i], i)) if before is None else min(left, key=lambda i: (s.d[before, i], -s.score[i], i))
+    own = sorted(left | ({before} if before is not None else set()))
+    d, follows, score = s.d[np.ix_(own, own)], s.follows[np.ix_(own, own)], s.score[own]
+    left, before = {k for k, i in enumerate(own) if i in left}, None if before is None else own.index(before)
+    first = max(left, key=lambda i: (score[i], i)) if before is None else min(left, key=lambda i: (d[before, i], -score[i], i))
     path = [first]
     left.remove(first)
     while left:
         at = path[-1]
-        far = [w for i in left if np.isfinite(w := s.d[at, i])]
+        far = [w for i in left if np.isfinite(w := d[at, i])]
         scale = max(far, default=1.0)
-        step = min(left, key=lambda i: (s.d[at, i] - SUCCESSION * scale * s.follows[at, i], s.d[at, i], i))
+        step = min(left, key=lambda i: (d[at, i] - SUCCESSION * scale * follows[at, i], d[at, i], i))
         path.append(step)
         left.remove(step)
-    return reversed_locally(s.d, path, before)
+    return [own[k] for k in reversed_locally(d, path, before)]
 
 
 def reversed_locally(d: np.ndarray, path: list[int], before: int | None, rounds: int = ROUNDS, span: int = SPAN) -> list[int]:
@@ -171,38 +247,45 @@ def reversed_locally(d: np.ndarray, path: list[int], before: int | None, rounds:
 def relay_tree(s: Scope, required: set[int], among: list[int], root: int, dmax: float) -> tuple[list[tuple[int, int, float]], set[int]]:
     """A tree over the cluster's legs of at most dmax that joins the root with all required targets, any other of the cluster being a
     relay: (edges (from, to, distance) in the order taken, required targets that can't be joined). Each search runs from the whole
-    tree; a leg counts less by the value of the target that it leads to and by a learned succession."""
-    near = np.zeros(len(s.d), bool)
-    near[among] = True
+    tree; a leg counts less by the value of the target that it leads to and by a learned succession. As the tree only grows, a search
+    goes on from what the ones before have found; of ways equally short the one over what is reached first counts, then the smaller id."""
+    near, member = near_in(s.d, dmax), np.zeros(len(s.d), bool)
+    member[among] = True
     worth = np.clip(s.score, 0, 1)
-    cost = s.d * np.maximum(RELAY_FLOOR, 1 - RELAY_VALUE * worth[None, :] - RELAY_SUCCESSION * np.clip(s.follows, 0, 1))
-    cost = np.where((s.d <= dmax + EPS) & near[None, :] & near[:, None], cost, np.inf)
-    np.fill_diagonal(cost, np.inf)
-    tree, edges, left = {root}, [], set(required) - {root}
+    far, via, inside = np.full(len(s.d), np.inf), np.full(len(s.d), -1), np.zeros(len(s.d), bool)
+    far[root], inside[root] = 0.0, True
+    heap, edges, left = [(0.0, root)], [], set(required) - {root}
     while left:
-        far, via = np.full(len(s.d), np.inf), np.full(len(s.d), -1)
-        far[sorted(tree)] = 0.0
-        heap, reached = [(0.0, i) for i in sorted(tree)], -1
+        reached = -1
         while heap:
             w, i = heapq.heappop(heap)
-            if w > far[i] + EPS:
+            if w > far[i]:
                 continue
             if i in left:
                 reached = i
                 break
-            new = w + cost[i]
-            for j in np.flatnonzero(new + EPS < far).tolist():
-                far[j], via[j] = new[j], i
-                heapq.heappush(heap, (float(new[j]), j))
+            j, d = near(i) if member[i] else (np.zeros(0, int), np.zeros(0))
+            d, j = d[ok := member[j] & ~inside[j] & (j != i)], j[ok]
+            new = w + d * np.maximum(RELAY_FLOOR, 1 - RELAY_VALUE * worth[j] - RELAY_SUCCESSION * np.clip(s.follows[i, j], 0, 1))
+            had, by = far[j], via[j]
+            better = new + EPS < had
+            # an equal way never leads through what lies no nearer, so none leads back to itself
+            equal = ~better & (np.abs(new - had) <= EPS) & (inside[i] | (w + EPS < had)) & ((w < far[by]) | (w == far[by]) & (i < by))
+            via[j[better | equal]] = i
+            far[j[better]] = new[better]
+            for x in zip(new[better].tolist(), j[better].tolist(), strict=True):
+                heapq.heappush(heap, x)
         if reached < 0:
             break
         path = [reached]
-        while path[-1] not in tree:
+        while not inside[path[-1]]:
             path.append(int(via[path[-1]]))
         path.reverse()
         edges += [(a, b, float(s.d[a, b])) for a, b in zip(path, path[1:], strict=False)]
-        tree |= set(path)
-        left -= tree
+        far[path], inside[path] = 0.0, True
+        for i in path[1:]:
+            heapq.heappush(heap, (0.0, i))
+        left -= set(path)
     return edges, left
 
 
@@ -277,7 +360,6 @@ def plan_scope(s: Scope, selected: set[int], dmax: float, primary: bool = True)
         return "infeasible_route_start", []
     held.insert(0, held.pop(begin[0]))
     start, segments = begin[1], []
-    reach = np.isfinite(s.d[start])
     for k, cluster in enumerate(held):
         required = selected & set(cluster)
         root = start if k == 0 else None
@@ -298,7 +380,7 @@ def plan_scope(s: Scope, selected: set[int], dmax: float, primary: bool = True)
             return "infeasible_dmax", []
         walk, end = open_walk(root, edges, {i: n for n, i in enumerate(order)}, s.follows)
         virtual = k > 0 or not primary
-        why = "" if not virtual else "building_scope_disconnected_from_physical_floor_route_start" if k == 0 else "dmax_disconnected_from_floor_route_start" if primary and reach[root] else "physical_graph_disconnected_from_floor_route_start"
+        why = "" if not virtual else "building_scope_disconnected_from_physical_floor_route_start" if k == 0 else "dmax_disconnected_from_floor_route_start" if primary and np.isfinite(s.d[start, root]) else "physical_graph_disconnected_from_floor_route_start"
         support = {i for e in edges for i in e[:2]} | {root}
         segments.append(Segment(root, virtual, walk, required, support - required - ({root} if k == 0 else set()), areas, tree, edges, end, why))
     return "feasible", segments
@@ -339,11 +421,36 @@ PLAN = "scope string, segment int, place int, target long, leg double, entry boo
 EMPTY = [c.split()[0] for c in PLAN.split(", ")]
 
 
-def floor_plans(targets: DataFrame, selected: DataFrame, closure: DataFrame, successions: DataFrame | None = None, ratio: float = DMAX) -> DataFrame:
+def with_ways(targets: DataFrame, closure: DataFrame | None, run: Callable, schema: str) -> DataFrame:
+    """run(key, targets, ids, d) for each scope's targets sorted by id, d being the distances of closure (scope, src, dst, distance), or
+    straight ways (targets then have x, y) where there is none. Targets of no scope have no straight ways."""
+
+    def sorted_ids(t: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        t = t.drop_duplicates("target").sort_values("target")
+        return t, t["target"].to_numpy(np.int64)
+
+    def given(key: tuple, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(t):
+            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
+        t, ids = sorted_ids(t)
+        return run(key, t, ids, matrix(ids, c["src"].to_numpy(np.int64), c["dst"].to_numpy(np.int64), c["distance"].to_numpy(float)))
+
+    def straight(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t, ids = sorted_ids(t)
+        known = 0.0 if not pd.isna(key[0]) else np.nan
+        return run(key, t, ids, Straight(t["x"].to_numpy(float) + known, t["y"].to_numpy(float) + known))
+
+    if closure is None:
+        return by_key(targets, "scope").applyInPandas(straight, schema)
+    return by_key(targets, "scope").cogroup(by_key(closure.select(F.col("scope").alias("s"), "src", "dst", "distance"), "s")).applyInPandas(given, schema)
+
+
+def floor_plans(targets: DataFrame, selected: DataFrame, closure: DataFrame | None = None, successions: DataFrame | None = None, ratio: float = DMAX) -> DataFrame:
     """Plans of all scopes: a row a visit, and one row without a target for a scope that has no plan.
 
     targets (scope, target, area, x, y, score, mandatory, legal, scale, primary); selected (scope, target); closure (scope, src,
-    dst, distance) of reachable pairs; successions (scope, src, dst, weight) are learned. The longest leg is ratio times the larger
+    dst, distance) of reachable pairs, or straight ways where it is missing, of which none is a row; successions (scope, src, dst,
+    weight) are learned. The longest leg is ratio times the larger
     of the scope's scale and its targets' extent. A task holds one scope."""
     chosen = targets.join(selected.select("scope", "target", F.lit(True).alias("chosen")), ["scope", "target"], "left")
     if successions is not None:
@@ -352,20 +459,15 @@ def floor_plans(targets: DataFrame, selected: DataFrame, closure: DataFrame, suc
     else:
         chosen = chosen.withColumn("next", F.lit(None).cast("array<struct<dst:bigint,weight:double>>"))
 
-    def run(key: tuple, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame(columns=EMPTY)
-        t = t.drop_duplicates("target").sort_values("target")
-        ids = t["target"].to_numpy(np.int64)
-        d = matrix(ids, c["src"].to_numpy(np.int64), c["dst"].to_numpy(np.int64), c["distance"].to_numpy(float))
-        follows = np.zeros((len(ids), len(ids)))
+    def run(key: tuple, t: pd.DataFrame, ids: np.ndarray, d: np.ndarray | Straight) -> pd.DataFrame:
+        follows = {}
         for i, row in enumerate(t["next"]):
             for step in row if row is not None else []:
                 j = int(np.searchsorted(ids, step["dst"]))
                 if j < len(ids) and ids[j] == step["dst"]:
                     follows[i, j] = step["weight"]
         area = [a if isinstance(a, str) and a else f"UNASSIGNED::{i}" for a, i in zip(t["area"], ids, strict=True)]
-        s = Scope(d, follows, t["score"].to_numpy(float), t["mandatory"].to_numpy(bool), area, t["legal"].to_numpy(bool))
+        s = Scope(d, Successions(len(ids), follows), t["score"].to_numpy(float), t["mandatory"].to_numpy(bool), area, t["legal"].to_numpy(bool))
         extent = max(float(t["x"].max() - t["x"].min()), float(t["y"].max() - t["y"].min()), 1.0)
         dmax = ratio * max(float(t["scale"].iloc[0]), extent)
         wanted = set(np.flatnonzero(t["chosen"].fillna(False).to_numpy(bool)).tolist())
@@ -377,24 +479,22 @@ def floor_plans(targets: DataFrame, selected: DataFrame, closure: DataFrame, suc
                 rows.append((key[0], n, len(rows) + 1, int(ids[i]), float(d[g.walk[k - 1], i]) if k else 0.0, k == 0, g.virtual and k == 0, role, g.why if k == 0 else "", dmax, status))
         return pd.DataFrame(rows or [(key[0], 0, 0, None, None, False, False, "", "", dmax, status)], columns=EMPTY).astype({"target": "Int64"})
 
-    return by_key(chosen, "scope").cogroup(by_key(closure.select(F.col("scope").alias("s"), "src", "dst", "distance"), "s")).applyInPandas(run, PLAN)
+    return with_ways(chosen, closure, run, PLAN)
 
 
 TREE = "scope string, source long, target long, distance double, step int"
 
 
-def relay_trees(targets: DataFrame, closure: DataFrame, dmax: float) -> DataFrame:
+def relay_trees(targets: DataFrame, closure: DataFrame | None, dmax: float) -> DataFrame:
     """Per scope a tree that joins its required targets from the smallest one on in legs of at most dmax, others being relays:
-    targets (scope, target, score, required), closure (scope, src, dst, distance). What can't be joined has no row."""
+    targets (scope, target, score, required), closure (scope, src, dst, distance), or straight ways between targets' x, y where it is
+    missing, of which none is a row. What can't be joined has no row."""
 
-    def run(key: tuple, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        t = t.drop_duplicates("target").sort_values("target")
-        ids = t["target"].to_numpy(np.int64)
+    def run(key: tuple, t: pd.DataFrame, ids: np.ndarray, d: np.ndarray | Straight) -> pd.DataFrame:
         need = np.flatnonzero(t["required"].to_numpy(bool)).tolist()
         if not need:
             return pd.DataFrame(columns=[x.split()[0] for x in TREE.split(", ")])
-        d = matrix(ids, c["src"].to_numpy(np.int64), c["dst"].to_numpy(np.int64), c["distance"].to_numpy(float))
-        s = Scope(d, np.zeros_like(d), t["score"].to_numpy(float), np.zeros(len(ids), bool), [""] * len(ids), np.zeros(len(ids), bool))
+        s = Scope(d, Successions(len(ids), {}), t["score"].to_numpy(float), np.zeros(len(ids), bool), [""] * len(ids), np.zeros(len(ids), bool))
         edges, left = [], set(need)
         while left:  # what one tree can't reach begins another
             root = min(left)
@@ -402,7 +502,7 @@ def relay_trees(targets: DataFrame, closure: DataFrame, dmax: float) -> DataFram
             edges += more
         return pd.DataFrame([(key[0], int(ids[a]), int(ids[b]), w, k + 1) for k, (a, b, w) in enumerate(edges)], columns=[x.split()[0] for x in TREE.split(", ")])
 
-    return by_key(targets, "scope").cogroup(by_key(closure.select(F.col("scope").alias("s"), "src", "dst", "distance"), "s")).applyInPandas(run, TREE)
+    return with_ways(targets, closure, run, TREE)
 
 
 AREAS = "scope string, parent string, child string, distance double, step int"
