@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import context, optimizer, planner, planning
+from gridloom.operators import context, optimizer, planner, planning, spatial
 from gridloom.operators.optimizer import Requirement
 from gridloom.operators.routes import held_karp
 
@@ -348,3 +348,18 @@ def test_walks_over_trees_of_straight_ways(spark):
     trees = planner.relay_trees(t, None, 0.12)
     assert [(r.place, r.target, r.final) for r in planner.tree_walks(trees).orderBy("place").collect()] == [(1, 0, False), (2, 1, False), (3, 2, True), (4, 5, False), (5, 6, True)]
     assert "FlatMapCoGroups" not in trees._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_values_need_no_row_a_pair(spark):
+    rng = random.Random(11)
+    rows = [(1 + i % 2, i, rng.randint(0, 20) / 64, rng.randint(0, 20) / 64, i % 3, i % 4, 1 + i % 4, i % 9 == 0 and i % 2 == 1) for i in range(120)]
+    t = spark.createDataFrame([*rows, (None, 900, 0.1, 0.1, 0, 0, 1, False)], "floor int, target long, x double, y double, area int, rule int, quota int, mandatory boolean")
+    areas = t.select("floor", "area").distinct().selectExpr("floor", "area", "area + 1.0D as size", "area % 3 as portals")
+    ways = spark.createDataFrame([(a[0], a[1], b[1], float(np.hypot(a[2] - b[2], a[3] - b[3]))) for a in rows for b in rows if a[0] == b[0]], "floor int, src long, dst long, distance double")
+    rules = spark.createDataFrame([(1, "all", "mandatory_all", "", [9, 27], 0, 1), (1, "one", "quota_total", "", [1, 41, 81], 1, 1)], "floor int, name string, kind string, category string, items array<long>, count int, each int")
+    for of in (lambda d: context.two_pass_values(t, areas, d, rules), lambda d: context.context_values(t, areas, d)):
+        got, want = (sorted((r.target, round(r.n, 9), round(r.c, 9)) for r in of(d).collect()) for d in (None, ways))
+        assert got == want and len({n for _, n, _ in got}) > 20
+    points = t.selectExpr("floor", "target as target_id", "if(target = 5, null, x) as x", "y")
+    got, want = (sorted((r.floor, r.target_id, r.other_id, round(r.distance, 9)) for r in df.collect()) for df in (spatial.nearest_within(points, 0.15, 8), spatial.nearest(spatial.near_pairs(points, 0.15), 8)))
+    assert got == want and len(got) > 300
