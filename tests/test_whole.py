@@ -176,3 +176,29 @@ def test_heuristic_routes_equal_plain_ones(n):
     xy = np.random.default_rng(n).random((n, 2))
     d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)).tolist()
     assert routes.heuristic(xy) == plain_greedy_order(d)
+
+
+@pytest.fixture(scope="module")
+def rectangles():
+    """By scope: ids and boxes of targets in hundredths, and the quarters of legs to the next target by id."""
+    rows = duckdb.sql(f"SELECT label, vec_id, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) FROM '{SMALL}/embeddings.parquet' ORDER BY 1, 2").fetchall()
+    boxes, quarters = {}, {}
+    for f, i, (x, y, w, h) in rows:
+        boxes.setdefault(f"F{f}", {})[i] = np.array([x, y, x + abs(w) + 0.02, y + abs(h) + 0.02]) * 100
+    for f, own in boxes.items():
+        ids = list(own)
+        quarters[f] = {a: (own[a][:2], own[a][:2] + (own[b][:2] - own[a][:2]) / 4) for a, b in zip(ids, ids[1:], strict=False)}
+    return boxes, quarters
+
+
+def apart(a, b, box):
+    """The distance of a segment from a box, by its nearest of many points."""
+    p = a + np.linspace(0, 1, 2001)[:, None] * (b - a)
+    return float(np.hypot(*np.maximum(0, np.maximum(box[:2] - p, p - box[2:])).T).min())
+
+
+def test_every_part_has_its_halo(spark, rectangles):
+    boxes, quarters = rectangles
+    got = {(r.region, r.segment) for r in catalog.QUERIES["halo_members"](spark, SMALL).collect()}
+    sure = {(f"C{i:06d}", k) for f, own in boxes.items() for i, box in own.items() for k, (a, b) in quarters[f].items() if apart(a, b, box + [-10, -10, 10, 10]) <= 0.75 * np.hypot(*(b - a)) - 0.01}
+    assert got >= sure and len({r for r, _ in got}) == len({r for r, _ in sure}) > 400
