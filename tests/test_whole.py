@@ -202,3 +202,18 @@ def test_every_part_has_its_halo(spark, rectangles):
     got = {(r.region, r.segment) for r in catalog.QUERIES["halo_members"](spark, SMALL).collect()}
     sure = {(f"C{i:06d}", k) for f, own in boxes.items() for i, box in own.items() for k, (a, b) in quarters[f].items() if apart(a, b, box + [-10, -10, 10, 10]) <= 0.75 * np.hypot(*(b - a)) - 0.01}
     assert got >= sure and len({r for r, _ in got}) == len({r for r, _ in sure}) > 400
+
+
+def test_every_part_may_own_a_segment(spark, rectangles):
+    boxes, quarters = rectangles
+    got = {r.segment: r.owner for r in catalog.QUERIES["segment_owners"](spark, SMALL).collect()}
+    for f, own in boxes.items():
+        wide = {i: box + [-10, -10, 10, 10] for i, box in own.items()}
+        for k, (a, b) in quarters[f].items():
+            if k % 11 or 10 not in own:
+                p = a + (np.arange(4000)[:, None] + 0.5) / 4000 * (b - a)
+                share = {f"C{i:06d}": float(((p >= x[:2]) & (p <= x[2:])).all(axis=1).mean()) for i, x in wide.items()}
+                assert share[got[k]] >= max(share.values()) - 0.001
+            else:
+                assert got[k] == "C000010"
+    assert any(not o.endswith("0") for o in got.values())
