@@ -217,3 +217,15 @@ def test_every_part_may_own_a_segment(spark, rectangles):
             else:
                 assert got[k] == "C000010"
     assert any(not o.endswith("0") for o in got.values())
+
+
+
+def test_every_part_meets_pairs(spark, rectangles):
+    got = {r.pair: (r.routing, r.owner, r.outputs) for r in catalog.QUERIES["pair_owners"](spark, SMALL).collect()}
+    assert len(got) == 500
+    for own in rectangles[0].values():
+        for i, box in own.items():
+            common = {f"C{k:06d}": np.maximum(0, np.minimum(box[2:], x[2:] + 10) - np.maximum(box[:2], x[:2] - 10)).prod() for k, x in own.items()}
+            routing, owner, outputs = got[i]
+            assert routing == "core" and outputs.split(",") == sorted(k for k, v in common.items() if v > 1e-9)
+            assert common[owner] == pytest.approx(max(common.values()))  # its own part holds it whole
