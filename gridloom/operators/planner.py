@@ -7,7 +7,6 @@ The first segment begins at an exit or a fire lift; later ones begin with a virt
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from . import evidence as E
 from ..sources.shared import PAIRS, by_key, in_blocks
 from .optimizer import matrix
-from .routes import EPS
+from .routes import EPS, Straight
 
 #: Classes at which a route may begin.
 STARTS = ("安全出口", "消防电梯")
@@ -31,47 +30,6 @@ AREA_BIAS, SUCCESSION, ROUNDS, SPAN, MANDATORY, DMAX = 0.35, 0.03, 4, 24, 1.0, 0
 RELAY_VALUE, RELAY_SUCCESSION, RELAY_FLOOR = 0.08, 0.04, 0.8
 
 
-class Straight:
-    """Straight ways between points to nine decimals, computed where they are asked for: read by index like a matrix, never held as one.
-    Points without a place are reached by none."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.x, self.y = np.asarray(x, float), np.asarray(y, float)
-
-    def __len__(self) -> int:
-        return len(self.x)
-
-    def __getitem__(self, at: tuple) -> np.ndarray:
-        i, j = map(np.asarray, at)
-        with np.errstate(invalid="ignore"):
-            d = np.round(np.hypot(self.x[i] - self.x[j], self.y[i] - self.y[j]), 9)
-        return np.where(i == j, 0.0, np.where(np.isnan(d), np.inf, d))[()]
-
-    @functools.lru_cache(maxsize=1)  # noqa: B019
-    def within(self, most: float) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
-        """What is at most so far from a point, by ascending numbers, and how far: points lie in grid cells a little wider than that."""
-        size = most * (1 + 1e-6) + 1e-6
-        cx, cy = np.floor(self.x / size), np.floor(self.y / size)
-        order = np.lexsort((cy, cx))
-        order = order[np.isfinite(cx[order]) & np.isfinite(cy[order])]
-        columns, rows = cx[order], cy[order]
-        names, first = np.unique(columns, return_index=True)
-        start = {c: (k, e) for c, k, e in zip(names.tolist(), first.tolist(), [*first.tolist(), len(columns)][1:], strict=True)}
-
-        def near(i: int) -> tuple[np.ndarray, np.ndarray]:
-            found = []
-            for c in (cx[i] - 1, cx[i], cx[i] + 1):
-                if part := start.get(float(c)):
-                    low, high = part[0] + np.searchsorted(rows[part[0] : part[1]], (cy[i] - 1, cy[i] + 1.5))
-                    found.append(order[low:high])
-            j = np.sort(np.concatenate(found)) if found else np.zeros(0, int)
-            d = self[i, j]
-            kept = d <= most + EPS
-            return j[kept], d[kept]
-
-        return near
-
-
 class Successions:
     """Weights of learned successions by index, 0 where there are none."""
 

@@ -363,3 +363,16 @@ def test_context_values_need_no_row_a_pair(spark):
     points = t.selectExpr("floor", "target as target_id", "if(target = 5, null, x) as x", "y")
     got, want = (sorted((r.floor, r.target_id, r.other_id, round(r.distance, 9)) for r in df.collect()) for df in (spatial.nearest_within(points, 0.15, 8), spatial.nearest(spatial.near_pairs(points, 0.15), 8)))
     assert got == want and len(got) > 300
+
+
+def test_floors_of_few_targets_have_no_route_as_in_the_sql(spark, tmp_path):
+    from gridloom.plans import planning_queries as Q
+
+    from .oracle import difference
+
+    ids = {0: range(5), 1: (11, 12, 13), 2: (20,), 3: range(30, 60), 4: (61, 66, 71), 5: (81, 86, 91, 96)}
+    rows = [(k, [float(np.float32(np.sin(k))), float(np.float32(np.cos(k * k))), 0.1, 0.1], f) for f, own in ids.items() for k in own] + [(500, [0.1, 0.2, 0.3, 0.4], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    next((tmp_path / "e").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    out = Q.route_optimizer(spark, str(tmp_path))
+    assert difference(out, Q.ROUTE_OPTIMIZER, str(tmp_path)) == "" and {r.floor for r in out.collect()} == {3, 5}
