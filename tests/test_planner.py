@@ -365,6 +365,42 @@ def test_context_values_need_no_row_a_pair(spark):
     assert got == want and len(got) > 300
 
 
+def all_routes(d, n, first=2):
+    """(length, targets) of all choices of two beside the first ones, each by all orders from the smaller end."""
+    orders = [p for p in itertools.permutations(range(first + 2)) if p[0] < p[-1]]
+    for pair in itertools.combinations(range(first, n), 2):
+        own = [*range(first), *pair]
+        yield min(float(sum(d[own[a], own[b]] for a, b in itertools.pairwise(p))) for p in orders), own
+
+
+def test_more_selections_than_the_limit_are_searched_exactly(spark):
+    rng = np.random.default_rng(12)
+    xy = rng.integers(0, 30, (324, 2)) / 100  # 51,681 selections; many places are held twice, so lengths tie
+    d = np.round(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)), 9)
+    needs, values = [Requirement("m", "mandatory_all", (0, 1)), Requirement("q", "quota", tuple(range(2, 324)), 2)], np.arange(324) * 37 % 101 / 101
+    every = list(all_routes(d, 324))
+    best = min(every)
+    short = optimizer.optimise(d, needs, most=None)
+    assert (short["solver"], short["combinations"], short["length"], sorted(short["order"])) == ("exact_enumeration_held_karp", 51_681, *best)
+    rich = optimizer.optimise(d, needs, values=values, tolerance=0.2, most=None)
+    length, own = max(((w, x) for w, x in every if w <= best[0] * 1.2 + 1e-9), key=lambda r: (sum(values[r[1]].tolist()), -r[0], r[1]))
+    assert (rich["length"], rich["shortest"], sorted(rich["order"])) == (length, best[0], own)
+    t = spark.createDataFrame([(1, k, float(values[k]), *map(float, p)) for k, p in enumerate(xy)], "floor int, target long, value double, x double, y double")
+    r = spark.createDataFrame([(1, "m", "mandatory_all", "", [0, 1], 0, 1), (1, "q", "quota", "", list(range(2, 324)), 2, 1)], "floor int, name string, kind string, category string, items array<long>, count int, each int")
+    got = optimizer.optimised_routes(t, r, None, most=None).collect()
+    assert sorted(x.target for x in got) == best[1] and {x.solver for x in got} == {"exact_enumeration_held_karp"}
+
+
+def test_searches_in_blocks_equal_one_by_one():
+    rng = np.random.default_rng(13)
+    for k in range(30):
+        d = rng.uniform(0.1, 1, (8, 8)) if k % 2 else np.abs(np.subtract.outer(x := rng.normal(size=8), x))  # ways back may differ
+        needs = [Requirement("m", "mandatory_all", (0, 1)[: k % 3]), Requirement("q", "quota_total", (2, 3, 4), 2), Requirement("g", "distinct_category_group", count=2, categories={"a": (3, 5), "b": (6,), "c": (7, 0)})]
+        cap = None if k % 4 else 0.9
+        one, all_ = optimizer.optimise(d, needs, cap=cap), optimizer.optimise(d, needs, cap=cap, most=None)
+        assert one["feasible"] == all_["feasible"] and (not one["feasible"] or all_["length"] == pytest.approx(one["length"]))
+
+
 def test_floors_of_few_targets_have_no_route_as_in_the_sql(spark, tmp_path):
     from gridloom.plans import planning_queries as Q
 
