@@ -229,3 +229,19 @@ def test_every_part_meets_pairs(spark, rectangles):
             routing, owner, outputs = got[i]
             assert routing == "core" and outputs.split(",") == sorted(k for k, v in common.items() if v > 1e-9)
             assert common[owner] == pytest.approx(max(common.values()))  # its own part holds it whole
+
+
+def test_closure_makes_no_rows_of_edges(spark, floors):
+    from gridloom.operators import graph
+
+    plan = catalog.QUERIES["metric_closure"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "other_id" not in plan and "FlatMapCoGroups" not in plan
+    rows = [(f, *p) for f, own in floors.items() for p in own] + [(90, 1000, 0.0, 0.0), (90, 1001, 5.0, 0.0)]
+    t = spark.createDataFrame(rows, "floor int, target long, x double, y double")
+    got = {(r.src, r.dst): r.distance for r in graph.near_closure(t, 0.06, most=7).collect()}
+    expected = {}
+    for points in floors.values():
+        _, far = all_paths(points, 0.06)
+        ids = [p[0] for p in points]
+        expected |= {(ids[a], ids[b]): far[a, b] for a in range(len(ids)) for b in range(len(ids)) if np.isfinite(far[a, b])}
+    assert got == pytest.approx(expected, abs=2e-6)  # floor 90 has no edge, so no row, as in the SQL
